@@ -2,13 +2,39 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+from importlib import import_module
 
+from pyspark.sql import DataFrame, SparkSession
 
-def queries() -> dict:
-    return dict(QUERIES)
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+MODULES = ("sources", "filters", "links", "aggregates", "ranking", "text", "corpus", "streams")
 
 
-def oracle_sql() -> dict:
-    return dict(ORACLES)
+def query(sql: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame under its own name."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    for name in MODULES:
+        import_module(f"dispensa.plans.{name}")
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_ORACLES)
