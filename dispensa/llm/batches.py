@@ -20,21 +20,22 @@ from .kernels import U, text_bytes
 PART_BYTES = 12 << 20  # text of a batch; grows with the root of the corpus, up to 16 times, so that blobs stay worth their row
 LAST = (1 << 63) - 1  # stands for a null doc_id, which ranks after all others
 
+ORDER = [("doc_id", "ascending"), ("text", "ascending")]
 
-def deal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
-    """((part, doc_id, text), number of parts); rows that share a doc_id share a part."""
+
+def deal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """((part, doc_id, text, carried0, carried1, ...), number of parts); rows that share a doc_id share a part."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     size = PART_BYTES * min(16.0, max(1.0, (total / (PART_BYTES * 1024)) ** 0.5))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total / size) + 1)
     own = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
-    # Parts are numbered so that each lies in a partition of its own as far as the hash allows.
-    return docs.select(F.pmod(F.xxhash64(own), F.lit(n)).cast("int").alias("part"), own.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")), n
+    return docs.select(F.pmod(F.xxhash64(own), F.lit(n)).cast("int").alias("part"), own.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), *[F.col(c).alias(f"carried{k}") for k, c in enumerate(carry)]), n
 
 
 def opened(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc ids, bytes, offsets) of a batch, ordered by doc_id and text, however its rows came in."""
-    table = table.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    table = table.select(["doc_id", "text"]).sort_by(ORDER)
     buf, offsets = text_bytes(table["text"])
     return table["doc_id"].to_numpy(), buf, offsets
 

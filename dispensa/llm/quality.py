@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .state import materialise
+from .state import materialise, without
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -110,5 +110,5 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of docs, all columns, that ``judge`` keeps (rows that share a doc_id stay if one of them is kept)."""
-    kept = judge(docs, doc_id, text, lang, source).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs[doc_id].eqNullSafe(kept["__kept"]), "left_semi")
+    verdicts = judge(docs, doc_id, text, lang, source).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    return without(docs, verdicts.where("not kept"), doc_id)

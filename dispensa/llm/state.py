@@ -1,12 +1,12 @@
-"""Where jobs keep what must outlive an executor, and how worker processes find this package."""
+"""Where jobs keep what must outlive an executor."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,15 +26,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package wherever the driver was started."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(p for p in [root, *paths] if p)
-    return spark
+BROADCAST_IDS = 1_000_000  # ids of at most 8 MB
 
 
-def task_count(spark: SparkSession, df: DataFrame) -> int:
-    """Tasks to deal rows to: the session's shuffle partitions, or the input's own partitions if those are more."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+def without(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is not in gone(doc_id); a null id matches a null id.
+
+    Ids are broadcast only if they are counted to be few, else both sides are shuffled.
+    """
+    last = F.lit((1 << 63) - 1)
+    ids = materialise(gone.select(F.coalesce("doc_id", last).alias("__gone")).distinct())
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, F.coalesce(docs[doc_id].cast("long"), last) == ids["__gone"], "left_anti")

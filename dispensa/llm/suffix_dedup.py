@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
-from .batches import LAST, cuts, deal, merged, opened, runs, squeeze, unsqueeze
+from .batches import LAST, ORDER, cuts, deal, merged, opened, runs, squeeze, unsqueeze
 from .kernels import BASE, BYTE_VALUE, U, chunks, mix, pack, rolling, slide, unpack
 
 GRAM = 24
@@ -166,17 +167,20 @@ def row_hash(h: np.ndarray, left: np.ndarray, right: np.ndarray, text: np.ndarra
     return out
 
 
-def dedup_bytes(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary), removed (array of struct<first, after> of bytes).
+def dedup_bytes(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary), removed (array of struct<first, after> of bytes),
+    kept_text (without the characters that are removed as a whole: always valid UTF-8), and the columns named in ``carry``, after these.
 
     A byte of the UTF-8 text goes if a string of ``width`` bytes over it also starts in a document with a
     smaller doc_id; strings are judged on the input, and none crosses a row. A null text is
     empty; a null doc_id ranks last and is returned as null; rows that share a doc_id are one
-    document, so they take nothing from each other. Other columns are not read. Empty tables give none.
+    document, so they take nothing from each other. Empty tables give none.
     """
     if width < GRAM + 2:
         raise ValueError(f"windows have at least {GRAM + 2} bytes")
-    dealt, n = deal(docs, doc_id, text)
+    dealt, n = deal(docs, doc_id, text, carry)
+    carried = [f"carried{k}" for k in range(len(carry))]
+    result = pa.schema([*_RESULT, *to_arrow_schema(dealt.select(carried).schema)])
     blob, reach = "bucket int, part int, data binary, more binary", width - GRAM
     size = reach + width
 
@@ -287,7 +291,8 @@ def dedup_bytes(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text:
 
     def finish(table: pa.Table, spans: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _RESULT.empty_table()
+            return result.empty_table()
+        table = table.sort_by(ORDER)
         ids, buf, offsets = opened(table)
         pairs = [np.zeros((2, 0), np.int64)] + [unpack(unsqueeze(d), 4).astype(np.int64).reshape(2, -1) for d in spans["data"].to_pylist()]
         s, t = np.concatenate(pairs, 1)
@@ -297,18 +302,34 @@ def dedup_bytes(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text:
         at = np.searchsorted(k[order], np.arange(len(ids) + 1))
         for i in range(len(ids)):
             x, y = merged(s[order[at[i] : at[i + 1]]], t[order[at[i] : at[i + 1]]])
+            chars = "".join([data[p:q].decode("utf-8", "replace") for p, q in _between(*_whole(x, y, buf, o[i + 1]), o[i], o[i + 1])]) if len(x) else data[o[i] : o[i + 1]].decode("utf-8", "replace")
             x, y = x.tolist(), y.tolist()
-            edges = [o[i], *(v for p in zip(x, y, strict=True) for v in p), o[i + 1]]
-            kept = b"".join([data[p:q] for p, q in zip(edges[::2], edges[1::2], strict=True)])
-            rows.append((int(ids[i]), o[i + 1] - o[i], o[i + 1] - o[i] - len(kept), len(x), hashlib.sha256(kept).hexdigest(), kept, [{"first": p - o[i], "after": q - o[i]} for p, q in zip(x, y, strict=True)]))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RESULT, strict=True)], schema=_RESULT)
+            kept = b"".join([data[p:q] for p, q in _between(x, y, o[i], o[i + 1])])
+            rows.append((int(ids[i]), o[i + 1] - o[i], o[i + 1] - o[i] - len(kept), len(x), hashlib.sha256(kept).hexdigest(), kept, [{"first": p - o[i], "after": q - o[i]} for p, q in zip(x, y, strict=True)], chars))
+        own = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RESULT, strict=True)]
+        return pa.Table.from_arrays([*own, *(table[c] for c in carried)], names=result.names)
 
     by_part = dealt.groupBy("part")
     answers = by_part.applyInArrow(tell, blob).groupBy("bucket").applyInArrow(shared, blob)
     found = by_part.cogroup(answers.groupBy("part")).applyInArrow(send, blob)
     spans = found.groupBy("bucket").applyInArrow(decide, "part int, data binary")
-    done = by_part.cogroup(spans.groupBy("part")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<first:long,after:long>>")
-    return done.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
+    done = by_part.cogroup(spans.groupBy("part")).applyInArrow(finish, from_arrow_schema(result))
+    return done.select(F.nullif("doc_id", F.lit(LAST)).alias("doc_id"), *_RESULT.names[1:], *[F.col(a).alias(b) for a, b in zip(carried, carry, strict=True)])
+
+
+def _whole(x: np.ndarray, y: np.ndarray, buf: np.ndarray, end: int) -> tuple[list[int], list[int]]:
+    """The spans [x, y) without the characters that they cut through."""
+    inside = lambda p: (p < end) & ((buf[np.minimum(p, len(buf) - 1)] & 0xC0) == 0x80)
+    for _ in range(3):
+        x, y = x + inside(x), y - inside(y)
+    ok = x < y
+    return x[ok].tolist(), y[ok].tolist()
+
+
+def _between(x: list[int], y: list[int], start: int, end: int) -> list[tuple[int, int]]:
+    """What the spans [x, y) leave of [start, end)."""
+    edges = [start, *(v for p in zip(x, y, strict=True) for v in p), end]
+    return list(zip(edges[::2], edges[1::2], strict=True))
 
 
 def _entries(h, place, verdict, ids, buf, offsets, width):
@@ -341,7 +362,7 @@ def _entries(h, place, verdict, ids, buf, offsets, width):
     return h[first], left[one], right[one], text[one], owner[first], count, place, owner > np.repeat(owner[first], count)
 
 
-_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("removed", pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())])))])
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("removed", pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))), ("kept_text", pa.string())])
 
 
 def _blobs(rows: list[tuple[int, bytes, bytes]], part: int) -> pa.Table:
