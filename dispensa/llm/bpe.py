@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from .kernels import chunks, text_bytes
 from .pretokens import Vocabulary, flat_ids, resolve
@@ -100,7 +101,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
     """
     df = df.drop(out)
     shared = _shared(df, path)
-    schema = df.schema.add(out, "array<int>")
+    schema = StructType([*df.schema.fields, StructField(out, ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*shared.value)
@@ -118,7 +119,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     """Append ``out``: binary, the bytes of the ids; null or empty arrays give no bytes, unknown ids raise KeyError."""
     df = df.drop(out)
     shared = _shared(df, path)
-    schema = df.schema.add(out, "binary")
+    schema = StructType([*df.schema.fields, StructField(out, BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = {v: k for k, v in shared.value[0].items()}

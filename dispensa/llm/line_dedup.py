@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .kernels import U, mix
 from .state import materialise
@@ -224,7 +225,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ind
     lines = postings(docs, doc_id, text)
     drops = index.dropped(lines).select(F.col("doc_id").alias("__id"), F.col("keys").alias("__keys"))
     joined = docs.join(drops, F.coalesce(docs[doc_id].cast("long"), F.lit(LAST)) == drops["__id"], "left").drop("__id")
-    schema = docs.schema.add("__n_lines", "long").add("__n_dropped", "long")
+    schema = StructType([*docs.schema.fields, StructField("__n_lines", LongType()), StructField("__n_dropped", LongType())])
     at = docs.columns.index(text)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
