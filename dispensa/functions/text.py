@@ -139,38 +139,41 @@ def count_term(c: Column, term: str) -> Column:
 
 
 def excerpt(c: Column, term: str, around: int = 60, most: int = 150) -> Column:
-    """The sentence around the first hit, or ``around`` characters each way if it is longer than ``most``, in dots; null without a hit.
+    """Text around the first hit, with dots where it was cut; without a hit the first hundred characters.
 
-    A sentence starts after the last full stop before the hit and ends with the first ``.`` or ``?`` behind it.
+    It runs from the last full stop before the hit (else the last question mark) through the first one
+    behind it (else up to a ``!`` or ``?``); if that is longer than ``most``, ``around`` characters each way.
     """
-    low, n = F.lower(c), len(term)
-    at = F.locate(term.lower(), low)
-    before, after = F.substring(c, F.lit(1), at - 1), F.substring(c, at + n, F.length(c))
-    tail = F.locate(".", F.reverse(before))
-    start = F.when(tail > 0, at - tail + 1).otherwise(F.lit(1))
-    stops = F.array_compact(F.array(*[F.nullif(F.locate(s, after), F.lit(0)) for s in ".?"]))
-    stop = F.coalesce(F.array_min(stops), F.length(after))
-    end = at + n + stop
-    sentence = F.trim(F.substring(c, start, end - start))
-    lo = F.greatest(F.lit(1), at - around)
-    wide = F.trim(F.substring(c, lo, at + n + around - lo))
-    return F.when(at > 0, F.concat(F.lit("..."), F.when(F.length(sentence) > most, wide).otherwise(sentence), F.lit("...")))
-
-
-def relevance(title: Column, substances: Column, form: Column, dosage: Column, content: Column, terms: list[str]) -> Column:
-    """Weighted hits of all terms: title 10 (15 more if equal), substances 8 (10 more if equal), form 5, dosage 5, content 1; plus the number of hits."""
+    n, size = len(term), F.length(c)
+    p = F.locate(term.lower(), F.lower(c)) - 1  # characters before the hit
+    before, rest = F.substring(c, F.lit(1), p), F.substring(c, p + 1, size)
+    last = lambda s: F.when(F.locate(s, F.reverse(before)) > 0, p - F.locate(s, F.reverse(before))).otherwise(F.lit(0))
+    start = F.when(last(".") > 0, last(".")).otherwise(last("?"))
+    found = lambda s: F.locate(s, rest)
+    end = F.when(found(".") > 0, p + found(".")).when(found("!") > 0, p + found("!") - 1).when(found("?") > 0, p + found("?") - 1).otherwise(size)
+    long = end - start > most
+    lo, hi = F.when(long, F.greatest(F.lit(0), p - around)).otherwise(start), F.when(long, F.least(size, p + n + around)).otherwise(end)
+    dots = lambda test: F.when(test, F.lit("...")).otherwise(F.lit(""))
+    cut = F.concat(dots(lo > 0), F.substring(c, lo + 1, hi - lo), dots(hi < size))
+    return F.when(p >= 0, cut).otherwise(F.concat(F.substring(c, 1, 100), F.lit("...")))
+
+
+def relevance(title: Column, substances: Column, form: Column, dosage: Column, content: Column, terms: list[str], section_titles: Column | None = None) -> Column:
+    """Weighted hits of all terms: title 10 (15 more if equal), substances 8 (10 more if equal), form 5, dosage 5, section titles 2, content 1; plus the number of hits."""
     parts = []
     for term in terms:
         low = term.lower()
         for c, weight, bonus in ((title, 10, 15), (form, 5, 0), (dosage, 5, 0), (content, 1, 0)):
             n = count_term(c, term)
-            parts.append(n * (weight + 1) + (F.when(F.lower(F.trim(c)) == low, bonus).otherwise(0) if bonus else F.lit(0)))
+            parts.append(n * (weight + 1) + (F.when(F.lower(c) == low, bonus).otherwise(0) if bonus else F.lit(0)))
         parts.append(_substance_score(substances, term))
+        if section_titles is not None:
+            parts.append(count_term(F.array_join(section_titles, "\n"), term) * 3)
     return reduce(lambda a, b: a + b, parts)
 
 
 def _substance_score(substances: Column, term: str) -> Column:
-    per = F.transform(F.coalesce(substances, F.array().cast("array<string>")), lambda s: count_term(s, term) * 9 + F.when(F.lower(F.trim(s)) == term.lower(), 10).otherwise(0))
+    per = F.transform(F.coalesce(substances, F.array().cast("array<string>")), lambda s: count_term(s, term) * 9 + F.when(F.lower(s) == term.lower(), 10).otherwise(0))
     return F.aggregate(per, F.lit(0), lambda a, x: a + x)
 
 

@@ -71,9 +71,10 @@ def str12_longest_word_prefix(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "part").select("p_partkey", x.longest_word_prefix(F.col("p_name")).alias("prefix"))
 
 
-@query("""WITH b AS (SELECT doc_id, text, strpos(lower(text), 'the ') AS p FROM documents WHERE lang = 'en'), c AS (SELECT *, substr(text, 1, p - 1) AS bef, substr(text, p + 4) AS aft FROM b), e AS (SELECT *, strpos(reverse(bef), '.') AS tail, coalesce(least(nullif(strpos(aft, '.'), 0), nullif(strpos(aft, '?'), 0)), length(aft)) AS stop FROM c),
-s AS (SELECT *, trim(substr(text, CASE WHEN tail > 0 THEN p - tail + 1 ELSE 1 END, p + 4 + stop - CASE WHEN tail > 0 THEN p - tail + 1 ELSE 1 END)) AS sentence FROM e)
-SELECT doc_id, CASE WHEN p > 0 THEN '...' || CASE WHEN length(sentence) > 150 THEN trim(substr(text, greatest(1, p - 60), p + 64 - greatest(1, p - 60))) ELSE sentence END || '...' END AS excerpt FROM s""")
+@query("""WITH a AS (SELECT doc_id, text, strpos(lower(text), 'the ') - 1 AS p, length(text) AS size FROM documents WHERE lang = 'en'), b AS (SELECT *, reverse(substr(text, 1, p)) AS bef, substr(text, p + 1) AS rest FROM a),
+c AS (SELECT *, CASE WHEN strpos(bef, '.') > 0 AND p - strpos(bef, '.') > 0 THEN p - strpos(bef, '.') WHEN strpos(bef, '?') > 0 THEN p - strpos(bef, '?') ELSE 0 END AS s, CASE WHEN strpos(rest, '.') > 0 THEN p + strpos(rest, '.') WHEN strpos(rest, '!') > 0 THEN p + strpos(rest, '!') - 1 WHEN strpos(rest, '?') > 0 THEN p + strpos(rest, '?') - 1 ELSE size END AS e FROM b),
+d AS (SELECT *, CASE WHEN e - s > 150 THEN greatest(0, p - 60) ELSE s END AS lo, CASE WHEN e - s > 150 THEN least(size, p + 64) ELSE e END AS hi FROM c)
+SELECT doc_id, CASE WHEN p >= 0 THEN CASE WHEN lo > 0 THEN '...' ELSE '' END || substr(text, lo + 1, hi - lo) || CASE WHEN hi < size THEN '...' ELSE '' END ELSE substr(text, 1, 100) || '...' END AS excerpt FROM d""")
 def str13_excerpt(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").where("lang = 'en'").select("doc_id", x.excerpt(F.col("text"), "the ").alias("excerpt"))
 
