@@ -28,7 +28,7 @@ SHORT = 5  # bytes of a subset's hash besides its bucket
 SMALL = 7  # bands below 2**7 shingles have a segment for each shingle
 SLACK = 1.25  # segments in proportion to those that must be asked for
 RESERVED = 4  # segments of a band with one-deletion neighbourhoods
-SKETCH = 1024  # bits of a parity sketch
+SKETCH = 256, 8192  # bits of a parity sketch, at least and at most; it has more than a set has shingles
 BLOCK = 1024  # sets of a group that are compared with as many others at once
 BROADCAST_IDS = 1_000_000  # more ids than these (8 MB) are joined by shuffle
 VALUE = 6  # bytes of a shingle's hash in verification
@@ -142,17 +142,39 @@ def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
 
-_FOUND = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("n", pa.int64())])
+def sketch(values: np.ndarray) -> bytes:
+    """Parity of the shingles that fall on each bit: sketches differ in no more bits than their sets do in shingles."""
+    bits = min(SKETCH[1], max(SKETCH[0], 1 << int(np.ceil(np.log2(1.5 * max(len(values), 1))))))
+    odd = np.bincount((values & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def may_link(a: bytes, n: int, b: bytes, m: int, percent: int) -> bool:
+    """Whether sizes and sketches leave it open that the sets are similar enough."""
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    if len(a) < len(b):
+        a, b = b, a
+    x, width = int.from_bytes(b), 8 * len(b)
+    y = int.from_bytes(a)
+    while y:  # a longer sketch is folded to the shorter
+        x ^= y & ((1 << width) - 1)
+        y >>= width
+    # Similar sets differ in at most (1 - t) / (1 + t) of the sum of their sizes.
+    return x.bit_count() * (100 + percent) <= (100 - percent) * (n + m)
+
+
+_FOUND = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
 MEMBER, PAIR, LACKING = 0, 1, 2
 
 
 def candidates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame:
-    """(kind, x, y, n). MEMBER: row of document x has n shingles and the set of document y. PAIR: x and y share a subset
+    """(kind, x, y, n, sketch). MEMBER: row of document x has n shingles and the set of document y. PAIR: x and y share a subset
     that one of them or a third asks with, x being the least such. LACKING: document x could not ask enough."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+        schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.list_(pa.binary()))])
         for batch in batches:
             ids = batch.column(0).to_numpy()
             buf, offsets = text_bytes(batch.column(1))
@@ -172,7 +194,7 @@ def candidates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame
             lead = np.flatnonzero((keeper == np.arange(len(ids))) & (size > 0))
             v = values[expand(before[lead], size[lead])]
             sig, doc, asks, short = signatures(v, np.concatenate([[0], np.cumsum(size[lead])]), small)
-            rows = [(int(ids[0]) % n if len(ids) else 0, MEMBER, squeeze(pack(ids.astype(U), 8) + pack(ids[keeper].astype(U), 8) + pack(size.astype(U), 4)), squeeze(pack(ids[lead[short]].astype(U), 8)))]
+            rows = [(int(ids[0]) % n if len(ids) else 0, MEMBER, squeeze(pack(ids.astype(U), 8) + pack(ids[keeper].astype(U), 8) + pack(size.astype(U), 4)), squeeze(pack(ids[lead[short]].astype(U), 8)), [sketch(values[before[k] : before[k + 1]]) if keeper[k] == k and size[k] else None for k in range(len(ids))])]
             bucket = bucket_of(sig, n)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(n + 1))
@@ -181,12 +203,13 @@ def candidates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame
                 if len(at):
                     at = at[np.argsort(doc[at], kind="stable")]
                     own, count = np.unique(doc[at], return_counts=True)
-                    rows.append((k, PAIR, pack(sig[at], SHORT), squeeze(np.packbits(asks[at]).tobytes().ljust(-(-len(at) // 8)) + pack(ids[lead[own]].astype(U), 8) + pack(count.astype(U), 4))))
+                    rows.append((k, PAIR, pack(sig[at], SHORT), squeeze(np.packbits(asks[at]).tobytes().ljust(-(-len(at) // 8)) + pack(ids[lead[own]].astype(U), 8) + pack(count.astype(U), 4)), None))
             yield from _rows(schema, rows).to_batches()
 
     def meet(table: pa.Table) -> pa.Table:
         out, sigs, owners, asking = [], [], [], []
-        for kind, a, b in zip(*(table[c].to_pylist() for c in ("kind", "a", "b")), strict=True):
+        sketches: list = []
+        for kind, a, b, c in zip(*(table[c].to_pylist() for c in "kind a b c".split()), strict=True):
             b = unsqueeze(b)
             if kind == MEMBER:
                 a = unsqueeze(a)
@@ -194,6 +217,7 @@ def candidates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame
                 out.append((np.full(k, MEMBER), unpack(a[: 8 * k], 8), unpack(a[8 * k : 16 * k], 8), unpack(a[16 * k :], 4)))
                 x = unpack(b, 8)
                 out.append((np.full(len(x), LACKING), x, x, np.zeros(len(x), np.int64)))
+                sketches += [*c, *[None] * len(x)]
                 continue
             sig = unpack(a, SHORT)
             head = -(-len(sig) // 8)
@@ -217,26 +241,47 @@ def candidates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame
             new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
             x, y = x[new], y[new]
             out.append((np.full(len(x), PAIR), x, y, np.zeros(len(x), np.int64)))
-        return pa.table([pa.array(np.concatenate([np.asarray(r[c]).astype(np.int64) for r in out]), f.type) for c, f in enumerate(_FOUND)], schema=_FOUND)
+            sketches += [None] * len(x)
+        columns = [pa.array(np.concatenate([np.asarray(r[c]).astype(np.int64) for r in out]), _FOUND.field(c).type) for c in range(4)]
+        return pa.table([*columns, pa.array(sketches, pa.binary())], schema=_FOUND)
 
-    own = docs.select("doc_id", "text").mapInArrow(spread, "bucket int, kind int, a binary, b binary")
-    return own.groupBy("bucket").applyInArrow(meet, "kind int, x long, y long, n long")
+    own = docs.select("doc_id", "text").mapInArrow(spread, "bucket int, kind int, a binary, b binary, c array<binary>")
+    return own.groupBy("bucket").applyInArrow(meet, "kind int, x long, y long, n long, sketch binary")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles binary, sketch binary) of the documents in ids(doc_id)."""
+    """(doc_id, shingles binary) of the documents in ids(doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offsets = text_bytes(batch.column(1))
-            values, before = shingle_sets(buf, offsets, width)
+            values, before = shingle_sets(*text_bytes(batch.column(1)), width)
             o = before.tolist()
             sets = [pack(np.sort(values[a:b] & U((1 << 8 * VALUE) - 1)), VALUE) for a, b in zip(o, o[1:], strict=False)]
-            sketches = [np.packbits((np.bincount((values[a:b] % U(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes() for a, b in zip(o, o[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "shingles", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary, sketch binary")
+    return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary")
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) that sizes and sketches do not rule out; nothing that is similar enough is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, n, b, m = (batch.column(k).to_pylist() for k in range(2, 6))
+            ok = [may_link(*x, percent) for x in zip(a, n, b, m, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    right = pairs.join(sketches.select(F.col("doc_id").alias("y"), F.col("sketch").alias("b"), F.col("n").alias("m")), "y")
+    both = right.join(sketches.select(F.col("doc_id").alias("x"), F.col("sketch").alias("a"), "n"), "x").select("x", "y", "a", "n", "b", "m")
+    return both.mapInArrow(run, "x long, y long").distinct()
+
+
+def _linked(docs: DataFrame, likely: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs among ``likely`` that are links; only their documents' sets are made and moved."""
+    likely = materialise(likely)
+    ids = materialise(likely.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
+    return materialise(_verified(likely, _sets(docs, ids, width), percent))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -256,7 +301,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "x long, y long").distinct()
 
 
-def _across(pairs: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across(pairs: DataFrame, label: DataFrame, sketches: DataFrame, percent: int, lots: int) -> DataFrame:
     """Pairs of sets that meet in a group but are in different components, and that their sketches do not rule out.
 
     A group is large only where many sets share subsets without being linked; it is compared in
@@ -264,28 +309,32 @@ def _across(pairs: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -
     """
     named = lambda df, c: df.join(label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")), c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
     known = named(named(pairs, "x"), "y")
-    mixed = known.groupBy("x").agg(F.max(F.col("y_in") != F.col("x_in")).alias("mixed"), F.count("*").alias("size")).where("mixed").select("x", "size")
+    # The group's least set was compared with all; what it did not link must be compared among itself and with what it linked.
+    mixed = known.groupBy("x").agg(F.count_if(F.col("y_in") != F.col("x_in")).alias("apart"), F.count("*").alias("size")).where("apart > 0 and size > 1").select("x", "size")
     group = known.join(mixed, "x").select(F.col("x").alias("g"), F.col("y").alias("doc_id"), F.col("y_in").alias("inside"), "size")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     group = group.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("doc_id"), blocks).cast("int")})
-    lots = group.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select("g", "i", "j", "own", "doc_id", "inside")
-    ready = lots.join(sets.select("doc_id", "sketch", (F.octet_length("shingles") / VALUE).cast("long").alias("n")), "doc_id")
+    dealt = group.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select("g", "i", "j", "own", "doc_id", "inside")
+    # Many small groups share a call.
+    ready = dealt.join(sketches, "doc_id").select(F.pmod(F.xxhash64("g"), F.lit(lots)).alias("lot"), "g", "i", "j", "own", "doc_id", "inside", "n", "sketch")
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, inside, n, own = (table[c].to_numpy() for c in ("doc_id", "inside", "n", "own"))
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), "<u8").reshape(len(ids), -1)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in left.tolist():
-            r = right[(inside[right] != inside[k]) & ((ids[right] > ids[k]) if i == j else True)]
-            # Differences in the sketches are at most those of the sets, which may be (1 - t) / (1 + t) of both sizes.
-            r = r[np.bitwise_count(bits[r] ^ bits[k]).sum(1, dtype=np.int64) * (100 + percent) <= (100 - percent) * (n[r] + n[k])]
-            x.append(np.minimum(ids[r], ids[k]))
-            y.append(np.maximum(ids[r], ids[k]))
-        return pa.table({"x": np.concatenate(x), "y": np.concatenate(y)})
-
-    return ready.groupBy("g", "i", "j").applyInArrow(compare, "x long, y long").distinct()
+        table = table.sort_by("g")
+        groups, all_ids, all_inside, all_n, all_own = (table[c].to_numpy() for c in ("g", "doc_id", "inside", "n", "own"))
+        all_marks, i, j, x, y = table["sketch"].to_pylist(), table["i"][0].as_py(), table["j"][0].as_py(), [], []
+        first = np.append(runs(groups), len(groups))
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            ids, inside, n, own, marks = all_ids[a:b], all_inside[a:b], all_n[a:b], all_own[a:b], all_marks[a:b]
+            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            for k in left.tolist():
+                near = (inside[right] != inside[k]) & (100 * np.minimum(n[right], n[k]) >= percent * np.maximum(n[right], n[k]))
+                for r in right[near & ((ids[right] > ids[k]) if i == j else True)].tolist():
+                    if may_link(marks[k], int(n[k]), marks[r], int(n[r]), percent):
+                        x.append(min(ids[r], ids[k]))
+                        y.append(max(ids[r], ids[k]))
+        return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
+
+    return ready.groupBy("lot", "i", "j").applyInArrow(compare, "x long, y long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str | Column = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -305,12 +354,11 @@ def near_duplicates(docs: DataFrame, doc_id: str | Column = "doc_id", text: str
     if found.where(F.col("kind") == LACKING).limit(1).count():  # so rare that it is never seen: give every shingle a segment
         found = materialise(candidates(own, width, 63))
     members = found.where(F.col("kind") == MEMBER).select("x", "y", "n")
+    sketches = found.where((F.col("kind") == MEMBER) & F.col("sketch").isNotNull()).select(F.col("x").alias("doc_id"), "n", "sketch")
     pairs = materialise(found.where(F.col("kind") == PAIR).select("x", "y").distinct())
-    ids = materialise(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
-    sets = materialise(_sets(own, ids, width))
-    links = materialise(_verified(pairs, sets, percent))
+    links = _linked(own, _likely(pairs, sketches, percent), width, percent)
     label = components(links)
-    more = materialise(_verified(_across(pairs, label, sets, percent), sets, percent))
+    more = _linked(own, _across(pairs, label, sketches, percent, max(8, pairs.count() // 20_000)), width, percent)
     if more.limit(1).count():
         label = components(links.unionByName(more))
     same = members.where("x <> y").select("x", "y")
