@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, line_dedup, packing, quality, substring_dedup, suffix_dedup, token_counts, toxicity
+from . import ann, bpe, jaccard, line_dedup, oracles, packing, quality, substring_dedup, suffix_dedup, token_counts, toxicity
 from ..session import ready
 
 
@@ -68,4 +68,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_suffix_dedup, op2_byte_bpe, op3_token_counts, op4_line_dedup, op5_best_fit_packing, op6_substring_dedup, op7_quality_rules, op8_nearest_vectors, op9_toxicity, op10_ngram_jaccard)
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_line_dedup": oracles.OP4, "op6_substring_dedup": oracles.OP6, "op10_ngram_jaccard": oracles.OP10}
