@@ -96,7 +96,7 @@ def snk06_replace_keys(spark: SparkSession, d: str) -> DataFrame:
     return writers.replace_keys(line.select("l_orderkey", "l_partkey", F.col("l_linenumber").alias("no")), new.select("l_orderkey", "l_partkey", "no"), "l_orderkey")
 
 
-@query("""WITH RECURSIVE items AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, l_quantity::BIGINT AS size FROM lineitem),
+@query("""WITH RECURSIVE items AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS i, l_quantity::BIGINT AS size FROM lineitem),
 bins AS (SELECT k, i, 0 AS chunk, size AS used, size FROM items WHERE i = 1 UNION ALL SELECT n.k, n.i, CASE WHEN b.used > 0 AND b.used + n.size > 60 THEN b.chunk + 1 ELSE b.chunk END, CASE WHEN b.used > 0 AND b.used + n.size > 60 THEN n.size ELSE b.used + n.size END, n.size FROM bins b JOIN items n ON n.k = b.k AND n.i = b.i + 1)
 SELECT k AS l_orderkey, chunk, count(*) AS n_items, sum(size)::BIGINT AS bytes FROM bins GROUP BY k, chunk""")
 def snk07_chunk_by_size(spark: SparkSession, d: str) -> DataFrame:
