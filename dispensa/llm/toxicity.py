@@ -13,24 +13,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import LOWER, U, chunks, mix, span_hashes, text_bytes, word_spans
+from .kernels import LOWER, U, chunks, mix, span_hashes, text_bytes, tidy, word_spans
 from .state import materialise
 
-DIMENSIONS = 1 << 20
+DIMENSIONS = 1 << 22
+STEMS = 5, 7  # bytes
+LEAST = 5  # texts of the sample that a feature must be in to be learned
 SAMPLE = 12_000  # labelled rows that are fitted on, at most: those of smallest hash
-EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.3, 1.0, 1.0, 1.0
+EPOCHS, ALPHA, BETA, L1, L2 = 6, 0.3, 1.0, 12.0, 1.0
 BIAS = 0  # the feature that every text has
 FOLDED = LOWER.copy()  # punctuation parts words here, so that a comma does not make another word
 FOLDED[[b for b in range(33, 127) if not chr(b).isalnum()]] = 0x20
 
 
 def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(feature numbers of all texts end to end, features before each text): words, pairs of neighbours, and pairs with one word between."""
+    """(feature numbers of all texts end to end, features before each text): words and their stems, pairs of neighbours, and pairs with one word between."""
     low = FOLDED[buf]
     s, e, before = word_spans(low, offsets)
     h = span_hashes(low, s, e)
     text_of = np.repeat(np.arange(len(offsets) - 1), np.diff(before))
     parts, owners = [h], [text_of]
+    for size in STEMS:  # the first bytes of longer words stand for their inflected and joined forms
+        long = np.flatnonzero(e - s > size)
+        parts.append(mix(span_hashes(low, s[long], s[long] + size) + U(size)))
+        owners.append(text_of[long])
     for gap, salt in ((1, 0xA5A5), (2, 0x5A5A5)):
         same = text_of[gap:] == text_of[:-gap]
         parts.append(mix(h[:-gap] * U(3) + h[gap:] + U(salt))[same])
@@ -76,6 +82,7 @@ def fit(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(chosen, "id")
     sample = rows.select("h", F.col("id").alias("o"), F.col("label").cast("int").alias("y"), "t").withColumn("one", F.lit(0))
 
+    @tidy
     def learn(table: pa.Table) -> pa.Table:
         table = table.sort_by([("h", "ascending"), ("o", "ascending"), ("t", "ascending")]).slice(0, SAMPLE)
         y, rows = table["y"].to_numpy(), []
@@ -83,8 +90,11 @@ def fit(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "
         for i, j in chunks(offsets):
             numbers, before = features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             rows += [vector(numbers[a:b]) for a, b in zip(before[:-1], before[1:], strict=True)]
+        texts_with = np.bincount(np.concatenate([np.zeros(1, np.int64), *(i for i, _ in rows)]), minlength=DIMENSIONS)
+        texts_with[BIAS] = LEAST
+        rows = [(i[ok], x[ok]) for i, x in rows for ok in (texts_with[i] >= LEAST,)]
         model, positive = Ftrl(), max(1, int((y == 1).sum()))
-        weight = min(10.0, max(1.0, (len(y) - positive) / positive / 2))
+        weight = min(10.0, max(1.0, (len(y) - positive) / positive))
         for _ in range(EPOCHS):
             for (i, x), label in zip(rows, y.tolist(), strict=True):
                 model.learn(i, x, label, weight if label else 1.0)
@@ -101,6 +111,7 @@ def score(docs: DataFrame, weights: dict[int, float], doc_id: str = "doc_id", te
     i = np.fromiter(weights.keys(), np.int64, len(weights))
     shared = docs.sparkSession.sparkContext.broadcast((i, np.fromiter(weights.values(), float, len(weights))))  # at most DIMENSIONS
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.zeros(DIMENSIONS)
         w[shared.value[0]] = shared.value[1]
