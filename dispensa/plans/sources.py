@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import tables, writers
+from ..streaming.jobs import work_dir
 from .registry import query
 from .views import t
 
@@ -37,6 +38,25 @@ def src04_url_worklist(spark: SparkSession, d: str) -> DataFrame:
     return tables.url_worklist(t(spark, d, "pages"), "url")
 
 
+@query("SELECT 'D' || p_partkey AS drug_id, 'D' || p_partkey || ',O' || p_partkey AS all_ids, p_name AS name, p_brand || CASE WHEN lower(p_type) <> lower(p_brand) THEN ',' || p_type ELSE '' END AS synonyms, 'X' || p_size AS atc_codes, p_size::VARCHAR AS cas FROM part")
+def src05_scan_drug_xml(spark: SparkSession, d: str) -> DataFrame:
+    """Parts are landed as drug records, then scanned."""
+    known = lambda value, primary: F.struct(value.alias("_VALUE"), F.lit(primary).alias("_primary"))
+    size = F.col("p_size").cast("string")
+    records = t(spark, d, "part").select(
+        F.array(known(F.concat(F.lit("D"), "p_partkey"), "true"), known(F.concat(F.lit("O"), "p_partkey"), "false")).alias("drugbank-id"),
+        F.col("p_name").alias("name"),
+        F.struct(F.array("p_brand", "p_type", F.upper("p_brand")).alias("synonym")).alias("synonyms"),
+        F.struct(F.array(F.struct(F.concat(F.lit("X"), size).alias("_code")), F.struct(F.concat(F.lit("X"), size).alias("_code"))).alias("atc-code")).alias("atc-codes"),
+        F.struct(F.array(F.struct(F.lit("CAS number").alias("resource"), size.alias("identifier"))).alias("external-identifier")).alias("external-identifiers"),
+    )
+    path = work_dir(spark)
+    records.write.format("xml").option("rowTag", "drug").option("rootTag", "drugbank").save(path)
+    out = tables.scan_drug_xml(spark, path)
+    joined = {c: F.array_join(c, ",").alias(c) for c in ("all_ids", "synonyms", "atc_codes")}
+    return out.select("drug_id", joined["all_ids"], "name", joined["synonyms"], joined["atc_codes"], "cas")
+
+
 @query("SELECT o_orderkey, l_partkey AS package_code, l_linenumber AS package_no FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber <> 3")
 def src06_explode_packages(spark: SparkSession, d: str) -> DataFrame:
     line = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.when(F.col("l_linenumber") != 3, F.col("l_partkey")).alias("code"), F.col("l_linenumber").alias("no"))).alias("packaging"))
@@ -61,6 +81,12 @@ def _customer_updates(spark, d):
     return c, o.unionByName(extra).withColumn("created", F.lit("new"))
 
 
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def snk05_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    rows = t(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_custkey")
+    return spark.read.schema(rows.schema).parquet(writers.snapshot(rows, work_dir(spark), "20240101"))
+
+
 @query(f"WITH {_UPDATES} SELECT coalesce(c_custkey, id) AS id, c_name AS name, coalesce(seg, 0) AS seg FROM customer FULL JOIN updates ON c_custkey = id")
 def snk01_upsert(spark: SparkSession, d: str) -> DataFrame:
     c, u = _customer_updates(spark, d)
