@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import U
+from .kernels import U, tidy
 
 BLOCK = 4096  # vectors in a block: one sorted array's length
 TREES, BITS = 40, 60
@@ -95,6 +95,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_
     indexed = indexed.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
     result = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
+    @tidy
     def answer(own: pa.Table, ask: pa.Table) -> pa.Table:
         out = []
         sizes = {len(x) for x in ask["v"].to_pylist()} if own.num_rows and ask.num_rows else set()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from .kernels import chunks, text_bytes
+from .kernels import chunks, text_bytes, tidy
 from .pretokens import Vocabulary, flat_ids, resolve
 
 REMEMBERED = 1_000_000  # merged pieces that a worker keeps; beyond it the memory is emptied and filled anew
@@ -103,6 +103,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
     shared = _shared(df, path)
     schema = StructType([*df.schema.fields, StructField(out, ArrayType(IntegerType()))])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*shared.value)
         for batch in batches:
@@ -121,6 +122,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     shared = _shared(df, path)
     schema = StructType([*df.schema.fields, StructField(out, BinaryType())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = {v: k for k, v in shared.value[0].items()}
         for batch in batches:
@@ -138,6 +140,7 @@ def digests(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     df = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     shared = _shared(df, path)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, vocabulary = shared.value
         encoder = Encoder(ranks, vocabulary)

@@ -6,6 +6,9 @@ call serves many documents. Memory is a small multiple of a chunk, or of one lon
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +28,44 @@ BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
+def release() -> None:
+    """Give back what this worker no longer uses: workers are kept between stages and would hold it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(task):
+    """A task function that releases memory once its own arrays are gone."""
+    if inspect.isgeneratorfunction(task):
+
+        @functools.wraps(task)
+        def run(batches):
+            yield from task(batches)
+            release()
+
+    elif len(inspect.signature(task).parameters) == 1:
+
+        @functools.wraps(task)
+        def run(table):
+            try:
+                return task(table)
+            finally:
+                release()
+
+    else:
+
+        @functools.wraps(task)
+        def run(one, other):
+            try:
+                return task(one, other)
+            finally:
+                release()
+
+    return run
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .kernels import U, mix
+from .kernels import U, mix, tidy
 from .state import materialise
 
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -191,6 +191,7 @@ class LineIndex:
         blobs = self.filters.collect()  # at most BROADCAST_KEYS keys, about 3 bytes each
         shared = lines.sparkSession.sparkContext.broadcast({r["shard"]: (r["buckets"], r["table"]) for r in blobs})
 
+        @tidy
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             filters = {k: CuckooFilter(*v) for k, v in shared.value.items()}
             for batch in batches:
@@ -228,6 +229,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ind
     schema = StructType([*docs.schema.fields, StructField("__n_lines", LongType()), StructField("__n_dropped", LongType())])
     at = docs.columns.index(text)
 
+    @tidy
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import md5
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import chunks, text_bytes
+from .kernels import chunks, text_bytes, tidy
 from .state import materialise
 from .token_counts import Library, is_byte_level, json_vocabulary
 
@@ -58,6 +58,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str =
         raise ValueError("packing takes byte-level .json tokenizers")
     shared = docs.sparkSession.sparkContext.broadcast((raw, json_vocabulary(raw)))  # a tokenizer file: of fixed size
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = Library(*shared.value, False)
         for batch in batches:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import LAST, cuts, deal, merged, opened, runs, squeeze, unsqueeze
-from .kernels import U, chunks, mix, pack, rolling, span_hashes, unpack, word_spans
+from .kernels import U, chunks, mix, pack, rolling, span_hashes, tidy, unpack, word_spans
 
 SHORT = 5  # bytes of a hash in the first count
 
@@ -47,6 +47,7 @@ def dedup_windows(docs: DataFrame, width: int = 20, doc_id: str = "doc_id", text
     dealt, n = deal(docs, doc_id, text)
     blob = "bucket int, part int, kind int, data binary"
 
+    @tidy
     def first_count(table: pa.Table) -> pa.Table:
         _, buf, offsets = opened(table)
         h, _, _ = batch_windows(buf, offsets, width)
@@ -55,6 +56,7 @@ def dedup_windows(docs: DataFrame, width: int = 20, doc_id: str = "doc_id", text
         rows = [(k, 0, pack(h[a:b], SHORT) + np.packbits(counts[a:b] > 1).tobytes()) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
         return _blobs(rows, table["part"][0].as_py())
 
+    @tidy
     def repeated(table: pa.Table) -> pa.Table:
         parts, sizes, hashes, twice = table["part"].to_pylist(), [], [], []
         for data in table["data"].to_pylist():
@@ -72,6 +74,7 @@ def dedup_windows(docs: DataFrame, width: int = 20, doc_id: str = "doc_id", text
         bucket = table["bucket"][0].as_py()
         return pa.table({"bucket": pa.array([bucket] * len(parts), pa.int32()), "part": pa.array(parts, pa.int32()), "kind": pa.array([0] * len(parts), pa.int32()), "data": pa.array([np.packbits(shared[a:b]).tobytes() for a, b in zip(done, done[1:], strict=False)], pa.binary())})
 
+    @tidy
     def candidates(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows or not answers.num_rows:
             return _blobs([], 0)
@@ -93,6 +96,7 @@ def dedup_windows(docs: DataFrame, width: int = 20, doc_id: str = "doc_id", text
                 rows.append((k, 2, pack(u[a:b], 8) + pack(owner[a:b].astype(U), 8) + pack(at[a:b].astype(U), 4)))
         return _blobs(rows, part)
 
+    @tidy
     def decide(table: pa.Table) -> pa.Table:
         kinds, parts, data = (table[c].to_pylist() for c in ("kind", "part", "data"))
         out = [(p, d) for k, p, d in zip(kinds, parts, data, strict=True) if k == 1]
@@ -109,6 +113,7 @@ def dedup_windows(docs: DataFrame, width: int = 20, doc_id: str = "doc_id", text
             out += [(p, squeeze(pack(np.sort(at[a:b][later[a:b]]), 4))) for (p, _), a, b in zip(own, done, done[1:], strict=False) if later[a:b].any()]
         return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), "data": pa.array([d for _, d in out], pa.binary())})
 
+    @tidy
     def finish(table: pa.Table, places: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({f.name: pa.array([], f.type) for f in _RESULT})

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from .batches import LAST, ORDER, cuts, deal, merged, opened, runs, squeeze, unsqueeze
-from .kernels import BASE, BYTE_VALUE, U, chunks, mix, pack, rolling, slide, unpack
+from .kernels import BASE, BYTE_VALUE, U, chunks, mix, pack, rolling, slide, tidy, unpack
 
 GRAM = 24
 SHORT = 6  # bytes of an anchor's hash that are sent
@@ -184,6 +184,7 @@ def dedup_bytes(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text:
     blob, reach = "bucket int, part int, data binary, more binary", width - GRAM
     size = reach + width
 
+    @tidy
     def tell(table: pa.Table) -> pa.Table:
         ids, buf, offsets = opened(table)
         h, place = anchors(buf, offsets, width)
@@ -198,6 +199,7 @@ def dedup_bytes(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text:
         rows = [(k, pack(h[a:b], SHORT), squeeze(count[a:b].astype(np.uint8).tobytes())) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
         return _blobs(rows, table["part"][0].as_py())
 
+    @tidy
     def shared(table: pa.Table) -> pa.Table:
         """For each blob: 0 for an anchor that one document has, 1 for a shared one, 2 for a hot one."""
         hashes = [unpack(x, SHORT) for x in table["data"].to_pylist()]
@@ -214,6 +216,7 @@ def dedup_bytes(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text:
         m = table.num_rows
         return pa.table({"bucket": table["bucket"].cast(pa.int32()), "part": table["part"].cast(pa.int32()), "data": pa.array([squeeze(out[a:b].tobytes()) for a, b in zip(done, done[1:], strict=False)], pa.binary()), "more": pa.array([b""] * m, pa.binary())})
 
+    @tidy
     def send(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows or not answers.num_rows:
             return _blobs([], 0)
@@ -237,6 +240,7 @@ def dedup_bytes(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text:
                 rows.append((k, squeeze(head), pack(places[c:d].astype(U), 4) + np.packbits(later[c:d]).tobytes()))
         return _blobs(rows, table["part"][0].as_py())
 
+    @tidy
     def decide(table: pa.Table) -> pa.Table:
         heads, counts_of = [], []
         for data in table["data"].to_pylist():
@@ -289,6 +293,7 @@ def dedup_bytes(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text:
                 out.append((parts[k], squeeze(pack(s.astype(U), 4) + pack(t.astype(U), 4))))
         return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), "data": pa.array([d for _, d in out], pa.binary())})
 
+    @tidy
     def finish(table: pa.Table, spans: pa.Table) -> pa.Table:
         if not table.num_rows:
             return result.empty_table()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import chunks, text_bytes
+from .kernels import chunks, text_bytes, tidy
 from .pretokens import Vocabulary, flat_ids, resolve
 
 REMEMBERED = 1_000_000  # pieces that a worker keeps; beyond it the memory is emptied and filled anew
@@ -158,6 +158,7 @@ def token_counts(df: DataFrame, path: str, limit: int = 512, text: str = "text",
 
         return count
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter()
         for batch in batches:

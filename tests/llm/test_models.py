@@ -91,7 +91,7 @@ def test_toxicity_learns_on_held_out_rows(spark):
 
 def test_ftrl_weights_are_sparse():
     model = toxicity.Ftrl()
-    for k in range(400):
+    for k in range(4000):
         model.learn(np.array([1 + k % 2, 5 + k // 2 % 50, 0]), np.ones(3), k % 2, 1.0)
     w = model.weights(np.arange(60))
     assert w[1] <= 0 < w[2] and (w[5:55] == 0).mean() > 0.5
