@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .batches import LAST, bucket_of, runs, squeeze, unsqueeze
 from .components import components
-from .kernels import LOWER, U, chunks, expand, mix, pack, rolling, span_hashes, text_bytes, unpack, word_spans
+from .kernels import LOWER, U, chunks, expand, mix, pack, rolling, span_hashes, text_bytes, tidy, unpack, word_spans
 from .state import materialise
 
 SHORT = 5  # bytes of a subset's hash besides its bucket
@@ -31,6 +31,7 @@ RESERVED = 4  # segments of a band with one-deletion neighbourhoods
 SKETCH = 256, 8192  # bits of a parity sketch, at least and at most; it has more than a set has shingles
 BLOCK = 1024  # sets of a group that are compared with as many others at once
 BROADCAST_IDS = 1_000_000  # more ids than these (8 MB) are joined by shuffle
+LOCAL = 8 << 20  # bytes of text whose sets are handled together
 VALUE = 6  # bytes of a shingle's hash in verification
 
 
@@ -142,6 +143,13 @@ def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of about LOCAL bytes of text, so that a task's arrays stay small."""
+    _, offsets = text_bytes(batch.column(1))
+    for i, j in chunks(offsets, LOCAL):
+        yield batch.slice(i, j - i)
+
+
 def sketch(values: np.ndarray) -> bytes:
     """Parity of the shingles that fall on each bit: sketches differ in no more bits than their sets do in shingles."""
     bits = min(SKETCH[1], max(SKETCH[0], 1 << int(np.ceil(np.log2(1.5 * max(len(values), 1))))))
@@ -173,9 +181,10 @@ def candidates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame
     that one of them or a third asks with, x being the least such. LACKING: document x could not ask enough."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    @tidy
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.list_(pa.binary()))])
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             ids = batch.column(0).to_numpy()
             buf, offsets = text_bytes(batch.column(1))
             order = np.argsort(ids, kind="stable")
@@ -206,6 +215,7 @@ def candidates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame
                     rows.append((k, PAIR, pack(sig[at], SHORT), squeeze(np.packbits(asks[at]).tobytes().ljust(-(-len(at) // 8)) + pack(ids[lead[own]].astype(U), 8) + pack(count.astype(U), 4)), None))
             yield from _rows(schema, rows).to_batches()
 
+    @tidy
     def meet(table: pa.Table) -> pa.Table:
         out, sigs, owners, asking = [], [], [], []
         sketches: list = []
@@ -252,6 +262,7 @@ def candidates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(doc_id, shingles binary) of the documents in ids(doc_id)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, before = shingle_sets(*text_bytes(batch.column(1)), width)
@@ -266,6 +277,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) that sizes and sketches do not rule out; nothing that is similar enough is lost."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, n, b, m = (batch.column(k).to_pylist() for k in range(2, 6))
@@ -287,6 +299,7 @@ def _linked(docs: DataFrame, likely: DataFrame, width: int, percent: int) -> Dat
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) whose sets are similar: 100 * common >= percent * united."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
@@ -318,6 +331,7 @@ def _across(pairs: DataFrame, label: DataFrame, sketches: DataFrame, percent: in
     # Many small groups share a call.
     ready = dealt.join(sketches, "doc_id").select(F.pmod(F.xxhash64("g"), F.lit(lots)).alias("lot"), "g", "i", "j", "own", "doc_id", "inside", "n", "sketch")
 
+    @tidy
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by("g")
         groups, all_ids, all_inside, all_n, all_own = (table[c].to_numpy() for c in ("g", "doc_id", "inside", "n", "own"))
@@ -359,12 +373,9 @@ def near_duplicates(docs: DataFrame, doc_id: str | Column = "doc_id", text: str
     links = _linked(own, _likely(pairs, sketches, percent), width, percent)
     label = components(links)
     more = _linked(own, _across(pairs, label, sketches, percent, max(8, pairs.count() // 20_000)), width, percent)
-    if more.limit(1).count():
-        label = components(links.unionByName(more))
-    same = members.where("x <> y").select("x", "y")
-    if same.limit(1).count():
-        # A shared id ties its rows together even if their sets differ.
-        spread = label.select(F.col("node").alias("x"), F.col("component").alias("y"))
-        label = components(spread.unionByName(same))
+    # Rows of one batch with equal sets hang on one of them; a shared id ties its rows together even if their sets differ.
+    ties = more.unionByName(members.where("x <> y").select("x", "y"))
+    if ties.limit(1).count():
+        label = components(label.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(ties))
     out = members.join(label, members["x"] == label["node"], "left")
     return out.select(F.nullif("x", F.lit(LAST)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "x"), F.lit(LAST)).alias("component_id"))
