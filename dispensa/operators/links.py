@@ -6,6 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
+
+from ..functions.text import clean_generic, fold_accents, norm_label
 
 
 def join_medicine(market: DataFrame, medicines: DataFrame) -> DataFrame:
@@ -62,20 +65,121 @@ def rewrite_array_fk(df: DataFrame, key: str, refs: str, ids: DataFrame, old: st
 def ranked_match(left: DataFrame, key: str, steps: list[tuple[Column, DataFrame, bool]]) -> DataFrame:
     """(key, match, step): a cascade of equi-joins; the first step that finds something wins, then the smallest id.
 
-    A step is (value on the left, candidates(value, id), whether it counts only if there is exactly one
-    candidate). All steps are one union of equi-joins, so nothing is looked up row by row.
+    A step is (value on the left, or an array of values, candidates(value, id), whether it counts only if there is
+    exactly one candidate). All steps are one union of equi-joins, so nothing is looked up row by row.
     """
     found = []
     for k, (value, candidates, unique) in enumerate(steps):
         c = candidates.where(F.col("value").isNotNull()).select("value", "id").distinct()
         c = c.groupBy("value").agg(F.min("id").alias("id"), F.count("*").alias("n"))
         c = (c.where("n = 1") if unique else c).select(F.col("value").alias("__v"), "id")
-        keyed = left.select(key, value.alias("__w")).where("__w is not null")
+        keyed = left.select(key, value.alias("__w"))
+        if isinstance(keyed.schema["__w"].dataType, ArrayType):
+            keyed = keyed.select(key, F.explode("__w").alias("__w"))
+        keyed = keyed.where("__w is not null")
         found.append(keyed.join(c, keyed["__w"] == c["__v"]).select(key, F.lit(k).alias("step"), "id"))
     best = reduce(DataFrame.union, found).groupBy(key).agg(F.min(F.struct("step", "id")).alias("__b"))
     return left.select(key).join(best, key, "left").select(key, F.col("__b.id").alias("match"), F.col("__b.step").alias("step"))
 
 
+def resolve_names(items: DataFrame, dim: DataFrame) -> DataFrame:
+    """(item, match, step) for items(item, generic, brand) in dim(id, key, inns): the generic name among the inns, as the key, its first word likewise, then the brand likewise if only one row has it."""
+    keys = dim.select(F.upper("key").alias("value"), "id")
+    inns = dim.select(F.explode("inns").alias("value"), "id").withColumn("value", F.upper("value"))
+    generic, brand = (F.nullif(clean_generic(F.col(c)), F.lit("")) for c in ("generic", "brand"))
+    head = F.when(F.contains(generic, F.lit(" ")), F.split(generic, " ")[0])
+    return ranked_match(items, "item", [(value, names, value is brand) for value in (generic, head, brand) for names in (inns, keys)])
+
+
+def match_identity(items: DataFrame, dim: DataFrame) -> DataFrame:
+    """(item, match, step) for items(item, inchi, cas, unii, label, synonyms) in dim(id, inchis, cas, unii, synonyms, label).
+
+    Steps: structure key; registry number, synonyms included; ingredient code, also as the synonym
+    ``UNII-code``; label or one of the first 50 synonyms, normalised, as the label.
+    """
+    said = dim.select(F.explode("synonyms").alias("value"), "id")
+    of = lambda c: dim.select(F.col(c).alias("value"), "id")
+    codes = said.where(F.startswith("value", F.lit("UNII-"))).withColumn("value", F.substring("value", 6, 1_000))
+    names = F.transform(F.concat(F.array("label"), F.slice(F.coalesce("synonyms", F.array()), 1, 50)), norm_label)
+    labels = dim.select(norm_label(F.col("label")).alias("value"), "id")
+    return ranked_match(items, "item", [(F.col("inchi"), dim.select(F.explode("inchis").alias("value"), "id"), False), (F.col("cas"), of("cas").union(said), False), (F.col("unii"), of("unii").union(codes), False), (F.filter(names, lambda x: x != ""), labels, False)])
+
+
+GRAM = 3  # characters of the grams that contains joins meet by
+
+
+def contained(parts: DataFrame, names: DataFrame) -> DataFrame:
+    """(value, id): the smallest id of names(name, id) that contain each of parts(value), values of GRAM characters or more.
+
+    An equi-join: a value meets the names that hold the one of its grams that fewest names hold, then the rest is compared.
+    """
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (GRAM - 1)), lambda k: F.substring(c, k, F.lit(GRAM))))
+    whole = names.where(F.length("name") >= GRAM).groupBy("name").agg(F.min("id").alias("id"))
+    held = whole.select("name", "id", F.explode(grams(F.col("name"))).alias("__g"))
+    asked = parts.where(F.length("value") >= GRAM).select("value").distinct().select("value", F.explode(grams(F.col("value"))).alias("__g"))
+    counts = held.groupBy("__g").agg(F.count("*").alias("__n"))
+    rarest = asked.join(counts, "__g", "left").groupBy("value").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__g")).alias("__r"))
+    met = rarest.where("__r.n > 0").select("value", F.col("__r.__g").alias("__g")).join(held, "__g")
+    return met.where(F.contains("name", F.col("value"))).groupBy("value").agg(F.min("id").alias("id"))
+
+
+def _first_hit(asked: DataFrame, hits: DataFrame, rank: list[str]) -> DataFrame:
+    """(item, match, step): the least hit(value, step, id) of what each item asks for, by rank, step and id."""
+    best = asked.join(hits, "value").groupBy("item").agg(F.min(F.struct(*rank, "step", "id")).alias("__b"))
+    return best.select("item", F.col("__b.id").alias("match"), F.col("__b.step").alias("step"))
+
+
+def resolve_substance(items: DataFrame, substances: DataFrame, medicines: DataFrame) -> DataFrame:
+    """(item, match, path, step) for items(item, medicine_id, medicine_ref, label).
+
+    Names are tried in order of path: 0 medicine_id; of the medicines(medicine_ref, inns, labels, refs) that
+    medicine_ref leads to 1 the inns, 2 the substance labels, 3 the refs, which are ids themselves; 4 the item's own label. A
+    name finds substances(id, label, legacy, synonyms) by 0 label, 1 legacy label, 2 synonym, 3 the 7-character prefix of its
+    longest word (6 letters or more, accents folded) anywhere in a label; the smallest id wins. Case is ignored.
+    """
+    low = lambda c: F.lower(F.col(c))
+    linked = items.select("item", "medicine_ref").join(medicines, "medicine_ref")
+    of = lambda df, path, value: df.select("item", F.lit(path).alias("path"), F.lit(0).alias("pos"), F.col(value).alias("value"))
+    each = lambda path, value: linked.select("item", F.lit(path).alias("path"), F.posexplode(value).alias("pos", "value"))
+    asked = of(items, 0, "medicine_id").union(each(1, "inns")).union(each(2, "labels")).union(of(items, 4, "label")).withColumn("value", low("value")).where("value <> ''")
+    names = asked.select("value").distinct()
+    labels = substances.select(low("label").alias("value"), "id")
+    legacy = substances.select(low("legacy").alias("value"), "id")
+    synonyms = substances.select(F.explode(F.transform("synonyms", F.lower)).alias("value"), "id")
+    exact = ranked_match(names, "value", [(F.col("value"), df, False) for df in (labels, legacy, synonyms)]).where("match is not null")
+    words = F.split(F.regexp_replace(F.regexp_replace("value", r"[^a-zA-ZÀ-ÿ\s]", ""), r"\s+", " "), " ")
+    longest = F.aggregate(words, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+    cut = names.join(exact, "value", "left_anti").select("value", F.when(F.length(longest) >= 6, F.substring(fold_accents(longest), 1, 7)).alias("__p")).where("__p is not null")
+    anywhere = cut.join(contained(cut.select(F.col("__p").alias("value")), labels.withColumnRenamed("value", "name")).withColumnRenamed("value", "__p"), "__p")
+    hits = exact.select("value", "step", F.col("match").alias("id")).union(anywhere.select("value", F.lit(3), "id"))
+    named = asked.join(hits, "value").select("item", "path", "pos", "step", "id")
+    refs = each(3, "refs").withColumnRenamed("value", "id").join(substances.select("id"), "id", "left_semi").select("item", "path", "pos", F.lit(0).alias("step"), "id")
+    best = named.union(refs).groupBy("item").agg(F.min(F.struct("path", "pos", "step", "id")).alias("__b"))
+    return items.select("item").join(best, "item", "left").select("item", F.col("__b.id").alias("match"), F.col("__b.path").alias("path"), F.col("__b.step").alias("step"))
+
+
+def resolve_pgx(items: DataFrame, kb: DataFrame, relations: DataFrame) -> DataFrame:
+    """(item, match, step) for items(item, names) in the knowledge base kb(id, name, synonyms) with relations(drug_name, id).
+
+    An item's names of three characters or more are tried single words first, then longest, then in order of spelling; each by 0
+    the exact name, 1 a name that contains it, 2 a synonym that contains it, 3 the drug of a relation of that name. Of one
+    step's hits the smallest id wins. Case is ignored.
+    """
+    asked = items.select("item", F.explode("names").alias("value")).withColumn("value", F.lower("value")).where("length(value) >= 3").distinct()
+    asked = asked.withColumns({"several": F.col("value").rlike("[ -]"), "short": -F.length("value"), "spelled": F.col("value")})
+    names = asked.select("value").distinct()
+    named = kb.select(F.lower("name").alias("value"), "id")
+    synonyms = kb.select(F.explode(F.transform("synonyms", F.lower)).alias("name"), "id")
+    known = relations.select(F.lower("drug_name").alias("value"), "id").join(kb.select("id"), "id", "left_semi").select("value", "id")
+    exact = ranked_match(names, "value", [(F.col("value"), named, False)]).where("match is not null").select("value", "step", F.col("match").alias("id"))
+    rest = names.join(exact, "value", "left_anti")
+    inside = contained(rest, named.withColumnRenamed("value", "name")).select("value", F.lit(1).alias("step"), "id")
+    alias = contained(rest, synonyms).select("value", F.lit(2).alias("step"), "id")
+    related = rest.join(known, "value").groupBy("value").agg(F.min("id").alias("id")).select("value", F.lit(3).alias("step"), "id")
+    found = _first_hit(asked, exact.union(inside).union(alias).union(related), ["several", "short", "spelled"])
+    return items.select("item").join(found, "item", "left")
+
+
 def theta_rest(left: DataFrame, key: str, value: str, matched: DataFrame, dim: DataFrame, test) -> DataFrame:
     """(key, id): smallest id of the dimension rows that meet test(value, name), for rows of left that equi-joins left unmatched only."""
     rest = left.join(matched.where("match is not null").select(key), key, "left_anti")

@@ -110,6 +110,73 @@ def jn12_resolve_pgx(spark: SparkSession, d: str) -> DataFrame:
     return exact.join(rest, "item", "left").select("item", F.coalesce("match", "id").alias("match"))
 
 
+@query("""WITH dim AS (SELECT p_partkey AS id, upper(p_type || ' ' || p_size) AS key, [upper(p_name), upper(split_part(p_name, ' ', 1)) || p_size] AS inns FROM part WHERE p_partkey % 2 = 0), inn AS (SELECT DISTINCT id, unnest(inns) AS name FROM dim),
+items AS (SELECT p_partkey AS item, upper(CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_type || ' ' || p_size WHEN 2 THEN split_part(p_name, ' ', 1) || p_size || ' x' ELSE 'none' END) AS generic, upper(CASE p_partkey % 8 WHEN 3 THEN p_type || ' ' || p_size ELSE p_name END) AS brand FROM part),
+tried AS (SELECT item, 0 AS step, generic AS name FROM items UNION ALL SELECT item, 2, split_part(generic, ' ', 1) FROM items WHERE contains(generic, ' ')),
+steps AS (SELECT item, step, id FROM tried JOIN inn USING (name) UNION ALL SELECT item, step + 1, id FROM tried JOIN dim ON key = name UNION ALL SELECT item, 4, id FROM items JOIN (SELECT name, min(id) AS id FROM inn GROUP BY name HAVING count(*) = 1) ON name = brand UNION ALL SELECT item, 5, id FROM items JOIN (SELECT key, min(id) AS id FROM dim GROUP BY key HAVING count(*) = 1) ON key = brand)
+SELECT items.item, m.match, m.step FROM items LEFT JOIN (SELECT item, arg_min(id, (step, id)) AS match, min(step) AS step FROM steps GROUP BY item) m ON m.item = items.item""")
+def jn09_resolve_names_cascade(spark: SparkSession, d: str) -> DataFrame:
+    part, k4 = t(spark, d, "part"), F.col("p_partkey") % 4
+    kind = F.concat_ws(" ", "p_type", "p_size")
+    coined = F.concat(first_word(F.col("p_name")), "p_size")
+    generic = F.when(k4 == 0, F.col("p_name")).when(k4 == 1, kind).when(k4 == 2, F.concat(coined, F.lit(" x"))).otherwise(F.lit("none"))
+    items = part.select(F.col("p_partkey").alias("item"), generic.alias("generic"), F.when(F.col("p_partkey") % 8 == 3, kind).otherwise(F.col("p_name")).alias("brand"))
+    return k.resolve_names(items, part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), kind.alias("key"), F.array("p_name", coined).alias("inns")))
+
+
+@query("""WITH dim AS (SELECT s_suppkey AS id, [md5(s_name), md5(s_nationkey::VARCHAR)] AS inchis, 'C' || s_suppkey % 50 AS cas, 'U' || s_suppkey % 30 AS unii, ['UNII-V' || s_suppkey % 20, 'D' || s_suppkey % 40] AS synonyms, s_name AS label FROM supplier WHERE s_suppkey % 3 = 0),
+items AS (SELECT p_partkey AS item, CASE WHEN p_partkey % 7 = 0 THEN md5((p_partkey % 60)::VARCHAR) END AS inchi, CASE p_partkey % 5 WHEN 0 THEN 'C' || p_size WHEN 1 THEN 'D' || p_size END AS cas, CASE p_partkey % 3 WHEN 0 THEN 'U' || p_size WHEN 1 THEN 'V' || p_size END AS unii, p_name AS label, ['none', ' supplier#' || lpad((p_partkey % 1000)::VARCHAR, 9, '0')] AS synonyms FROM part),
+steps AS (SELECT item, 0 AS step, id FROM items JOIN (SELECT id, unnest(inchis) AS v FROM dim) ON v = inchi UNION ALL SELECT item, 1, id FROM items JOIN (SELECT id, cas AS v FROM dim UNION ALL SELECT id, unnest(synonyms) FROM dim) ON v = cas
+UNION ALL SELECT item, 2, id FROM items JOIN (SELECT id, unii AS v FROM dim UNION ALL SELECT id, substr(s, 6) FROM (SELECT id, unnest(synonyms) AS s FROM dim) WHERE starts_with(s, 'UNII-')) ON v = unii UNION ALL SELECT item, 3, id FROM (SELECT item, upper(trim(unnest(list_concat([label], synonyms)))) AS v FROM items) i JOIN dim ON upper(trim(dim.label)) = v)
+SELECT items.item, m.match, m.step FROM items LEFT JOIN (SELECT item, arg_min(id, (step, id)) AS match, min(step) AS step FROM steps GROUP BY item) m ON m.item = items.item""")
+def jn10_match_identity_cascade(spark: SparkSession, d: str) -> DataFrame:
+    part, key = t(spark, d, "part"), F.col("p_partkey")
+    of = lambda mark, c: F.concat(F.lit(mark), c)
+    cas = F.when(key % 5 == 0, of("C", "p_size")).when(key % 5 == 1, of("D", "p_size"))
+    unii = F.when(key % 3 == 0, of("U", "p_size")).when(key % 3 == 1, of("V", "p_size"))
+    synonyms = F.array(F.lit("none"), of(" supplier#", F.lpad((key % 1000).cast("string"), 9, "0")))
+    items = part.select(key.alias("item"), F.when(key % 7 == 0, F.md5((key % 60).cast("string"))).alias("inchi"), cas.alias("cas"), unii.alias("unii"), F.col("p_name").alias("label"), synonyms.alias("synonyms"))
+    s = F.col("s_suppkey")
+    dim = t(spark, d, "supplier").where("s_suppkey % 3 = 0").select(s.alias("id"), F.array(F.md5("s_name"), F.md5(F.col("s_nationkey").cast("string"))).alias("inchis"), of("C", s % 50).alias("cas"), of("U", s % 30).alias("unii"), F.array(of("UNII-V", s % 20), of("D", s % 40)).alias("synonyms"), F.col("s_name").alias("label"))
+    return k.match_identity(items, dim)
+
+
+@query(f"""WITH {MEDICINES}, substances AS (SELECT s_suppkey AS id, lower(s_name) AS label, 'leg' || s_suppkey % 25 AS legacy, ['syn ' || s_suppkey % 40, 'alt ' || s_suppkey] AS synonyms FROM supplier WHERE s_suppkey % 5 <> 0),
+items AS (SELECT p_partkey AS item, CASE p_partkey % 6 WHEN 0 THEN 'LEG' || p_size WHEN 1 THEN p_name END AS medicine_id, CASE WHEN p_partkey % 6 < 5 THEN p_partkey END AS ref, CASE p_partkey % 12 WHEN 5 THEN 'Fine Suppliéres ' || p_size WHEN 11 THEN 'Supplier#' || lpad((p_partkey % 1000)::VARCHAR, 9, '0') ELSE p_name END AS label, p_size AS size FROM part),
+linked AS (SELECT item, [p_name, 'Alt ' || size] AS inns, ['none', 'Syn ' || item % 50] AS labels, refs FROM items JOIN medicines ON ref = medicines.medicine_id WHERE item % 6 <> 3 UNION ALL SELECT item, [p_name], NULL, refs FROM items JOIN medicines ON ref = medicines.medicine_id WHERE item % 6 = 3),
+asked AS (SELECT item, 0 AS path, 0 AS pos, lower(medicine_id) AS name FROM items UNION ALL SELECT item, 1, unnest(range(0, len(inns))), lower(unnest(inns)) FROM linked UNION ALL SELECT item, 2, unnest(range(0, len(labels))), lower(unnest(labels)) FROM linked UNION ALL SELECT item, 4, 0, lower(label) FROM items),
+names AS (SELECT name, CASE WHEN length(l) >= 6 THEN substr(strip_accents(l), 1, 7) END AS prefix FROM (SELECT name, list_reduce(string_split(regexp_replace(name, '[^a-zA-ZÀ-ÿ\\s]', '', 'g'), ' '), lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END) AS l FROM (SELECT DISTINCT name FROM asked WHERE name <> ''))),
+hits AS (SELECT name, 0 AS step, id FROM names JOIN substances ON name = label UNION ALL SELECT name, 1, id FROM names JOIN substances ON name = legacy UNION ALL SELECT name, 2, id FROM names JOIN (SELECT id, unnest(synonyms) AS s FROM substances) ON s = name UNION ALL SELECT name, 3, min(id) FROM names JOIN substances ON contains(label, prefix) GROUP BY name),
+steps AS (SELECT item, path, pos, step, id FROM asked JOIN hits USING (name) UNION ALL SELECT item, 3, pos, 0, ref FROM (SELECT item, unnest(range(0, len(refs))) AS pos, unnest(refs) AS ref FROM linked) WHERE ref IN (SELECT id FROM substances))
+SELECT items.item, m.match, m.path, m.step FROM items LEFT JOIN (SELECT item, arg_min(id, (path, pos, step, id)) AS match, arg_min(path, (path, pos, step, id)) AS path, arg_min(step, (path, pos, step, id)) AS step FROM steps GROUP BY item) m ON m.item = items.item""")
+def jn11_resolve_substance_cascade(spark: SparkSession, d: str) -> DataFrame:
+    part, key, s = t(spark, d, "part"), F.col("p_partkey"), F.col("s_suppkey")
+    of = lambda mark, c: F.concat(F.lit(mark), c)
+    label = F.when(key % 12 == 5, of("Fine Suppliéres ", "p_size")).when(key % 12 == 11, of("Supplier#", F.lpad((key % 1000).cast("string"), 9, "0"))).otherwise(F.col("p_name"))
+    items = part.select(key.alias("item"), F.when(key % 6 == 0, of("LEG", "p_size")).when(key % 6 == 1, F.col("p_name")).alias("medicine_id"), F.when(key % 6 < 5, key).alias("medicine_ref"), label.alias("label"))
+    dim = t(spark, d, "supplier").where("s_suppkey % 5 <> 0").select(s.alias("id"), F.col("s_name").alias("label"), of("leg", s % 25).alias("legacy"), F.array(of("syn ", s % 40), of("alt ", s)).alias("synonyms"))
+    ref = F.col("medicine_id")
+    sizes = part.select(key.alias("medicine_id"), "p_size")
+    few = ref % 6 == 3
+    meds = medicines(spark, d).join(sizes, "medicine_id").select(ref.alias("medicine_ref"), F.when(few, F.array("p_name")).otherwise(F.array("p_name", of("Alt ", "p_size"))).alias("inns"), F.when(~few, F.array(F.lit("none"), of("Syn ", ref % 50))).alias("labels"), "refs")
+    return k.resolve_substance(items, dim, meds)
+
+
+@query("""WITH kb AS (SELECT p_partkey AS id, lower(p_name) AS name, [lower(p_brand), lower(p_type)] AS synonyms FROM part WHERE p_partkey % 20 = 0), relations AS (SELECT 'rel ' || p_size AS drug_name, p_partkey AS id FROM part WHERE p_partkey % 10 = 0),
+items AS (SELECT p_partkey AS item, lower(unnest([p_name || ' ' || p_size, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN split_part(p_name, ' ', 1) WHEN 2 THEN p_brand WHEN 3 THEN 'Rel ' || p_size ELSE 'no' END, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_name END])) AS name FROM part),
+names AS (SELECT DISTINCT name FROM items WHERE length(name) >= 3),
+hits AS (SELECT name, 0 AS step, id FROM names JOIN kb USING (name) UNION ALL SELECT names.name, 1, min(id) FROM names JOIN kb ON contains(kb.name, names.name) GROUP BY ALL UNION ALL SELECT name, 2, min(id) FROM names JOIN (SELECT id, unnest(synonyms) AS s FROM kb) ON contains(s, name) GROUP BY ALL UNION ALL SELECT name, 3, id FROM names JOIN relations ON drug_name = name WHERE id IN (SELECT id FROM kb)),
+ranked AS (SELECT item, step, id, (regexp_matches(name, '[ -]'), -length(name), name, step, id) AS r FROM items JOIN hits USING (name))
+SELECT p_partkey AS item, m.match, m.step FROM part LEFT JOIN (SELECT item, arg_min(id, r) AS match, arg_min(step, r) AS step FROM ranked GROUP BY item) m ON m.item = p_partkey""")
+def jn12_resolve_pgx_cascade(spark: SparkSession, d: str) -> DataFrame:
+    part, key = t(spark, d, "part"), F.col("p_partkey")
+    related = F.concat(F.lit("Rel "), "p_size")
+    second = F.when(key % 5 == 0, F.col("p_name")).when(key % 5 == 1, first_word(F.col("p_name"))).when(key % 5 == 2, F.col("p_brand")).when(key % 5 == 3, related).otherwise(F.lit("no"))
+    items = part.select(key.alias("item"), F.array(F.concat_ws(" ", "p_name", "p_size"), second, F.when(key % 3 == 0, F.col("p_type")).otherwise(F.col("p_name"))).alias("names"))
+    kb = part.where("p_partkey % 20 = 0").select(key.alias("id"), F.col("p_name").alias("name"), F.array("p_brand", "p_type").alias("synonyms"))
+    return k.resolve_pgx(items, kb, part.where("p_partkey % 10 = 0").select(related.alias("drug_name"), key.alias("id")))
+
+
 @query("""WITH dim AS (SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey % 3 = 0), items AS (SELECT p_partkey AS item, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE substr(p_name, 1, 6) END AS value FROM part),
 exact AS (SELECT item, min(id) AS id FROM items JOIN dim ON value = name GROUP BY item), pre AS (SELECT item, min(id) AS id FROM items JOIN dim ON starts_with(name, value) WHERE item NOT IN (SELECT item FROM exact) AND length(value) >= 3 GROUP BY item)
 SELECT items.item, coalesce(exact.id, pre.id) AS match FROM items LEFT JOIN exact USING (item) LEFT JOIN pre USING (item)""")
