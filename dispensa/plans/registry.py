@@ -25,6 +25,11 @@ def query(sql: str | None = None):
     return add
 
 
+def oracle_sql_of(name: str) -> str:
+    """The SQL of a query that is registered already."""
+    return _ORACLES[name]
+
+
 def _load() -> None:
     for name in MODULES:
         import_module(f"dispensa.plans.{name}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as x
 from ..functions import values as v
-from .registry import query
+from .registry import oracle_sql_of, query
 from .views import MEDICINES, medicines, t
 
 
@@ -166,3 +166,26 @@ def json02_walk_sections(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_orderkey, l_linenumber, l_partkey, least(greatest(l_quantity, 5), 40) AS q FROM lineitem")
 def math01_clamp(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", v.clamp(F.col("l_quantity"), 5.0, 40.0).alias("q"))
+
+
+# The queries above whose SQL takes one language, over all documents: other languages, and null languages and texts.
+@query(oracle_sql_of("str02_fold_accents").replace(" WHERE lang = 'fr'", ""))
+def str02_fold_accents_all(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "documents").select("doc_id", F.md5(x.fold_accents(F.col("text"))).alias("folded"))
+
+
+@query(f"SELECT doc_id, (SELECT count(DISTINCT upper(translate(replace(w, 'ß', 'ss'), '{x.ACCENTED}', '{x.FOLDED}'))) FROM (SELECT unnest(regexp_split_to_array(text, '[ \\n]+')) AS w) WHERE regexp_matches(w, '^[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ-]{{1,29}}$')) AS n FROM documents")
+def str08_brand_like_all(spark: SparkSession, d: str) -> DataFrame:
+    words = x.brand_like(F.split("text", "[ \\n]+"), 1_000_000)
+    return t(spark, d, "documents").select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(words)).cast("long").alias("n"))
+
+
+@query(oracle_sql_of("str13_excerpt").replace(" WHERE lang = 'en'", ""))
+def str13_excerpt_all(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "documents").select("doc_id", x.excerpt(F.col("text"), "the ").alias("excerpt"))
+
+
+@query(oracle_sql_of("str14_relevance").replace("FROM documents WHERE lang = 'en'", "FROM (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source FROM documents)"))
+def str14_relevance_all(spark: SparkSession, d: str) -> DataFrame:
+    title = F.split("text", "\n")[0]
+    return t(spark, d, "documents").select("doc_id", x.relevance(title, F.array("source"), F.lit(""), F.lit(""), F.col("text"), ["the", "src1"]).cast("long").alias("score"))

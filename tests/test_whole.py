@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from dispensa.operators import links
+from dispensa.plans import registry
 
 
 def found(df, *columns):
@@ -34,3 +35,18 @@ def test_identity_by_synonyms_and_names_by_key(spark):
     meds = spark.createDataFrame([(1, "ALPHA KEY", ["A B"]), (2, "HEAD", ["C"])], "id long, key string, inns array<string>")
     asked = spark.createDataFrame([(1, "alpha key", None), (2, "head tail", None), (3, "none", "c")], "item long, generic string, brand string")
     assert found(links.resolve_names(asked, meds), "match", "step") == {1: (1, 1), 2: (2, 3), 3: (2, 4)}
+
+
+def corpus(spark, tmp_path):
+    rows = [(1, "Füße, été the word", "de", "src1"), (2, "the Été.\nFüße FÜSSE", None, "src2"), (3, None, "en", None), (4, "ñandú", "es", "src1")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_text_queries_take_every_language(spark, tmp_path):
+    d = corpus(spark, tmp_path)
+    rows = lambda name, c: {r["doc_id"]: r[c] for r in registry.queries()[name](spark, d).collect()}
+    assert rows("str08_brand_like_all", "n") == {1: 3, 2: 2, 3: 0, 4: 1}
+    assert rows("str13_excerpt_all", "excerpt") == {1: "Füße, été the word", 2: "the Été....", 3: None, 4: "ñandú..."}
+    assert rows("str14_relevance_all", "score") == {1: 11 + 2 + 19, 2: 13, 3: 0, 4: 19}
+    assert set(rows("str02_fold_accents_all", "folded")) == {1, 2, 3, 4}
