@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import md_to_html, risk_class, worst_level
 from ..operators import corpus as c
 from .registry import query
 from .views import t
@@ -101,3 +102,75 @@ def doc13_document_record(spark: SparkSession, d: str) -> DataFrame:
     s = docs.where("doc_id % 3 <> 0").select("doc_id", F.explode(F.array(*[F.lit(f"4.{k}") for k in range(1, 5)])).alias("code"), F.col("lang").alias("text"))
     out = c.document_record(docs, "doc_id", "lang", "source", s)
     return out.select("doc_id", F.when(F.col("sections").isNotNull(), F.size("sections")).alias("n_sections"), "title", F.md5("search_text").alias("search_text"), "sha256", "status")
+
+
+# The operators over whole texts: lines of the documents, pages and conversations themselves, with generated headers and marks.
+_OUTLINE = ("1. NOM", "4. DONNEES", "4.1. Indications", "5.2. Autre", "6.6. Elimination", "10. Date")
+_OUTLINE_SQL = "[" + ", ".join(f"'{x}'" for x in _OUTLINE) + "]"
+
+
+@query(f"""WITH headed AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 3 = 0 THEN {_OUTLINE_SQL}[((i - 1) // 3) % 6 + 1] ELSE trim(x) END) AS l FROM documents WHERE text IS NOT NULL),
+opened AS (SELECT doc_id, k, max(3 * j) AS p, any_value(l) AS l FROM (SELECT doc_id, l, unnest(range(0, (len(l) + 2) // 3)) AS j FROM headed), LATERAL (SELECT (j % 6 + 1) AS k) GROUP BY doc_id, k)
+SELECT doc_id, split_part({_OUTLINE_SQL}[k], '. ', 1) AS code, md5(array_to_string(list_filter(l[p + 1:least(p + 3, len(l))], lambda x: x <> ''), chr(10))) AS text FROM opened""")
+def doc02_split_outline_text(spark: SparkSession, d: str) -> DataFrame:
+    header = lambda i: F.get(F.array(*[F.lit(x) for x in _OUTLINE]), (i / 3).cast("int") % 6)
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 0, header(i)).otherwise(F.regexp_replace(x, r"^\s*[0-9]+(\.[0-9]+)*\.?\s", "")))
+    text = F.concat(F.lit("preamble\nRÉSUMÉ DES CARACTÉRISTIQUES DU PRODUIT\n"), F.array_join(lines, "\n"), F.lit("\nANNEXE II\nx"))
+    return c.split_outline(t(spark, d, "documents").where("text is not null").select("doc_id", text.alias("text")), "doc_id", "text").withColumn("text", F.md5("text"))
+
+
+# Paragraphs and list items of a page become rows of two tables, those of the article and those of the links.
+_TABLED = (("<ul>", '<div id="links"><table>'), ("</ul>", "</table></div>"), ("<article>", '<div id="article"><table>'), ("</article>", "</table></div>"), ("<li>", "<tr><td>"), ("</li>", "</td></tr>"), ("<p>", "<tr><td>"), ("</p>", "</td></tr>"))
+
+
+def _tabled_sql(html: str) -> str:
+    for a, b in _TABLED:
+        html = f"replace({html}, '{a}', '{b}')"
+    return html
+
+
+_ENTITIES = "replace(replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&')"
+_PLAIN = "array_to_string(list_filter(list_transform(string_split(" + _ENTITIES.format("regexp_replace(regexp_replace(x, '(?i)<br\\s*/?>|</p>', chr(10), 'g'), '<[^>]*>', '', 'g')") + ", chr(10)), lambda y: trim(regexp_replace(y, '\\s+', ' ', 'g'))), lambda y: y <> ''), chr(10))"
+
+
+@query(f"""WITH b AS (SELECT page_id, unnest(regexp_extract_all({_tabled_sql("html")}, '(?is)(id="[^"]+"[^>]*>.*?</table>)', 1)) AS b FROM pages), r AS (SELECT page_id, regexp_extract(b, 'id="([^"]+)"', 1) AS rubric, regexp_extract_all(b, '(?is)<tr[^>]*>(.*?)</tr>', 1) AS rows FROM b)
+SELECT page_id, rubric, row, array_to_string(list_transform(regexp_extract_all(cells, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1), lambda x: {_PLAIN}), '|') AS cells FROM (SELECT page_id, rubric, unnest(range(0, len(rows))) AS row, unnest(rows) AS cells FROM r)""")
+def doc07_html_monograph_text(spark: SparkSession, d: str) -> DataFrame:
+    html = F.col("html")
+    for a, b in _TABLED:
+        html = F.replace(html, F.lit(a), F.lit(b))
+    return c.html_monograph(t(spark, d, "pages").withColumn("html", html), "page_id", "html").withColumn("cells", F.array_join("cells", "|"))
+
+
+@query("""SELECT doc_id, md5(array_to_string(CASE WHEN len(list_filter(l, lambda x: starts_with(lower(x), 'th'))) > 0 THEN list_filter(l, lambda x: starts_with(lower(x), 'th')) ELSE l END, chr(10))) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""")
+def doc08_topic_text_lines(spark: SparkSession, d: str) -> DataFrame:
+    content = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("text")))
+    sub = F.array(F.struct(F.lit("4.5. x").alias("title"), F.slice(content, 1, 1).alias("content")), F.struct(F.lit("4.6. y").alias("title"), content.alias("content")))
+    docs = t(spark, d, "documents").select("doc_id", F.array(F.struct(F.lit("4. z").alias("title"), sub.alias("subsections"))).alias("sections"))
+    return docs.select("doc_id", F.md5(c.topic_text(F.col("sections"), "4.", "4.6", "Th")).alias("text"))
+
+
+@query(f"WITH {_HEADED}, {_SECTIONS} SELECT doc_id, s AS sections, nullif(trim(source), '') AS title, md5(lower(text)) AS search_text, sha256(text) AS sha256, CASE WHEN s IS NULL THEN 'no section found' ELSE 'ok' END AS status FROM documents LEFT JOIN (SELECT doc_id, string_agg(code || ':' || length(text), ',' ORDER BY code, length(text)) AS s FROM sections GROUP BY doc_id) USING (doc_id)")
+def doc13_document_record_text(spark: SparkSession, d: str) -> DataFrame:
+    out = c.document_record(t(spark, d, "documents").select("doc_id", "text", "source"), "doc_id", "text", "source", c.split_numbered(_headed(spark, d), "doc_id", "text"))
+    return out.select("doc_id", F.array_join(F.transform("sections", lambda s: F.concat_ws(":", s["code"], s["n"])), ",").alias("sections"), "title", F.md5("search_text").alias("search_text"), "sha256", "status")
+
+
+_RISK = "CASE WHEN regexp_matches(lower({0}), 'contre-indiqué|contre indiqué|contraindicated') THEN 0 WHEN regexp_matches(lower({0}), 'déconseillé|éviter|évité|not recommended') THEN 1 WHEN regexp_matches(lower({0}), 'prudence|précaution|caution') THEN 2 WHEN regexp_matches(lower({0}), 'peut être utilisé|possible|can be used') THEN 3 ELSE 4 END"
+_LADDER = "['danger', 'deconseille', 'precaution', 'ok', 'unknown']"
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(range(0, len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+m AS (SELECT doc_id, pos, line || CASE (doc_id + pos) % 9 WHEN 0 THEN ' contre-indiqué.' WHEN 1 THEN ' à ÉVITER' WHEN 2 THEN ' with caution' WHEN 3 THEN ' peut être utilisé' ELSE '' END AS line FROM l)
+SELECT doc_id, pos, {_LADDER}[level + 1] AS level, {_LADDER}[least(level, whole) + 1] AS worst FROM (SELECT doc_id, pos, {_RISK.format("line")} AS level FROM m) JOIN (SELECT doc_id, {_RISK.format("text")} AS whole FROM documents WHERE text IS NOT NULL) USING (doc_id)""")
+def str16_risk_class_lines(spark: SparkSession, d: str) -> DataFrame:
+    mark = F.when(F.col("k") == 0, " contre-indiqué.").when(F.col("k") == 1, " à ÉVITER").when(F.col("k") == 2, " with caution").when(F.col("k") == 3, " peut être utilisé").otherwise("")
+    rows = t(spark, d, "documents").select("doc_id", risk_class(F.col("text")).alias("whole"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("k", (F.col("doc_id") + F.col("pos")) % 9)
+    level = risk_class(F.concat("line", mark))
+    return rows.select("doc_id", "pos", level.alias("level"), worst_level(level, F.col("whole")).alias("worst"))
+
+
+@query("SELECT conv_id, turn, role, md5(replace(regexp_replace(regexp_replace(m, '(?m)^#{1,3}\\s*(.+)$', '<h3>\\1</h3>', 'g'), '\\*\\*([^*]+)\\*\\*', '<strong>\\1</strong>', 'g'), chr(10), '<br>')) AS html FROM (SELECT conv_id, turn, role, '## ' || replace(replace(text, '. ', '.** **'), chr(10), chr(10) || '# ') || chr(10) || text AS m FROM conversations)")
+def str20_md_to_html_text(spark: SparkSession, d: str) -> DataFrame:
+    marked = F.replace(F.replace("text", F.lit(". "), F.lit(".** **")), F.lit("\n"), F.lit("\n# "))
+    return t(spark, d, "conversations").select("conv_id", "turn", "role", F.md5(md_to_html(F.concat(F.lit("## "), marked, F.lit("\n"), F.col("text")))).alias("html"))

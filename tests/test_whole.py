@@ -1,5 +1,7 @@
 """Operators do the whole job, on small inputs."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from dispensa.operators import links
@@ -50,3 +52,18 @@ def test_text_queries_take_every_language(spark, tmp_path):
     assert rows("str13_excerpt_all", "excerpt") == {1: "Füße, été the word", 2: "the Été....", 3: None, 4: "ñandú..."}
     assert rows("str14_relevance_all", "score") == {1: 11 + 2 + 19, 2: 13, 3: 0, 4: 19}
     assert set(rows("str02_fold_accents_all", "folded")) == {1, 2, 3, 4}
+
+
+def test_corpus_queries_draw_from_whole_texts(spark, tmp_path):
+    text = "\n".join(f"line {k} of the text" for k in range(40))
+    spark.createDataFrame([(1, text, "en", "s"), (2, None, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    page = "<ul><li>One</li></ul><article><h1>T</h1><p>a<br>b</p><p>c</p></article>"
+    spark.createDataFrame([(5, page)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    assert {r.code for r in run("doc02_split_outline_text")} == {"1", "4", "4.1", "5.2", "6.6", "10"}
+    assert {(r.rubric, r.row, r.cells) for r in run("doc07_html_monograph_text")} == {("links", 0, "One"), ("article", 0, "a\nb"), ("article", 1, "c")}
+    record = {r.doc_id: r for r in run("doc13_document_record_text")}
+    assert record[1].sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert record[2].status == "no section found"
+    assert len(run("str16_risk_class_lines")) == 40
+    assert {r.doc_id: r.text for r in run("doc08_topic_text_lines")} == {1: hashlib.md5(text.encode()).hexdigest(), 2: None}
