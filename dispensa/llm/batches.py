@@ -23,12 +23,16 @@ LAST = (1 << 63) - 1  # stands for a null doc_id, which ranks after all others
 ORDER = [("doc_id", "ascending"), ("text", "ascending")]
 
 
-def deal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-    """((part, doc_id, text, carried0, carried1, ...), number of parts); rows that share a doc_id share a part."""
-    spark = docs.sparkSession
+def parts(docs: DataFrame, text: str = "text") -> int:
+    """The number of batches, or of buckets, that the texts of docs are worth."""
     total = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     size = PART_BYTES * min(16.0, max(1.0, (total / (PART_BYTES * 1024)) ** 0.5))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total / size) + 1)
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total / size) + 1)
+
+
+def deal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """((part, doc_id, text, carried0, carried1, ...), number of parts); rows that share a doc_id share a part."""
+    n = parts(docs, text)
     own = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
     return docs.select(F.pmod(F.xxhash64(own), F.lit(n)).cast("int").alias("part"), own.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), *[F.col(c).alias(f"carried{k}") for k, c in enumerate(carry)]), n
 

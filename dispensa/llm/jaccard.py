@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import LAST, bucket_of, runs, squeeze, unsqueeze
+from .batches import LAST, bucket_of, parts, runs, squeeze, unsqueeze
 from .components import components
 from .kernels import LOWER, U, chunks, expand, mix, pack, rolling, span_hashes, text_bytes, tidy, unpack, word_spans
 from .state import materialise
@@ -32,6 +32,7 @@ SKETCH = 256, 8192  # bits of a parity sketch, at least and at most; it has more
 BLOCK = 1024  # sets of a group that are compared with as many others at once
 BROADCAST_IDS = 1_000_000  # more ids than these (8 MB) are joined by shuffle
 LOCAL = 8 << 20  # bytes of text whose sets are handled together
+HEAVY = 64  # sets of a batch that share a subset before the batch sends its bucket one entry for them all
 VALUE = 6  # bytes of a shingle's hash in verification
 
 
@@ -173,13 +174,14 @@ def may_link(a: bytes, n: int, b: bytes, m: int, percent: int) -> bool:
 
 
 _FOUND = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
-MEMBER, PAIR, LACKING = 0, 1, 2
+MEMBER, PAIR, LACKING, HELD, LEAD = range(5)
 
 
 def candidates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame:
     """(kind, x, y, n, sketch). MEMBER: row of document x has n shingles and the set of document y. PAIR: x and y share a subset
-    that one of them or a third asks with, x being the least such. LACKING: document x could not ask enough."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    that one of them or a third asks with, x being the least such. LACKING: document x could not ask enough.
+    HELD: subsets that many sets of batch x share, in a blob. LEAD: y is the least document that holds subset n of batch x's."""
+    n, heavy = parts(docs), HEAVY
 
     @tidy
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +207,25 @@ def candidates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame
             sig, doc, asks, short = signatures(v, np.concatenate([[0], np.cumsum(size[lead])]), small)
             rows = [(int(ids[0]) % n if len(ids) else 0, MEMBER, squeeze(pack(ids.astype(U), 8) + pack(ids[keeper].astype(U), 8) + pack(size.astype(U), 4)), squeeze(pack(ids[lead[short]].astype(U), 8)), [sketch(values[before[k] : before[k + 1]]) if keeper[k] == k and size[k] else None for k in range(len(ids))])]
             bucket = bucket_of(sig, n)
+            # A subset that many sets here share is one entry, of the least of them; the batch keeps the others until it is told the lead.
+            _, back, count = np.unique(sig, return_inverse=True, return_counts=True)
+            many = np.flatnonzero(count[back] >= heavy)
+            if len(many):
+                many = many[np.lexsort((ids[lead[doc[many]]], sig[many]))]
+                first = runs(sig[many])
+                size_of = np.diff(np.append(first, len(many)))
+                least, ask = ids[lead[doc[many[first]]]], np.logical_or.reduceat(asks[many], first)
+                key = (bucket[many[first]].astype(U) << U(8 * SHORT)) | (sig[many[first]] & U((1 << 8 * SHORT) - 1))
+                tag = int(mix(np.array([ids.astype(U).sum() + U(len(ids))], U))[0] >> U(1))
+                rows.append((tag % n, HELD, squeeze(pack(key, 8) + pack(size_of.astype(U), 4) + pack(ids[lead[doc[many]]].astype(U), 8)), pack(np.array([tag, len(key)], U), 8), None))
+                hot = bucket[many[first]]
+                order = np.argsort(hot, kind="stable")
+                cut = runs(hot[order])
+                for at in np.split(order, cut[1:]):
+                    rows.append((int(hot[at[0]]), LEAD, squeeze(pack(key[at], 8) + pack(least[at].astype(U), 8) + ask[at].tobytes()), pack(np.array([tag, len(at)], U), 8), None))
+                rest = np.ones(len(sig), bool)
+                rest[many] = False
+                sig, doc, asks, bucket = sig[rest], doc[rest], asks[rest], bucket[rest]
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(n + 1))
             for k in range(n):
@@ -217,9 +238,24 @@ def candidates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame
 
     @tidy
     def meet(table: pa.Table) -> pa.Table:
-        out, sigs, owners, asking = [], [], [], []
+        out, sigs, owners, asking, tags, keys = [], [], [], [], [], []
         sketches: list = []
         for kind, a, b, c in zip(*(table[c].to_pylist() for c in "kind a b c".split()), strict=True):
+            if kind == HELD:
+                tag, k = unpack(b, 8).tolist()
+                out.append((np.full(1, HELD), np.array([tag]), np.array([k]), np.zeros(1, np.int64)))
+                sketches.append(a)
+                continue
+            if kind == LEAD:
+                tag, k = unpack(b, 8).tolist()
+                a = unsqueeze(a)
+                key = unpack(a[: 8 * k], 8)
+                sigs.append(key & U((1 << 8 * SHORT) - 1))
+                owners.append(unpack(a[8 * k : 16 * k], 8).astype(np.int64))
+                asking.append(np.frombuffer(a[16 * k :], bool))
+                tags.append(np.full(k, tag, np.int64))
+                keys.append(key.astype(np.int64))
+                continue
             b = unsqueeze(b)
             if kind == MEMBER:
                 a = unsqueeze(a)
@@ -235,14 +271,19 @@ def candidates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame
             sigs.append(sig)
             owners.append(np.repeat(unpack(b[head : head + 8 * k], 8).astype(np.int64), unpack(b[head + 8 * k :], 4).astype(np.int64)))
             asking.append(np.unpackbits(np.frombuffer(b[:head], np.uint8), count=len(sig)).astype(bool))
+            tags.append(np.full(len(sig), -1, np.int64))
+            keys.append(np.zeros(len(sig), np.int64))
         if sigs:
-            sig, doc, asks = (np.concatenate(x) for x in (sigs, owners, asking))
+            sig, doc, asks, tag, key = (np.concatenate(x) for x in (sigs, owners, asking, tags, keys))
             order = np.lexsort((doc, sig))
-            sig, doc, asks = sig[order], doc[order], asks[order]
+            sig, doc, asks, tag, key = sig[order], doc[order], asks[order], tag[order], key[order]
             first = runs(sig)
             size = np.diff(np.append(first, len(sig)))
-            wanted = np.logical_or.reduceat(asks, first) & (size > 1)
+            wanted = np.logical_or.reduceat(asks, first) & ((size > 1) | np.logical_or.reduceat(tag >= 0, first))
             lead = np.repeat(doc[first], size)
+            told = np.flatnonzero(np.repeat(wanted, size) & (tag >= 0))
+            out.append((np.full(len(told), LEAD), tag[told], lead[told], key[told]))
+            sketches += [None] * len(told)
             at = np.flatnonzero(np.repeat(wanted, size) & (lead != doc))
             x, y = lead[at], doc[at]
             order = np.lexsort((y, x))
@@ -259,6 +300,30 @@ def candidates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame
     return own.groupBy("bucket").applyInArrow(meet, "kind int, x long, y long, n long, sketch binary")
 
 
+def _met(found: DataFrame) -> DataFrame:
+    """(x, y): the pairs of ``candidates``, those of subsets that batches kept to themselves included."""
+
+    @tidy
+    def told(held: pa.Table, leads: pa.Table) -> pa.Table:
+        key, lead = leads["n"].to_numpy(), leads["y"].to_numpy()
+        order = np.argsort(key, kind="stable")
+        key, lead, pairs = key[order], lead[order], [np.zeros((0, 2), np.int64)]
+        for k, blob in zip(held["y"].to_pylist(), held["sketch"].to_pylist(), strict=True):
+            blob = unsqueeze(blob)
+            own, size, docs = unpack(blob[: 8 * k], 8).astype(np.int64), unpack(blob[8 * k : 12 * k], 4).astype(np.int64), unpack(blob[12 * k :], 8).astype(np.int64)
+            at = np.minimum(np.searchsorted(key, own), max(len(key) - 1, 0))
+            known = key[at] == own if len(key) else np.zeros(len(own), bool)
+            some = np.repeat(known, size)
+            x = np.repeat(lead[at] if len(key) else own, size)[some]
+            pairs.append(np.unique(np.stack([x, docs[some]], 1), axis=0))
+        x, y = np.concatenate(pairs).T
+        return pa.table({"x": pa.array(x[x != y], pa.int64()), "y": pa.array(y[x != y], pa.int64())})
+
+    kind = lambda k: found.where(F.col("kind") == k).groupBy("x")
+    kept = kind(HELD).cogroup(kind(LEAD)).applyInArrow(told, "x long, y long")
+    return found.where(F.col("kind") == PAIR).select("x", "y").union(kept).distinct()
+
+
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(doc_id, shingles binary) of the documents in ids(doc_id)."""
 
@@ -369,7 +434,7 @@ def near_duplicates(docs: DataFrame, doc_id: str | Column = "doc_id", text: str
         found = materialise(candidates(own, width, 63))
     members = found.where(F.col("kind") == MEMBER).select("x", "y", "n")
     sketches = found.where((F.col("kind") == MEMBER) & F.col("sketch").isNotNull()).select(F.col("x").alias("doc_id"), "n", "sketch")
-    pairs = materialise(found.where(F.col("kind") == PAIR).select("x", "y").distinct())
+    pairs = materialise(_met(found))
     links = _linked(own, _likely(pairs, sketches, percent), width, percent)
     label = components(links)
     more = _linked(own, _across(pairs, label, sketches, percent, max(8, pairs.count() // 20_000)), width, percent)
