@@ -43,7 +43,7 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences of 2048 tokens."""
     ready(spark)
-    return packing.pack(docs, _path("byte_bpe_50k.json"), 2048)
+    return packing.pack(docs, _path("byte_bpe_50k.json"), 2048, weights=packing.WEIGHTS)
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", drop_lines), ("near_duplicates", drop_near_duplicates), ("suffix_dedup", drop_passages), ("packing", pack)]

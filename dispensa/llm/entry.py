@@ -36,7 +36,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"), 2048)
+    return packing.pack(table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"), 2048, weights=packing.WEIGHTS)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from .kernels import chunks, text_bytes, tidy
 from .state import materialise
 from .token_counts import Library, is_byte_level, json_vocabulary
 
+WEIGHTS = 1.0, 0.25, 0.25  # of the free tokens, documents and attention cost, in the registered queries
 GROUP = 8192  # pieces that one call packs; its last sequences may stay part empty
 
 
@@ -89,8 +90,11 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, max_
     sequence's length take one each. Empty tables give none.
     """
     cut = materialise(pieces(docs, path, capacity, end_id, doc_id, text))
-    groups = max(1, -(-cut.where(F.col("length") < capacity).count() // GROUP))
-    dealt = cut.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # Full pieces have groups of their own, so that however many there are, no group is larger and the others are packed as without them.
+    count = cut.agg(F.count_if(F.col("length") < capacity).alias("short"), F.count_if(F.col("length") >= capacity).alias("full")).first()
+    groups, full_groups = (max(1, -(-n // GROUP)) for n in count)
+    dealt_to = lambda n: F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n))
+    dealt = cut.withColumn("bin_group", F.when(F.col("length") < capacity, dealt_to(groups)).otherwise(dealt_to(full_groups) + groups))
     docs_cap, cost_cap = max_docs or capacity, max_cost or float(capacity) ** 2
 
     def one(key, table):

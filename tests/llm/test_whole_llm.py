@@ -6,7 +6,8 @@ import sys
 sys.path.insert(0, os.path.dirname(__file__))
 
 import brute
-from dispensa.llm import batches, jaccard
+from dispensa.llm import batches, jaccard, packing
+from dispensa.llm.entry import _path
 
 
 def frame(spark, rows):
@@ -28,3 +29,18 @@ def test_jaccard_buckets_grow_with_the_corpus_and_heavy_subsets_stay_in_batches(
     monkeypatch.setattr(jaccard, "HEAVY", 2)
     got = jaccard.near_duplicates(docs).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.op10(rows)
+
+
+def test_full_pieces_have_bounded_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 8)
+    rows = [(k, f"word{k} " * 400, "en", "s", 1) for k in range(8)] + [(100, "a b", "en", "s", 1)]
+    got = packing.pack(spark.createDataFrame(rows, brute.SCHEMA), _path("byte_bpe_50k.json"), 64, weights=packing.WEIGHTS).collect()
+    full = [r for r in got if r.length == 64]
+    assert len(full) > 40
+    assert len({r.sequence_id for r in full}) == len(full)
+    assert len({r.sequence_id >> 32 for r in full}) > 1
+    used = {}
+    for r in got:
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+    assert max(used.values()) <= 64
+    assert min(packing.WEIGHTS) > 0
