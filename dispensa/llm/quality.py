@@ -93,7 +93,6 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """
     rows = _ratios(materialise(measures(docs, doc_id, text, lang, source)))
     limits = materialise(fences(rows).where(f"level < 2 or n >= {LEAST_ROWS}").where(f"level <> 1 or n >= {LEAST_ROWS}"))
-    small = limits.limit(GROUPS_BROADCAST + 1).count() <= GROUPS_BROADCAST
     # One row of fences for each language and source: the finest that is large enough.
     names = [c for c in limits.columns if c not in ("level", "lang", "source", "n")]
     pairs = rows.select("lang", "source").distinct()
@@ -101,7 +100,8 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     fine = pairs.alias("p").join(packed[2].alias("a"), F.col("p.lang").eqNullSafe(F.col("a.lang")) & F.col("p.source").eqNullSafe(F.col("a.source")), "left").select("p.*", "f2")
     wide = fine.alias("p").join(packed[1].alias("b"), F.col("p.lang").eqNullSafe(F.col("b.lang")), "left").select("p.*", "f1")
     top = wide.join(packed[0].select("f0"), F.lit(True), "left")  # one row of fences for the whole corpus
-    chosen = top.select("lang", "source", F.coalesce("f2", "f1", "f0").alias("f"))
+    chosen = materialise(top.select("lang", "source", F.coalesce("f2", "f1", "f0").alias("f")))
+    small = chosen.limit(GROUPS_BROADCAST + 1).count() <= GROUPS_BROADCAST
     chosen = F.broadcast(chosen) if small else chosen
     joined = rows.alias("r").join(chosen.alias("c"), F.col("r.lang").eqNullSafe(F.col("c.lang")) & F.col("r.source").eqNullSafe(F.col("c.source")), "left").select("r.*", "f")
     inside = reduce(lambda a, b: a & b, [F.coalesce(F.col(r) <= F.col(f"f.{r}_high"), F.lit(True)) & F.coalesce(F.col(r) >= F.col(f"f.{r}_low"), F.lit(True)) for r in RATIOS])

@@ -6,7 +6,7 @@ import sys
 sys.path.insert(0, os.path.dirname(__file__))
 
 import brute
-from dispensa.llm import batches, jaccard, packing
+from dispensa.llm import batches, jaccard, packing, quality
 from dispensa.llm.entry import _path
 
 
@@ -44,3 +44,11 @@ def test_full_pieces_have_bounded_groups(spark, monkeypatch):
         used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
     assert max(used.values()) <= 64
     assert min(packing.WEIGHTS) > 0
+
+
+def test_fences_are_broadcast_only_if_the_broadcast_rows_are_few(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "some words " * 40, "en", f"host{k}", 1) for k in range(10)], brute.SCHEMA)
+    hinted = lambda: "strategy=broadcast" in quality.judge(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert hinted()
+    monkeypatch.setattr(quality, "GROUPS_BROADCAST", 3)
+    assert not hinted()
