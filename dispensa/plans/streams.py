@@ -36,8 +36,8 @@ def stm03_toggle_state(spark: SparkSession, d: str) -> DataFrame:
 g AS (SELECT user_id, i, s, s AS made, 1 AS n FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, e.s, CASE WHEN e.s - g.made >= 86400 THEN e.s ELSE g.made END, CASE WHEN e.s - g.made >= 86400 THEN g.n + 1 ELSE g.n END FROM g JOIN e ON e.user_id = g.user_id AND e.i = g.i + 1)
 SELECT user_id, max(n)::BIGINT AS n, max(made) AS last FROM g GROUP BY user_id""")
 def stm04_ttl_generations(spark: SparkSession, d: str) -> DataFrame:
-    out = jobs.ttl_generations(t(spark, d, "events"), "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")), 86400)
-    return out.select("user_id", F.size("generations").cast("long").alias("n"), F.element_at("generations", -1).alias("last"))
+    made = jobs.ttl_rows(t(spark, d, "events"), "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")), 86400)
+    return made.groupBy("user_id").agg(F.count("*").alias("n"), F.max("made").alias("last"))
 
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS so_far, count(*) OVER (PARTITION BY user_id) AS total FROM events")

@@ -1,4 +1,4 @@
-"""Streaming jobs over event streams, each with the batch form that gives the same final result."""
+"""Streaming jobs over event streams, each with the batch form that gives the same final result; running counts (STM-05) are batch only."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,11 +91,52 @@ def toggle_stream(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.groupBy(*keys).applyInPandasWithState(fold, f"{fields}, on boolean", "n long", "update", "NoTimeout")
 
 
+def _generations(seconds: list[int], last: int | None, ttl: int) -> list[int]:
+    """The times of ascending seconds at which a result is made anew after one made at ``last``."""
+    made = []
+    for s in seconds:
+        if last is None or s - last >= ttl:
+            made.append(s)
+            last = s
+    return made
+
+
+def ttl_rows(df: DataFrame, key: str, seconds: Column, ttl: int = 600) -> DataFrame:
+    """(key, made): a row for each time at which a cached result is made anew, being ``ttl`` seconds old or more. A task streams a key's times and holds the last one only."""
+    rows = df.select(key, seconds.cast("long").alias("made")).where("made is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last, first = None, None, True
+        for batch in batches:
+            keep = []
+            for k, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if first or k != at:
+                    at, last, first = k, None, False
+                new = last is None or s - last >= ttl
+                last = s if new else last
+                keep.append(new)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return rows.repartition(key).sortWithinPartitions(key, "made").mapInArrow(run, rows.schema)
+
+
 def ttl_generations(df: DataFrame, key: str, seconds: Column, ttl: int = 600) -> DataFrame:
-    """(key, generations): times at which a cached result is made anew, being ``ttl`` seconds old or more."""
-    times = df.groupBy(key).agg(F.array_sort(F.collect_list(seconds)).alias("t"))
-    fold = F.aggregate("t", F.array().cast("array<bigint>"), lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(a, -1) >= ttl), F.concat(a, F.array(x))).otherwise(a))
-    return times.select(key, fold.alias("generations"))
+    """(key, generations): the times of ttl_rows as one array."""
+    made = ttl_rows(df, key, seconds, ttl).groupBy(key).agg(F.array_sort(F.collect_list("made")).alias("generations"))
+    return df.select(key).distinct().withColumnRenamed(key, "__k").join(made, F.col("__k").eqNullSafe(F.col(key)), "left").select(F.col("__k").alias(key), F.coalesce("generations", F.array().cast("array<bigint>")).alias("generations"))
+
+
+def ttl_stream(stream: DataFrame, key: str, seconds: str, ttl: int = 600) -> DataFrame:
+    """ttl_rows with a key's last time kept by Spark, for events that come in order of time from one micro-batch to the next."""
+
+    def fold(k, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        times = sorted(int(s) for x in rows for s in x[seconds].dropna())
+        made = _generations(times, state.get[0] if state.exists else None, ttl)
+        if made:
+            state.update((made[-1],))
+        yield pd.DataFrame([(*k, s) for s in made], columns=[key, "made"])
+
+    return stream.groupBy(key).applyInPandasWithState(fold, f"{key} {stream.schema[key].dataType.simpleString()}, made long", "last long", "append", "NoTimeout")
 
 
 def running_count(df: DataFrame, key: str, order: list) -> DataFrame:

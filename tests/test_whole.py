@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dispensa.operators import links
 from dispensa.plans import registry
+from dispensa.streaming import jobs
 
 
 def found(df, *columns):
@@ -67,3 +68,19 @@ def test_corpus_queries_draw_from_whole_texts(spark, tmp_path):
     assert record[2].status == "no section found"
     assert len(run("str16_risk_class_lines")) == 40
     assert {r.doc_id: r.text for r in run("doc08_topic_text_lines")} == {1: hashlib.md5(text.encode()).hexdigest(), 2: None}
+
+
+def test_result_ages_as_rows_and_as_a_stream(spark, tmp_path):
+    rows = [(k, s) for k in (1, 2) for s in (0, 100, 650, 700, 1300)]
+    df = spark.createDataFrame(rows, "k long, s long")
+    want = {(k, s) for k in (1, 2) for s in (0, 650, 1300)}
+    made = jobs.ttl_rows(df, "k", F.col("s"), 600)
+    assert {tuple(r) for r in made.collect()} == want
+    assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
+    for k, part in enumerate((df.where("s < 650"), df.where("s >= 650"))):
+        part.coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
+    seen = []
+    jobs.run_available(jobs.ttl_stream(stream, "k", "s", 600), lambda batch, number: seen.extend(tuple(r) for r in batch.collect()), jobs.work_dir(spark), "append")
+    assert set(seen) == want
+    assert len(seen) == len(want)
