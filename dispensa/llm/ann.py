@@ -1,26 +1,33 @@
 """Approximate nearest neighbours by a forest of hash prefixes (operator 8).
 
-Each block of vectors has TREES sorted arrays of BITS-bit strings: the signs of products with
-random directions. A query descends in each array to its longest common prefix; then all
-trees ascend together, one bit at a time, until enough candidates share the prefix. Candidates
-are ranked by exact inner products.
+Each of TREES trees is one sorted array of long hash strings over all vectors, kept by Spark as
+a range-partitioned, sorted table; it is made once. A symbol of a string is the coordinate that
+is largest in size, and its sign, after a random rotation. A query is sorted in with the vectors, so
+its place is where its longest prefix matches are; it also goes to the places of PROBES strings
+whose first symbol is the next best. From all places it ascends alike: to the next shorter
+prefixes on both sides until it has seen WINDOW vectors. So a query's work does not grow with
+the table. Places rank vectors by 16-bit codes; the best of all trees are ranked by exact products.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import U, tidy
+from .batches import runs
+from .kernels import tidy
+from .state import materialise
 
-BLOCK = 4096  # vectors in a block: one sorted array's length
-TREES, BITS = 40, 60
-SHARE = 0.5  # of a block's vectors that ascent gathers at least; sets recall
-QUERY_BLOCK = 2048  # queries answered together
+TREES, SYMBOLS, AXES = 16, 5, 64  # trees, symbols of a string, coordinates that a symbol chooses from at most
+PROBES = 6  # places of a query in each tree
+WINDOW = 256  # vectors seen around a place; with STEP, TREES and PROBES it sets recall
+STEP = 64  # neighbouring places that are ranked together see this many vectors more
+RANGE_BYTES = 48 << 20  # of a sorted array that one task holds
+ENTRY = pa.schema([("tree", pa.int64()), ("string", pa.int64()), ("ask", pa.bool_()), ("c", pa.int64()), ("code", pa.binary()), ("scale", pa.float64())])
 
 
 def usable(vector: str) -> Column:
@@ -29,110 +36,135 @@ def usable(vector: str) -> Column:
     return F.col(vector).isNotNull() & F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-class Forest:
-    """The trees of one block."""
-
-    def __init__(self, vectors: np.ndarray, seed: int = 7):
-        self.directions = np.random.default_rng(seed).standard_normal((vectors.shape[1], TREES * BITS)).astype(np.float32)
-        keys = self.strings(vectors)
-        self.order = np.argsort(keys, axis=1, kind="stable")
-        self.keys = np.take_along_axis(keys, self.order, 1)
-
-    def strings(self, vectors: np.ndarray) -> np.ndarray:
-        """TREES x rows hash strings, each an integer of BITS bits."""
-        out = np.zeros((TREES, len(vectors)), U)
-        for k in range(0, len(vectors), 1024):
-            bits = (vectors[k : k + 1024].astype(np.float32) @ self.directions > 0).reshape(-1, TREES, BITS)
-            for b in range(BITS):
-                out[:, k : k + 1024] = out[:, k : k + 1024] << U(1) | bits[:, :, b].T.astype(U)
-        return out
-
-    def ranges(self, strings: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """TREES x queries: where the strings with the same first ``depth`` bits lie in each array."""
-        shift = U(BITS - depth)
-        low = strings >> shift << shift
-        high = low | ((U(1) << shift) - U(1))
-        a, b = np.empty(strings.shape, np.int64), np.empty(strings.shape, np.int64)
-        for t in range(TREES):
-            a[t] = np.searchsorted(self.keys[t], low[t], "left")
-            b[t] = np.searchsorted(self.keys[t], high[t], "right")
-        return a, b
-
-    def candidates(self, queries: np.ndarray, least: int):
-        """For each query the rows whose string shares a prefix with it in some tree; the prefix is as long as ``least`` rows allow."""
-        n, strings = self.order.shape[1], self.strings(queries)
-        deepest = min(BITS, math.ceil(math.log2(max(n, 2))) + 2)
-        levels = [self.ranges(strings, depth) for depth in range(deepest + 1)]
-        for q in range(len(queries)):
-            mark, found = np.zeros(n, bool), 0
-            for depth in range(deepest, -1, -1):  # synchronous ascent
-                a, b = levels[depth][0][:, q], levels[depth][1][:, q]
-                if (b - a).sum() + found < least and depth:
-                    continue
-                for t in range(TREES):
-                    mark[self.order[t, a[t] : b[t]]] = True
-                found = int(np.count_nonzero(mark))
-                if found >= least:
-                    break
-            yield q, np.flatnonzero(mark)
+def rotations(size: int, seed: int = 7) -> np.ndarray:
+    """size x (trees, symbols, axes): orthogonal directions for each symbol of each tree."""
+    rng, axes = np.random.default_rng(seed), min(AXES, size)
+    turned = [np.linalg.qr(rng.standard_normal((size, size)))[0][:, :axes] for _ in range(TREES * SYMBOLS)]
+    return np.concatenate(turned, 1).astype(np.float32)
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k rows of largest inner product found for each row where ``queries`` holds.
+def strings(points: np.ndarray, directions: np.ndarray, probes: int = 1) -> np.ndarray:
+    """rows x TREES x probes: hash strings as integers; probes after the first differ in the first symbol."""
+    seen = (points.astype(np.float32) @ directions).reshape(len(points), TREES, SYMBOLS, -1)
+    axes = seen.shape[3]
+    width = int(2 * axes - 1).bit_length()
+    large = np.abs(seen)
+    best = large.argmax(3)
+    symbol = 2 * best + (np.take_along_axis(seen, best[..., None], 3)[..., 0] > 0)
+    tail = np.zeros(symbol.shape[:2], np.int64)
+    for k in range(1, SYMBOLS):
+        tail = tail << width | symbol[:, :, k]
+    first = symbol[:, :, :1]
+    if probes > 1:
+        order = np.argsort(-large[:, :, 0], axis=2, kind="stable")[:, :, :probes]
+        first = 2 * order + (np.take_along_axis(seen[:, :, 0], order, 2) > 0)
+    return first << width * (SYMBOLS - 1) | tail[:, :, None]
+
+
+def codes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(16-bit components, scale) of each row."""
+    scale = np.abs(points).max(1) / 32767
+    return np.rint(points / scale[:, None]).astype("<i2"), scale
 
-    Every usable row is indexed, in blocks of about BLOCK rows that tasks hold one at a time; the stated
-    queries are dealt to all blocks. A query is no candidate of its own id. Scores are doubles on
-    the vectors as given; ties go to the smaller vec_id, so does a repeated row's second score.
-    Unusable vectors, null ids and vectors of another length than the query's take no part. Empty tables give none.
+
+def entries(classes: DataFrame, longest: float) -> DataFrame:
+    """(tree, string, ask, c, code, scale): one row per tree for each class of equal vectors, and PROBES more for one that asks.
+
+    To let angles follow inner products, hashing sees one more component, which gives all vectors the
+    norm ``longest``; queries are as they are. Vectors of different length have trees of their own.
     """
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v"), queries.alias("asks")).where(F.col("vec_id").isNotNull() & usable("v"))
-    n = rows.count()
-    blocks = max(1, -(-n // BLOCK))
-    lots = max(1, -(-rows.where("asks").count() // QUERY_BLOCK))
-    asked = rows.where("asks").select(F.col("vec_id").alias("q"), "v", F.pmod(F.xxhash64("vec_id"), F.lit(lots)).cast("int").alias("lot"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    indexed = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
-    indexed = indexed.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
-    result = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
+            sizes = np.asarray(batch.column(1).value_lengths())
+            for size in np.unique(sizes).tolist():
+                own = batch.filter(pa.array(sizes == size))
+                ids, ask = own.column(0).to_numpy(), np.asarray(own.column(2).to_numpy(zero_copy_only=False), bool)
+                v = np.asarray(own.column(1).flatten(), np.float64).reshape(-1, size)
+                if size not in made:
+                    made[size] = rotations(size + 1)
+                norm = np.sqrt((v**2).sum(1))
+                lift = np.sqrt(np.maximum(0, 1 - (norm / longest) ** 2))
+                base = strings(np.concatenate([v / longest, lift[:, None]], 1), made[size])
+                asked = strings(np.concatenate([v[ask] / norm[ask, None], np.zeros((int(ask.sum()), 1))], 1), made[size], min(PROBES, size + 1))
+                code, scale = codes(v)
+                blobs = [x.tobytes() for x in code]
+                for key, who, asks in ((base, np.arange(len(ids)), False), (asked, np.flatnonzero(ask), True)):
+                    each = np.repeat(who, key.shape[1] * key.shape[2])
+                    tree = np.broadcast_to(size * TREES + np.arange(TREES)[None, :, None], key.shape)
+                    columns = [tree.ravel(), key.ravel(), np.full(len(each), asks), ids[each], [blobs[k] for k in each.tolist()], scale[each]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, ENTRY, strict=True)], schema=ENTRY)
+
+    return classes.select("c", "v", "ask").mapInArrow(run, "tree long, string long, ask boolean, c long, code binary, scale double")
+
+
+def visited(index: DataFrame, keep: int) -> DataFrame:
+    """(q, best array of struct<s, c>): for each place of a query the ``keep`` best of the vectors around it, by codes."""
+    kind = pa.list_(pa.struct([("s", pa.float64()), ("c", pa.int64())]))
 
     @tidy
-    def answer(own: pa.Table, ask: pa.Table) -> pa.Table:
-        out = []
-        sizes = {len(x) for x in ask["v"].to_pylist()} if own.num_rows and ask.num_rows else set()
-        for size in sorted(sizes):
-            (ids, base), (asked, points) = _matrix(own, "vec_id", size), _matrix(ask, "q", size)
-            if not len(ids):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), ENTRY)
+        tree = table["tree"].to_numpy()
+        first = np.append(runs(tree), len(tree)).tolist()
+        for a, b in zip(first, first[1:], strict=False):
+            part = table.slice(a, b - a)
+            ask = part["ask"].to_numpy()
+            base, asked = np.flatnonzero(~ask), np.flatnonzero(ask)
+            if not len(base) or not len(asked):
                 continue
-            forest = Forest(base)
-            least = max(4 * k, math.ceil(SHARE * len(ids)))
-            for a in range(0, len(asked), 512):
-                for q, rows in forest.candidates(points[a : a + 512], least):
-                    me = asked[a + q]
-                    rows = rows[ids[rows] != me]
-                    scores = base[rows] @ points[a + q]
-                    if len(rows) > 2 * k:
-                        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-                        near = np.flatnonzero(scores >= edge - 1e-9)
-                        rows, scores = rows[near], scores[near]
-                    # One way of adding for all blocks, so that equal vectors tie.
-                    scores = (base[rows] * points[a + q]).cumsum(1)[:, -1]
-                    best = np.lexsort((ids[rows], -scores))[:k]
-                    out.append((np.full(len(best), me), ids[rows][best], scores[best]))
-        parts = [np.concatenate([x[c] for x in out]) if out else np.zeros(0) for c in range(3)]
-        return pa.table([pa.array(p, f.type) for p, f in zip(parts, result, strict=True)], schema=result)
-
-    found = indexed.groupBy("block", "lot").cogroup(asked.groupBy("block", "lot")).applyInArrow(answer, "query_id long, vec_id long, score double")
-
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _matrix(table: pa.Table, name: str, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, vectors as doubles) of the rows whose vectors have ``size`` components."""
-    v = table["v"].combine_chunks()
-    ids = table[name].to_numpy()
-    length = np.asarray(v.value_lengths())
-    values = np.asarray(v.flatten(), np.float64)
-    first = np.cumsum(length) - length
-    at = np.flatnonzero(length == size)
-    return ids[at], values[(first[at][:, None] + np.arange(size)[None, :])]
+            ids, scale = part["c"].to_numpy(), part["scale"].to_numpy()
+            code = np.frombuffer(b"".join(part["code"].to_pylist()), "<i2").reshape(b - a, -1)
+            own, own_ids, own_scale = code[base], ids[base], scale[base]
+            block = np.cumsum(~ask)[asked] // STEP
+            lots = runs(block)
+            for lot, k in zip(np.split(asked, lots[1:]), (block[lots] * STEP).tolist(), strict=True):
+                lo, hi = max(0, k - WINDOW // 2), min(len(base), k + STEP + WINDOW // 2)
+                s = (code[lot].astype(np.float32) @ own[lo:hi].astype(np.float32).T) * (scale[lot][:, None] * own_scale[lo:hi])
+                top = np.argpartition(-s, keep - 1, axis=1)[:, :keep] if hi - lo > keep else np.broadcast_to(np.arange(hi - lo), (len(lot), hi - lo))
+                flat = pa.StructArray.from_arrays([pa.array(np.take_along_axis(s, top, 1).ravel().astype(np.float64)), pa.array(own_ids[lo + top.ravel()])], ["s", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lot]), pa.ListArray.from_arrays(pa.array(np.arange(len(lot) + 1, dtype=np.int32) * top.shape[1]), flat).cast(kind)], ["q", "best"])
+
+    return index.mapInArrow(run, "q long, best array<struct<s:double,c:long>>")
+
+
+def search(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): the k rows of largest inner product found for each row where ``queries`` holds.
+
+    Equal vectors (by 128 bits of hash) are one class that is indexed with its k + 1 smallest ids: more can be in no answer.
+    Each asking class is answered once, however many of its rows ask. A query visits at most TREES * PROBES * (WINDOW +
+    STEP) places; all that it meets are ranked by 16-bit codes, the best 2k + 1 classes then by the vectors as
+    given, in doubles added from left to right, so that equal vectors tie. Ties go to the smaller vec_id, so
+    does a repeated row's second score. A query is no candidate of its own id. Unusable vectors, null ids and
+    vectors of another length than the query's take no part. Empty tables give none.
+    """
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).where(F.col("vec_id").isNotNull() & usable("v"))
+    rows = rows.withColumns({"h": F.xxhash64("v"), "g": F.xxhash64(F.lit(1), "v")})
+    first = Window.partitionBy("h", "g").orderBy("vec_id")
+    asked = rows.where("asks").select("h", "g", F.col("vec_id").alias("query_id"))
+    few = rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1)
+    few = few.groupBy("h", "g").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("v").alias("v"))
+    asking = asked.select("h", "g", F.lit(True).alias("ask")).distinct()
+    classes = materialise(few.join(asking, ["h", "g"], "left").select(F.col("ids")[0].alias("c"), "ids", "v", F.coalesce("ask", F.lit(False)).alias("ask"), "h", "g"))
+
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    seen = classes.agg(F.count("*").alias("n"), F.count_if("ask").alias("asking"), F.max(norm).alias("longest"), F.max(F.size("v")).alias("size")).first()
+    places = TREES * (seen["n"] + PROBES * seen["asking"])
+    least = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(min(least, places // (64 * WINDOW) + 1), places * (2 * (seen["size"] or 0) + 64) // RANGE_BYTES + 1)
+    order = "tree", "string", F.xxhash64("tree", "c")  # equal strings in another order in each tree
+    index = entries(classes, seen["longest"] or 1.0).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    # At most TREES * PROBES short lists for each query.
+    ranked = F.sort_array(F.flatten(F.collect_list("best")), False)
+    best = F.slice(F.array_distinct(F.transform(ranked, lambda x: x["c"])), 1, 2 * k + 1)
+    pairs = visited(index, k + 1).groupBy("q").agg(best.alias("best")).select("q", F.explode("best").alias("c"))
+
+    near = pairs.join(classes.select("c", "ids", F.col("v").alias("x")), "c")
+    both = near.join(classes.select(F.col("c").alias("q"), "h", "g", "v"), "q")
+    score = F.aggregate(F.zip_with("v", "x", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    scored = both.select("h", "g", score.alias("score"), F.explode("ids").alias("vec_id"))
+    ranked = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k + 1)
+    answers = scored.groupBy("h", "g").agg(ranked.alias("found"))
+    own = asked.join(answers, ["h", "g"]).select("query_id", F.posexplode(F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)).alias("p", "f"))
+    return own.select("query_id", (F.col("p") + 1).alias("rank"), F.col("f.vec_id").alias("vec_id"), (-F.col("f.s")).alias("score"))

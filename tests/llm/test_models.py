@@ -67,6 +67,29 @@ def test_forest_recall_and_contract(spark):
     assert ann.search(df.limit(0), ann.F.col("vec_id") == 0, 20).count() == 0
 
 
+def test_forest_ties_norms_and_lengths(spark):
+    """Repeated vectors, components of size 1e6, norms that differ much, and vectors of another length; all against brute force."""
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((400, 16)) * rng.choice([1.0, 30.0, 1e6], (400, 1))
+    v[100:200] = v[7]
+    v[300:310] = -v[7]
+    rows = [(i, [float(x) for x in r], "p", 1) for i, r in enumerate(v)] + [(7, [float(x) for x in v[7]], "q", 2)]
+    rows += [(1000 + 20 * i, [1.0, float(i)], "p", 3) for i in range(5)] + [(2000, [0.5] * 3, None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, c string, rank int").repartition(3)
+    got = {}
+    for r in ann.search(df, (ann.F.col("vec_id") % 20 == 0) | (ann.F.col("vec_id") == 7), 20).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    short = {i: [1.0, float((i - 1000) // 20)] for i in range(1000, 1100, 20)}
+    asked = [i for i in range(400) if i % 20 == 0 or i == 7]
+    assert set(got) == {*asked, *short}  # 2000 has no candidate of its length
+    table = [(r[0], np.array(r[1])) for r in rows]
+    for q in [*asked, *short]:
+        own = next(x for i, x in table if i == q)
+        want = sorted((-float((x * own).cumsum()[-1]), i) for i, x in table if i != q and len(x) == len(own))[:20]
+        times = 2 if q == 7 else 1  # a repeated query row is answered for each
+        assert sorted(got[q]) == sorted([(p + 1, i, -s) for p, (s, i) in enumerate(want)] * times)
+
+
 def test_toxicity_learns_on_held_out_rows(spark):
     rng = random.Random(5)
     words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(300)]
