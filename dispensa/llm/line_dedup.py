@@ -1,10 +1,11 @@
 """Reversible line dedup (operator 4).
 
 State is an exact table of postings, one row per (line key, document), from which reference
-counts and first holders follow; documents can be inserted and deleted at any time. Keys that
-at least two documents hold are also kept in sharded cuckoo filters, which are updated in
-place by insertions and deletions. A filter has no false negatives, so a line that misses it
-needs no look at the exact table; every line that hits it is decided by the exact table.
+counts and first holders follow; documents can be inserted and deleted at any time, and only the
+keys they hold are counted anew. Keys that at least two documents hold are also kept in sharded
+cuckoo filters, a table of one blob a shard, which insertions and deletions update. Lines are sorted
+to their shard's filter and stream past it. A filter has no false negatives, so a line that misses
+it needs no look at the exact counts; every line that hits it is decided by them.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TO_LOWER = str.maketrans(UPPER, LOWER)
 LEAST = 10  # code points of a key that can be dropped
 PER_SHARD = 40_000  # keys that one filter is made for
-BROADCAST_KEYS = 8_000_000  # filters of more keys (about 24 MB) are not broadcast: then every line goes to the exact join
+SALTS = 32  # copies of a filter, so that a line which very many documents hold streams through as many tasks
 LAST = (1 << 63) - 1  # stands for a null doc_id, which ranks after all others
 
 
@@ -107,43 +108,49 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 
 class LineIndex:
-    """Exact postings and the cuckoo filters over their repeated keys."""
+    """Exact postings, the counts of repeated keys, and the cuckoo filters over these keys."""
 
-    def __init__(self, table: DataFrame, counts: DataFrame, filters: DataFrame | None = None, shards: int = 1):
+    def __init__(self, table: DataFrame, counts: DataFrame, filters: DataFrame, shards: int):
         self.table, self.counts, self.filters, self.shards = table, counts, filters, shards
 
     @classmethod
-    def build(cls, table: DataFrame) -> LineIndex:
-        """Index postings: reference counts, first holders, and filters of the keys that two documents or more hold."""
-        counts = materialise(cls.count(table).where("first_doc < last_doc"))
-        n = counts.count()
-        shards = max(1, -(-n // PER_SHARD))
+    def build(cls, table: DataFrame, unique: bool = False) -> LineIndex:
+        """Index postings: reference counts, first holders, and filters of the keys that two documents or more hold.
+
+        Rows that repeat a (key, doc_id) count once; ``unique`` says that there are none, or that only first holders matter.
+        """
+        table = table if unique else materialise(table.select("key", "doc_id").distinct())
+        counts = materialise(cls.count(table))
+        shards = max(1, -(-counts.count() // PER_SHARD))
         index = cls(table, counts, None, shards)
-        if n <= BROADCAST_KEYS:
-            index.filters = materialise(index._update(None, counts.select("key"), None))
+        index.filters = materialise(index._update(None, counts.select("key"), None))
         return index
 
     @staticmethod
     def count(table: DataFrame) -> DataFrame:
-        return table.groupBy("key").agg(F.count("*").alias("holders"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+        """(key, holders, first_doc, last_doc) of the repeated keys."""
+        return table.groupBy("key").agg(F.count("*").alias("holders"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
 
     def _shard(self) -> Column:
         return F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int")
 
     def _update(self, filters: DataFrame | None, added: DataFrame, removed: DataFrame | None) -> DataFrame:
-        """Filters (shard, buckets, table) after keys were added and removed; a shard holds about PER_SHARD keys."""
+        """Filters (shard, buckets, keys, table, full) after keys were added and removed; a shard holds about PER_SHARD keys.
+
+        A full filter says so and stays as it was: then the index must be built anew.
+        """
         changes = added.select("key", F.lit(1).alias("sign"))
         if removed is not None:
             changes = changes.unionByName(removed.select("key", F.lit(-1).alias("sign")))
         changes = changes.withColumn("shard", self._shard())
-        schema = "shard int, buckets int, keys long, table binary"
+        schema = "shard int, buckets int, keys long, table binary, full boolean"
         if filters is None:
             filters = changes.sparkSession.createDataFrame([], schema)
 
         def apply(old: pa.Table, new: pa.Table) -> pa.Table:
             sign = new["sign"].to_numpy()
             h = key_hash(new["key"].combine_chunks()) if new.num_rows else np.zeros(0, U)
-            plus, minus, n = h[sign > 0], h[sign < 0], 0
+            plus, minus, n, full = h[sign > 0], h[sign < 0], 0, False
             shard = (old if old.num_rows else new)["shard"][0].as_py()
             if old.num_rows:
                 row = old.slice(0, 1).to_pylist()[0]
@@ -151,60 +158,63 @@ class LineIndex:
             else:
                 f = CuckooFilter.for_keys(len(plus))
             f.remove(minus)
-            while not f.add(plus):
-                if n:
-                    raise OverflowError("a filter is full: build the index anew")
-                f = CuckooFilter(2 * f.buckets)
+            while not full and not f.add(plus):
+                full = n > 0
+                f = f if full else CuckooFilter(2 * f.buckets)
             n += len(plus) - len(minus)
-            return pa.table({"shard": pa.array([shard], pa.int32()), "buckets": pa.array([f.buckets], pa.int32()), "keys": pa.array([n], pa.int64()), "table": pa.array([f.table.tobytes()], pa.binary())})
+            return pa.table({"shard": pa.array([shard], pa.int32()), "buckets": pa.array([f.buckets], pa.int32()), "keys": pa.array([n], pa.int64()), "table": pa.array([f.table.tobytes()], pa.binary()), "full": pa.array([full])})
 
         return filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(apply, schema)
 
     def insert(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> LineIndex:
-        """The index with the lines of more documents."""
-        return self._changed(self.table.unionByName(postings(docs, doc_id, text)))
+        """The index with the lines of more documents; lines that a document of the index holds already are not counted again."""
+        own = postings(docs, doc_id, text).distinct()
+        new = materialise(own.join(self.table.select("key", "doc_id"), ["key", "doc_id"], "left_anti"))
+        return self._changed(self.table.unionByName(new), new)
 
     def delete(self, ids: DataFrame, doc_id: str = "doc_id") -> LineIndex:
-        """The index without the documents whose ids are given: counts fall, and lines whose first holder goes pass to the next."""
-        gone = ids.select(F.col(doc_id).cast("long").alias("doc_id")).distinct()
-        return self._changed(self.table.join(gone, "doc_id", "left_anti"))
-
-    def _changed(self, table: DataFrame) -> LineIndex:
-        table = materialise(table)
-        counts = materialise(self.count(table).where("first_doc < last_doc"))
-        if self.filters is None or counts.count() > self.shards * PER_SHARD * 1.5:
-            return LineIndex.build(table)
-        plus, minus = (a.select("key").join(b.select("key"), "key", "left_anti") for a, b in ((counts, self.counts), (self.counts, counts)))
-        try:
-            filters = materialise(self._update(self.filters, plus, minus))
-        except Exception as e:
-            if "a filter is full" not in str(e):
-                raise
-            return LineIndex.build(table)
+        """The index without the documents whose ids are given (a null id: those without one): counts fall, and lines whose first holder goes pass to the next."""
+        gone = materialise(ids.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc_id")).distinct())
+        old = materialise(self.table.join(gone, "doc_id", "left_semi").select("key"))
+        return self._changed(materialise(self.table.join(gone, "doc_id", "left_anti").select("key", "doc_id")), old)
+
+    def _changed(self, table: DataFrame, change: DataFrame) -> LineIndex:
+        """The index over ``table``, with the keys of ``change`` counted anew and all others as they were."""
+        keys = materialise(change.select("key").distinct())
+        before = self.counts.join(keys, "key", "left_semi")
+        after = materialise(self.count(table.join(keys, "key", "left_semi")))
+        counts = materialise(self.counts.join(keys, "key", "left_anti").unionByName(after))
+        if counts.count() > self.shards * PER_SHARD * 1.5:
+            return LineIndex.build(table, unique=True)
+        plus, minus = (a.select("key").join(b.select("key"), "key", "left_anti") for a, b in ((after, before), (before, after)))
+        filters = materialise(self._update(self.filters, plus, minus))
+        if filters.where("full").limit(1).count():
+            return LineIndex.build(table, unique=True)
         return LineIndex(table, counts, filters, self.shards)
 
     def maybe_repeated(self, lines: DataFrame) -> DataFrame:
         """The lines (key, doc_id) that the filters cannot rule out."""
-        if self.filters is None:
-            return lines
-        n = self.shards
-        blobs = self.filters.collect()  # at most BROADCAST_KEYS keys, about 3 bytes each
-        shared = lines.sparkSession.sparkContext.broadcast({r["shard"]: (r["buckets"], r["table"]) for r in blobs})
+        filters = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("table").alias("blob"), F.lit(None).cast("long").alias("doc_id"))
+        rows = lines.select(self._shard().alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), F.col("key").alias("blob"), "doc_id")
+        order = "shard", "salt", F.col("doc_id").asc_nulls_first()  # a filter comes before its lines
 
         @tidy
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filters = {k: CuckooFilter(*v) for k, v in shared.value.items()}
+            at, own = None, None
             for batch in batches:
-                shard, ok = batch.column(2).to_numpy(), np.zeros(batch.num_rows, bool)
-                h = key_hash(batch.column(0)) if batch.num_rows else np.zeros(0, U)
-                order = np.argsort(shard, kind="stable")
-                cut = np.searchsorted(shard[order], np.arange(n + 1))
-                for k, f in filters.items():
-                    at = order[cut[k] : cut[k + 1]]
-                    ok[at] = f.has(h[at])
-                yield pa.RecordBatch.from_arrays(batch.columns[:2], batch.schema.names[:2]).filter(pa.array(ok))
-
-        return lines.select("key", "doc_id", self._shard().alias("shard")).mapInArrow(probe, "key binary, doc_id long")
+                place = batch.column(0).to_numpy().astype(np.int64) * SALTS + batch.column(1).to_numpy()
+                is_filter = np.asarray(batch.column(3).is_null())
+                cut = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | is_filter[1:] | is_filter[:-1]])) if len(place) else np.zeros(0, np.int64)
+                ok = np.zeros(len(place), bool)
+                for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(place)], strict=True):
+                    if is_filter[a]:
+                        table = batch.column(2)[a].as_py()
+                        at, own = place[a], CuckooFilter(len(table) // (2 * CuckooFilter.SLOTS), table)
+                    elif at == place[a]:  # a shard without a filter has no repeated key
+                        ok[a:b] = own.has(key_hash(batch.column(2).slice(a, b - a)))
+                yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3)], ["key", "doc_id"]).filter(pa.array(ok))
+
+        return rows.unionByName(filters).repartition("shard", "salt").sortWithinPartitions(*order).mapInArrow(probe, "key binary, doc_id long")
 
     def dropped(self, lines: DataFrame) -> DataFrame:
         """(doc_id, keys): the keys that each document loses, as a smaller doc_id holds them."""
@@ -221,9 +231,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ind
     lines. All other columns pass through. A hot line is aggregated before it is shuffled, and
     its rows in the exact join can be split. An empty table gives an empty one.
     """
+    lines = materialise(postings(docs, doc_id, text))
     if index is None:
-        index = LineIndex.build(postings(docs, doc_id, text))
-    lines = postings(docs, doc_id, text)
+        index = LineIndex.build(lines, unique=True)
     drops = index.dropped(lines).select(F.col("doc_id").alias("__id"), F.col("keys").alias("__keys"))
     joined = docs.join(drops, F.coalesce(docs[doc_id].cast("long"), F.lit(LAST)) == drops["__id"], "left").drop("__id")
     schema = StructType([*docs.schema.fields, StructField("__n_lines", LongType()), StructField("__n_dropped", LongType())])

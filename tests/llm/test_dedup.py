@@ -61,6 +61,29 @@ def test_line_index_is_reversible(spark):
     assert {r.doc_id: r["__n_dropped"] for r in got} == {k: v[1] for k, v in brute.op4([r for r in rows if r[0] % 2]).items()}
 
 
+def test_line_index_counts_and_null_ids(spark, monkeypatch):
+    """Reference counts are exact under repeated insertions; a null id can be deleted; full filters build the index anew."""
+    line = "a line that is long enough"
+    rows = [(1, line, "en", "s", 1), (2, f"{line}\n{line.upper()}", "en", "s", 1), (None, line, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, brute.SCHEMA)
+    held = lambda x: [(r.holders, r.first_doc) for r in x.counts.collect()]
+    index = line_dedup.LineIndex.build(line_dedup.postings(docs.unionByName(docs)))
+    assert held(index) == [(3, 1)]
+    assert held(index.insert(docs)) == [(3, 1)]
+    index = index.delete(docs.where("doc_id is null").select("doc_id"))
+    assert held(index) == [(2, 1)]
+    index = index.delete(docs.where("doc_id = 1").select("doc_id"))
+    assert held(index) == []
+    more = spark.createDataFrame([(k, "\n".join(f"line number {i} of many" for i in range(90)), "en", "s", 1) for k in (5, 6)], brute.SCHEMA)
+    index = index.insert(more).insert(docs)
+    assert sorted(held(index)) == [(2, 5)] * 90 + [(3, 1)]
+    rebuilt = []
+    plain = line_dedup.LineIndex.build.__func__
+    monkeypatch.setattr(line_dedup.LineIndex, "build", classmethod(lambda cls, *a, **k: rebuilt.append(1) or plain(cls, *a, **k)))
+    again = spark.createDataFrame([(k, "\n".join(f"another line {i} of many" for i in range(60)), "en", "s", 1) for k in (7, 8)], brute.SCHEMA)
+    assert len(held(index.insert(again))) == 151 and rebuilt == [1]
+
+
 def test_cuckoo_filter():
     import numpy as np
 
