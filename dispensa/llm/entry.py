@@ -48,7 +48,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents")).drop("fence_level")
+    return quality.judge(table(spark, sf_dir, "documents"))
 
 
 def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Quality rules with adaptive thresholds (operator 7): DataFrame functions only.
 
 Ratios of each document are put into quantile sketches per language, source and salt; sketches
-merge to language and source, to language, and to the whole corpus. Fences around the middle
-half of the finest group that is large enough replace fixed cutoffs, and a join with them filters.
+merge to language and source, to language, and to the whole corpus. Fences around the middle half of
+a group replace fixed cutoffs: a group's fences are drawn towards its language's, and these towards
+the whole corpus's, the more the fewer values they come from. A join with the fences filters.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 SKETCH_K = 400  # sketch size: a rank error of about half a percent, however many rows
 SALTS = 16
-LEAST_ROWS = 100  # of a group whose own fences count
+PRIOR = 100  # values of a group at which its own fences weigh as much as its parent's
 GROUPS_BROADCAST = 100_000  # fences of more groups (of about 200 bytes) are joined by shuffle
-# Ratio: (fence multiple of the interquartile range, slack added to it, whether a low value fails too).
-RATIOS = {"mean_word": (4.0, 2.0, True), "symbol_ratio": (4.0, 0.1, False), "dup_line_ratio": (4.0, 0.35, False), "repeat_ratio": (4.0, 0.3, False)}
+TIMES = 4.0  # interquartile ranges that a value may lie outside the middle half
+# Ratio: (whether a low value fails too, whether only documents above 0 are compared). Few clean texts repeat a
+# line or a window; those that do are held against each other, or any repetition at all would lie outside.
+RATIOS = {"mean_word": (True, False), "symbol_ratio": (False, False), "dup_line_ratio": (False, True), "repeat_ratio": (False, True)}
 
 
 def _bind(value: Column, body) -> Column:
@@ -66,46 +69,63 @@ def _ratios(rows: DataFrame) -> DataFrame:
 
 
 def fences(rows: DataFrame) -> DataFrame:
-    """(level, lang, source, n, low and high fence of each ratio) from documents that pass the base rules.
+    """(level, lang, source, and for each ratio the values seen, its low and high fence) from documents that pass the base rules.
 
     Sketches are merged upwards: 2 language and source, 1 language, 0 all. A hot source is spread over SALTS.
     """
-    sketches = rows.where("not base_failed").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).groupBy("lang", "source", "salt").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(F.col(r), F.lit(SKETCH_K)).alias(r) for r in RATIOS])
-    merge = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(F.col(r), F.lit(SKETCH_K)).alias(r) for r in RATIOS]]
+    seen = {r: F.when(F.col(r) > 0, F.col(r)) if some else F.col(r) for r, (_, some) in RATIOS.items()}
+    sketches = rows.where("not base_failed").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).groupBy("lang", "source", "salt").agg(*[F.kll_sketch_agg_double(v, F.lit(SKETCH_K)).alias(r) for r, v in seen.items()])
+    merge = [F.kll_merge_agg_double(F.col(r), F.lit(SKETCH_K)).alias(r) for r in RATIOS]
     fine = sketches.groupBy("lang", "source").agg(*merge)
     by_lang = fine.groupBy("lang").agg(*merge)
-    levels = [fine.withColumn("level", F.lit(2)), by_lang.withColumns({"level": F.lit(1), "source": F.lit(None).cast("string")}), by_lang.groupBy().agg(*merge).withColumns({"level": F.lit(0), "lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")})]
-    out = reduce(DataFrame.unionByName, levels).where(F.col("n") > 0)
+    none = F.lit(None).cast("string")
+    levels = [fine.withColumn("level", F.lit(2)), by_lang.withColumns({"level": F.lit(1), "source": none}), by_lang.groupBy().agg(*merge).withColumns({"level": F.lit(0), "lang": none, "source": none})]
+    out = reduce(DataFrame.unionByName, levels)
     columns = []
-    for r, (times, slack, both) in RATIOS.items():
-        low, high = (F.kll_sketch_get_quantile_double(F.col(r), F.lit(q)) for q in (0.25, 0.75))
-        columns.append((high + times * (high - low) + slack).alias(f"{r}_high"))
-        columns.append((low - times * (high - low) - slack if both else F.lit(None).cast("double")).alias(f"{r}_low"))
-    return out.select("level", "lang", "source", "n", *columns)
+    for r, (both, _) in RATIOS.items():
+        n = F.coalesce(F.kll_sketch_get_n_double(F.col(r)), F.lit(0))
+        low, high = (F.when(n > 0, F.kll_sketch_get_quantile_double(F.col(r), F.lit(q))) for q in (0.25, 0.75))
+        columns += [n.alias(f"{r}_n"), (low - TIMES * (high - low) if both else F.lit(None).cast("double")).alias(f"{r}_low"), (high + TIMES * (high - low)).alias(f"{r}_high")]
+    return out.select("level", "lang", "source", *columns)
+
+
+def _drawn(own: str, parent: str | None) -> Column:
+    """The fences of the struct ``own``, each drawn towards that of the struct ``parent``, which holds where ``own`` has none."""
+    out = []
+    for r in RATIOS:
+        for side in ("low", "high"):
+            here = F.col(f"{own}.{r}_{side}")
+            if parent:
+                there, n = F.col(f"{parent}.{r}_{side}"), F.col(f"{own}.{r}_n")
+                here = F.coalesce(here + (there - here) * (PRIOR / (n + PRIOR)), here, there)
+            out.append(here.alias(f"{r}_{side}"))
+    return F.struct(*out)
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and the level of the fences used.
+    """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     A document is kept unless it fails the base rules or one of its ratios lies outside the fences of
-    its language and source, or of its language or of all documents where the finer group has
-    fewer than LEAST_ROWS rows. Values on a fence pass; repeated rows count each; an empty table gives none.
+    its language and source. Values on a fence pass, and so does any value where no document gives a fence. Repeated rows
+    count each; an empty table gives none. Sketches choose at random what they keep of groups of more than about SKETCH_K
+    documents, so a document whose ratio lies within half a percent of ranks of a fence may be judged otherwise in another run.
     """
     rows = _ratios(materialise(measures(docs, doc_id, text, lang, source)))
-    limits = materialise(fences(rows).where(f"level < 2 or n >= {LEAST_ROWS}").where(f"level <> 1 or n >= {LEAST_ROWS}"))
-    # One row of fences for each language and source: the finest that is large enough.
-    names = [c for c in limits.columns if c not in ("level", "lang", "source", "n")]
+    limits = materialise(fences(rows))
+    # One row of fences for each language and source.
+    names = [c for c in limits.columns if c not in ("level", "lang", "source")]
     pairs = rows.select("lang", "source").distinct()
-    packed = {k: limits.where(F.col("level") == k).select("lang", "source", F.struct("level", *names).alias(f"f{k}")) for k in (0, 1, 2)}
+    packed = {k: limits.where(F.col("level") == k).select("lang", "source", F.struct(*names).alias(f"f{k}")) for k in (0, 1, 2)}
     fine = pairs.alias("p").join(packed[2].alias("a"), F.col("p.lang").eqNullSafe(F.col("a.lang")) & F.col("p.source").eqNullSafe(F.col("a.source")), "left").select("p.*", "f2")
-    wide = fine.alias("p").join(packed[1].alias("b"), F.col("p.lang").eqNullSafe(F.col("b.lang")), "left").select("p.*", "f1")
+    wide = fine.alias("p").join(packed[1].alias("b"), F.col("p.lang").eqNullSafe(F.col("b.lang")), "left").select("p.*", "f2", "f1")
     top = wide.join(packed[0].select("f0"), F.lit(True), "left")  # one row of fences for the whole corpus
-    chosen = materialise(top.select("lang", "source", F.coalesce("f2", "f1", "f0").alias("f")))
+    drawn = top.withColumn("f1", _drawn("f1", "f0")).withColumn("f", _drawn("f2", "f1"))
+    chosen = materialise(drawn.select("lang", "source", "f"))
     small = chosen.limit(GROUPS_BROADCAST + 1).count() <= GROUPS_BROADCAST
     chosen = F.broadcast(chosen) if small else chosen
     joined = rows.alias("r").join(chosen.alias("c"), F.col("r.lang").eqNullSafe(F.col("c.lang")) & F.col("r.source").eqNullSafe(F.col("c.source")), "left").select("r.*", "f")
     inside = reduce(lambda a, b: a & b, [F.coalesce(F.col(r) <= F.col(f"f.{r}_high"), F.lit(True)) & F.coalesce(F.col(r) >= F.col(f"f.{r}_low"), F.lit(True)) for r in RATIOS])
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), F.col("f.level").alias("fence_level"))
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"))
 
 
 def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

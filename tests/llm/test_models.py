@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -29,15 +30,57 @@ def test_fences_reject_junk_and_keep_clean(spark):
     assert quality.judge(docs.limit(0)).count() == 0
 
 
-def test_fences_equal_exact_quantiles_of_small_groups(spark):
-    rows = [(i, "w" * (1 + i % 9) + " " + "y " * 60, "en", "s", 1) for i in range(200)]
-    f = quality.fences(quality._ratios(quality.measures(spark.createDataFrame(rows, brute.SCHEMA))).withColumn("base_failed", quality.F.lit(False)))
-    row = f.where("level = 2").first()
-    ratio = sorted((1 + i % 9 + 60) / 61 for i in range(200))
-    low, high = ratio[49], ratio[149]
-    times, slack, _ = quality.RATIOS["mean_word"]
-    assert row.n == 200
-    assert row.mean_word_high == pytest.approx(high + times * (high - low) + slack, abs=0.02)
+def exact_kept(rows):
+    """The verdicts with exact quantiles in the place of sketches."""
+    base = {}
+    for d, text, lang, source, *_ in rows:
+        n, chars, symbols, dup, repeat, failed = brute.op7_base(text)
+        lines = sum(1 for x in (text or "").split("\n") if brute.WORD.search(x))
+        base[d] = (lang, source, failed, {"mean_word": chars / n if n else 0, "symbol_ratio": symbols / n if n else 0, "dup_line_ratio": dup / lines if lines else 0, "repeat_ratio": repeat / n if n else 0})
+
+    def fence(r, inside, parent):
+        both, some = quality.RATIOS[r]
+        v = sorted(x[3][r] for x in base.values() if not x[2] and inside(x) and (x[3][r] > 0 or not some))
+        if not v:
+            return parent
+        low, high = v[-(-len(v) // 4) - 1], v[-(-3 * len(v) // 4) - 1]
+        own = (low - quality.TIMES * (high - low) if both else -math.inf, high + quality.TIMES * (high - low))
+        if parent is None:
+            return own
+        return tuple(a if a == b else a + (b - a) * quality.PRIOR / (len(v) + quality.PRIOR) for a, b in zip(own, parent))
+
+    out = set()
+    for d, x in base.items():
+        ok = not x[2]
+        for r in quality.RATIOS:
+            f = fence(r, lambda y: y[:2] == x[:2], fence(r, lambda y: y[0] == x[0], fence(r, lambda y: True, None)))
+            ok = ok and (f is None or f[0] <= x[3][r] <= f[1])
+        if ok:
+            out.add(d)
+    return out
+
+
+def test_kept_equals_exact_quantiles_over_languages_and_sources(spark):
+    """Groups are small enough for sketches to hold every value; a null language and source, clashing names and a long text are among them."""
+    rng = random.Random(2)
+    words = {k: ["".join(rng.choices("abcdefgh", k=rng.randint(2, n))) for _ in range(500)] for k, n in (("en", 6), ("de", 12), (None, 9))}
+    rows = []
+    for i in range(330):
+        lang = rng.choice(["en", "en", "de", None])
+        text = " ".join(rng.choices(words[lang], k=rng.randint(40, 160)))
+        if i % 7 == 0:
+            text = "\n".join([text, "one more line", "one more line"])
+        if i % 11 == 0:
+            text = " ".join(w + "#" * rng.randint(0, 9) for w in text.split(" "))
+        if i % 13 == 0:
+            text += " and so it goes on" * rng.randint(1, 9)
+        rows.append((i, text, lang, rng.choice(["a", "b", None]), 1))
+    rows += [(900, " ".join(rng.choices(words["en"], k=20_000)), "en", "a", 1), (901, None, None, None, None), (902, "", "en", "new", 0)]
+    docs = spark.createDataFrame([(*r, "x", 2) for r in rows], brute.SCHEMA + ", f string, level int").repartition(3)
+    got = quality.judge(docs).collect()
+    want = exact_kept(rows)
+    assert {r.doc_id for r in got if r.kept} == want
+    assert len(got) == len(rows) and 100 < len(want) < sum(not r.base_failed for r in got)
 
 
 def test_forest_recall_and_contract(spark):
