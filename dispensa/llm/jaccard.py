@@ -6,8 +6,9 @@ by hash. A set r and a set s no smaller, of a Jaccard similarity of 3/4 or more,
 the band (and those of the next band that are near enough in size) indexes its segment subsets;
 r asks with the |r| // 3 + 1 that cost least: those whose subset fewest sets around it share,
 then the largest. A set with too few nonempty segments makes some reserved segments
-worth two by asking for one-deletion neighbourhoods too. In small bands each shingle is a segment.
-Whatever shares a subset is verified exactly.
+worth two by asking for one-deletion neighbourhoods too; one that still lacks some asks with single
+shingles. In small bands each shingle is a segment. Whatever shares a subset is verified exactly, on
+64-bit hashes of the shingles.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .batches import LAST, bucket_of, parts, runs, squeeze, unsqueeze
 from .components import components
-from .kernels import LOWER, U, chunks, expand, mix, pack, rolling, span_hashes, text_bytes, tidy, unpack, word_spans
+from .kernels import BASE, LOWER, U, chunks, expand, mix, pack, rolling, span_hashes, text_bytes, tidy, unpack, word_spans
 from .state import materialise
 
 SHORT = 5  # bytes of a subset's hash besides its bucket
@@ -29,11 +30,12 @@ SMALL = 7  # bands below 2**7 shingles have a segment for each shingle
 SLACK = 1.25  # segments in proportion to those that must be asked for
 RESERVED = 4  # segments of a band with one-deletion neighbourhoods
 SKETCH = 256, 8192  # bits of a parity sketch, at least and at most; it has more than a set has shingles
-BLOCK = 1024  # sets of a group that are compared with as many others at once
+BLOCK = 1024  # asking sets of a group that are compared with as many others at once
+FOLD = 32  # bytes that all sketches of a block are folded to for a first look
 BROADCAST_IDS = 1_000_000  # more ids than these (8 MB) are joined by shuffle
 LOCAL = 8 << 20  # bytes of text whose sets are handled together
 HEAVY = 64  # sets of a batch that share a subset before the batch sends its bucket one entry for them all
-VALUE = 6  # bytes of a shingle's hash in verification
+VALUE = 8  # bytes of a shingle's hash in verification
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +181,7 @@ MEMBER, PAIR, LACKING, HELD, LEAD = range(5)
 
 def candidates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame:
     """(kind, x, y, n, sketch). MEMBER: row of document x has n shingles and the set of document y. PAIR: x and y share a subset
-    that one of them or a third asks with, x being the least such. LACKING: document x could not ask enough.
+    that one of them or a third asks with, x being the least such; n is 1 if y asks. LACKING: document x could not ask enough.
     HELD: subsets that many sets of batch x share, in a blob. LEAD: y is the least document that holds subset n of batch x's."""
     n, heavy = parts(docs), HEAVY
 
@@ -192,13 +194,14 @@ def candidates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame
             order = np.argsort(ids, kind="stable")
             values, before = shingle_sets(buf, offsets, width)
             size = np.diff(before)
-            total = np.zeros(len(ids), U)
+            total = np.zeros((2, len(ids)), U)
             some = np.flatnonzero(size > 0)
             if len(some):
-                total[some] = mix(np.add.reduceat(mix(values), before[some]) + size[some].astype(U))
-            # Equal sets of a batch are one, the smallest document's.
-            same = order[np.argsort(total[order], kind="stable")]
-            first = runs(total[same])
+                total[0, some] = mix(np.add.reduceat(mix(values), before[some]) + size[some].astype(U))
+                total[1, some] = np.add.reduceat(mix(values ^ BASE), before[some])
+            # Equal sets of a batch (by 128 bits) are one, the smallest document's.
+            same = order[np.lexsort((total[1, order], total[0, order]))]
+            first = np.union1d(runs(total[0, same]), runs(total[1, same]))
             keeper = np.empty(len(ids), np.int64)
             keeper[same] = np.repeat(same[first], np.diff(np.append(first, len(same))))
             keeper[size == 0] = np.flatnonzero(size == 0)
@@ -217,7 +220,7 @@ def candidates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame
                 least, ask = ids[lead[doc[many[first]]]], np.logical_or.reduceat(asks[many], first)
                 key = (bucket[many[first]].astype(U) << U(8 * SHORT)) | (sig[many[first]] & U((1 << 8 * SHORT) - 1))
                 tag = int(mix(np.array([ids.astype(U).sum() + U(len(ids))], U))[0] >> U(1))
-                rows.append((tag % n, HELD, squeeze(pack(key, 8) + pack(size_of.astype(U), 4) + pack(ids[lead[doc[many]]].astype(U), 8)), pack(np.array([tag, len(key)], U), 8), None))
+                rows.append((tag % n, HELD, squeeze(pack(key, 8) + pack(size_of.astype(U), 4) + pack(ids[lead[doc[many]]].astype(U), 8) + asks[many].tobytes()), pack(np.array([tag, len(key)], U), 8), None))
                 hot = bucket[many[first]]
                 order = np.argsort(hot, kind="stable")
                 cut = runs(hot[order])
@@ -285,13 +288,12 @@ def candidates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame
             out.append((np.full(len(told), LEAD), tag[told], lead[told], key[told]))
             sketches += [None] * len(told)
             at = np.flatnonzero(np.repeat(wanted, size) & (lead != doc))
-            x, y = lead[at], doc[at]
+            x, y, a = lead[at], doc[at], asks[at]
             order = np.lexsort((y, x))
-            x, y = x[order], y[order]
-            new = np.ones(len(x), bool)
-            new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-            x, y = x[new], y[new]
-            out.append((np.full(len(x), PAIR), x, y, np.zeros(len(x), np.int64)))
+            x, y, a = x[order], y[order], a[order]
+            new = np.union1d(runs(x), runs(y))
+            x, y, a = x[new], y[new], np.logical_or.reduceat(a, new) if len(new) else a
+            out.append((np.full(len(x), PAIR), x, y, a))
             sketches += [None] * len(x)
         columns = [pa.array(np.concatenate([np.asarray(r[c]).astype(np.int64) for r in out]), _FOUND.field(c).type) for c in range(4)]
         return pa.table([*columns, pa.array(sketches, pa.binary())], schema=_FOUND)
@@ -301,27 +303,52 @@ def candidates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame
 
 
 def _met(found: DataFrame) -> DataFrame:
-    """(x, y): the pairs of ``candidates``, those of subsets that batches kept to themselves included."""
+    """(x, y, asks): the pairs of ``candidates``, those of subsets that batches kept to themselves included, and whether y asks with what they share."""
 
     @tidy
     def told(held: pa.Table, leads: pa.Table) -> pa.Table:
         key, lead = leads["n"].to_numpy(), leads["y"].to_numpy()
         order = np.argsort(key, kind="stable")
-        key, lead, pairs = key[order], lead[order], [np.zeros((0, 2), np.int64)]
+        key, lead, pairs = key[order], lead[order], [np.zeros((0, 3), np.int64)]
         for k, blob in zip(held["y"].to_pylist(), held["sketch"].to_pylist(), strict=True):
             blob = unsqueeze(blob)
-            own, size, docs = unpack(blob[: 8 * k], 8).astype(np.int64), unpack(blob[8 * k : 12 * k], 4).astype(np.int64), unpack(blob[12 * k :], 8).astype(np.int64)
+            own, size = unpack(blob[: 8 * k], 8).astype(np.int64), unpack(blob[8 * k : 12 * k], 4).astype(np.int64)
+            m = int(size.sum())
+            docs, asks = unpack(blob[12 * k : 12 * k + 8 * m], 8).astype(np.int64), np.frombuffer(blob[12 * k + 8 * m :], bool)
             at = np.minimum(np.searchsorted(key, own), max(len(key) - 1, 0))
             known = key[at] == own if len(key) else np.zeros(len(own), bool)
             some = np.repeat(known, size)
             x = np.repeat(lead[at] if len(key) else own, size)[some]
-            pairs.append(np.unique(np.stack([x, docs[some]], 1), axis=0))
-        x, y = np.concatenate(pairs).T
-        return pa.table({"x": pa.array(x[x != y], pa.int64()), "y": pa.array(y[x != y], pa.int64())})
+            pairs.append(np.unique(np.stack([x, docs[some], asks[some].astype(np.int64)], 1), axis=0))
+        x, y, asks = np.concatenate(pairs).T
+        return pa.table({"x": pa.array(x[x != y], pa.int64()), "y": pa.array(y[x != y], pa.int64()), "asks": pa.array(asks[x != y], pa.int64())})
 
     kind = lambda k: found.where(F.col("kind") == k).groupBy("x")
-    kept = kind(HELD).cogroup(kind(LEAD)).applyInArrow(told, "x long, y long")
-    return found.where(F.col("kind") == PAIR).select("x", "y").union(kept).distinct()
+    kept = kind(HELD).cogroup(kind(LEAD)).applyInArrow(told, "x long, y long, asks long")
+    return found.where(F.col("kind") == PAIR).select("x", "y", F.col("n").alias("asks")).union(kept).groupBy("x", "y").agg((F.max("asks") > 0).alias("asks"))
+
+
+def _alone(docs: DataFrame, lacking: DataFrame, width: int) -> DataFrame:
+    """(x, y): for each document of lacking(doc_id) the documents that hold one of |x| // 3 + 1 of its shingles.
+
+    So few sets lack segments that their shingles are by far the smaller side of the join.
+    """
+
+    def shingles(docs: DataFrame, only: str, name: str) -> DataFrame:
+        @tidy
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                values, before = shingle_sets(*text_bytes(batch.column(1)), width)
+                size = np.diff(before)
+                count = np.where(size > 0, size // 3 + 1, 0) if only == "first" else size
+                at = expand(before[:-1], count)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), count)), pa.array(values[at].view(np.int64))], [name, "h"])
+
+        return docs.select("doc_id", "text").mapInArrow(run, f"{name} long, h long")
+
+    asking = materialise(shingles(docs.join(lacking, "doc_id", "left_semi"), "first", "p"))
+    met = shingles(docs, "all", "q").join(asking, "h").where("p <> q")
+    return met.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -379,39 +406,50 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "x long, y long").distinct()
 
 
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """All sketches folded to FOLD bytes, as 64-bit words: rows differ in no more bits than the sketches do."""
+    out = np.empty((len(sketches), FOLD // 8), U)
+    for k, x in enumerate(sketches):
+        out[k] = np.bitwise_xor.reduce(np.frombuffer(x, U).reshape(-1, FOLD // 8), axis=0)
+    return out
+
+
 def _across(pairs: DataFrame, label: DataFrame, sketches: DataFrame, percent: int, lots: int) -> DataFrame:
     """Pairs of sets that meet in a group but are in different components, and that their sketches do not rule out.
 
-    A group is large only where many sets share subsets without being linked; it is compared in
-    blocks, dealt to tasks one pair of blocks each.
+    One of a pair has asked with what the group shares, so only those that ask are compared with the
+    others, BLOCK with BLOCK in a task.
     """
     named = lambda df, c: df.join(label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")), c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
     known = named(named(pairs, "x"), "y")
     # The group's least set was compared with all; what it did not link must be compared among itself and with what it linked.
-    mixed = known.groupBy("x").agg(F.count_if(F.col("y_in") != F.col("x_in")).alias("apart"), F.count("*").alias("size")).where("apart > 0 and size > 1").select("x", "size")
-    group = known.join(mixed, "x").select(F.col("x").alias("g"), F.col("y").alias("doc_id"), F.col("y_in").alias("inside"), "size")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    group = group.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("doc_id"), blocks).cast("int")})
-    dealt = group.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select("g", "i", "j", "own", "doc_id", "inside")
+    mixed = known.groupBy("x").agg(F.count_if(F.col("y_in") != F.col("x_in")).alias("apart"), F.count("*").alias("size"), F.count_if("asks").alias("asking")).where("apart > 0 and size > 1 and asking > 0").select("x", "size", "asking")
+    group = known.join(mixed, "x").select(F.col("x").alias("g"), F.col("y").alias("doc_id"), F.col("y_in").alias("inside"), "asks", F.ceil(F.col("asking") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("size") / BLOCK).cast("int").alias("columns"))
+    place = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = group.where("asks").select("g", "doc_id", "inside", "asks", place("rows").alias("i"), every("columns").alias("j"))
+    asked = group.select("g", "doc_id", "inside", F.lit(False).alias("asks"), every("rows").alias("i"), place("columns").alias("j"))
     # Many small groups share a call.
-    ready = dealt.join(sketches, "doc_id").select(F.pmod(F.xxhash64("g"), F.lit(lots)).alias("lot"), "g", "i", "j", "own", "doc_id", "inside", "n", "sketch")
+    ready = asking.unionByName(asked).join(sketches, "doc_id").select(F.pmod(F.xxhash64("g"), F.lit(lots)).alias("lot"), "g", "i", "j", "asks", "doc_id", "inside", "n", "sketch")
 
     @tidy
     def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by("g")
-        groups, all_ids, all_inside, all_n, all_own = (table[c].to_numpy() for c in ("g", "doc_id", "inside", "n", "own"))
-        all_marks, i, j, x, y = table["sketch"].to_pylist(), table["i"][0].as_py(), table["j"][0].as_py(), [], []
+        table = table.sort_by([("g", "ascending"), ("asks", "descending")])
+        groups, ids, inside, n, asks = (table[c].to_numpy() for c in ("g", "doc_id", "inside", "n", "asks"))
+        marks, out = table["sketch"].to_pylist(), []
+        small, n = folded(marks), n.astype(np.int64)
         first = np.append(runs(groups), len(groups))
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            ids, inside, n, own, marks = all_ids[a:b], all_inside[a:b], all_n[a:b], all_own[a:b], all_marks[a:b]
-            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            for k in left.tolist():
+            m = a + int(asks[a:b].sum())
+            right = np.arange(m, b)
+            for k in range(a, m):
+                total = n[right] + n[k]
                 near = (inside[right] != inside[k]) & (100 * np.minimum(n[right], n[k]) >= percent * np.maximum(n[right], n[k]))
-                for r in right[near & ((ids[right] > ids[k]) if i == j else True)].tolist():
-                    if may_link(marks[k], int(n[k]), marks[r], int(n[r]), percent):
-                        x.append(min(ids[r], ids[k]))
-                        y.append(max(ids[r], ids[k]))
-        return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
+                r = right[near]
+                bits = np.bitwise_count(small[r] ^ small[k]).sum(1, dtype=np.int64)
+                r = r[bits * (100 + percent) <= (100 - percent) * total[near]]
+                out += [(min(ids[k], ids[q]), max(ids[k], ids[q])) for q in r.tolist() if may_link(marks[k], int(n[k]), marks[q], int(n[q]), percent)]
+        return pa.table({"x": pa.array([p for p, _ in out], pa.int64()), "y": pa.array([q for _, q in out], pa.int64())})
 
     return ready.groupBy("lot", "i", "j").applyInArrow(compare, "x long, y long").distinct()
 
@@ -430,12 +468,14 @@ def near_duplicates(docs: DataFrame, doc_id: str | Column = "doc_id", text: str
         raise ValueError("segments are made for similarities of 0.75 or more")
     own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text).alias("text"))
     found = materialise(candidates(own, width))
-    if found.where(F.col("kind") == LACKING).limit(1).count():  # so rare that it is never seen: give every shingle a segment
-        found = materialise(candidates(own, width, 63))
     members = found.where(F.col("kind") == MEMBER).select("x", "y", "n")
     sketches = found.where((F.col("kind") == MEMBER) & F.col("sketch").isNotNull()).select(F.col("x").alias("doc_id"), "n", "sketch")
     pairs = materialise(_met(found))
-    links = _linked(own, _likely(pairs, sketches, percent), width, percent)
+    direct = pairs.select("x", "y")
+    lacking = found.where(F.col("kind") == LACKING).select(F.col("x").alias("doc_id")).distinct()
+    if lacking.limit(1).count():
+        direct = direct.unionByName(_alone(own, lacking, width)).distinct()
+    links = _linked(own, _likely(direct, sketches, percent), width, percent)
     label = components(links)
     more = _linked(own, _across(pairs, label, sketches, percent, max(8, pairs.count() // 20_000)), width, percent)
     # Rows of one batch with equal sets hang on one of them; a shared id ties its rows together even if their sets differ.
