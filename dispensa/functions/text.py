@@ -10,17 +10,29 @@ from pyspark.sql import functions as F
 # Latin letters with marks, and what they fold to.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
 FOLDED = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
-# Dosage units, form words and salt words that names are cleaned of.
+# Dosage units, form words and words of salts and hydrates that names are cleaned of.
 UNITS = "mg|g|mcg|µg|ml|l|ui|iu|%"
-FORMS = "comprimé|comprimés|gélule|gélules|solution|sirop|crème|gel|suppositoire|injectable|tablet|capsule"
+FORMS = "comprimé|gélule|solution|injectable|poudre|suspension|sirop|crème|pommade|gel"
+CHEMICAL = "monohydrate|dihydrate|trihydrate|chlorhydrate|sulfate|phosphate|citrate|succinate|fumarate|malate|tartrate|lactate|gluconate|carbonate|nitrate"
+GENERIC_UNITS, PRODUCT_UNITS = r"mg|mcg|g|ml|iu|units|u\.i\.", "mg|g|ml|%|ui|µg"
 SALTS = "acetate|chlorhydrate|citrate|fumarate|hydrochloride|maleate|mesilate|nitrate|phosphate|potassium|sodium|succinate|sulfate|tartrate"
 # The keyword ladder of risk classes, worst first.
 RISKS = {
-    "danger": ("contre-indiqué", "contre indiqué", "contraindicated"),
-    "deconseille": ("déconseillé", "éviter", "évité", "not recommended"),
-    "precaution": ("prudence", "précaution", "caution"),
-    "ok": ("peut être utilisé", "possible", "can be used"),
-}
+    "danger": (
+        "contre-indiqué", "contre-indiquée", "contre-indiquées", "contre-indiqués", "ne doit pas être utilisé", "ne doit pas être administré", "ne pas utiliser",
+        "formellement contre-indiqué", "est interdit", "interdite pendant la grossesse", "est contre-indiqué pendant", "usage est contre-indiqué",
+    ),
+    "deconseille": (
+        "déconseillé", "est déconseillée", "ne doit être envisagé", "ne doit être utilisé que si", "ne doit pas être prescrit", "éviter", "doit être évité", "ne pas allaiter", "n'est pas recommandé",
+    ),
+    "precaution": (
+        "précaution", "prudence", "si nécessaire", "après évaluation du rapport bénéfice", "bénéfice/risque", "sous surveillance", "avis médical", "données limitées", "données insuffisantes",
+        "pas de données adéquates", "par mesure de précaution",
+    ),
+    "ok": (
+        "peut être utilisé", "peut être poursuivi", "compatible avec", "sans risque", "peut être administré", "peut être pris", "n'a pas montré de risque", "absence de risque",
+    ),
+}
 LEVELS = (*RISKS, "unknown")
 
 
@@ -45,18 +57,16 @@ def first_word(c: Column) -> Column:
 
 
 def clean_generic(c: Column) -> Column:
-    """Upper case without dosages and punctuation."""
-    no_dose = F.regexp_replace(c, r"(?i)[0-9]+([.,][0-9]+)?\s*(mg|mcg|g|ml|l|iu|ui|%)($|[^A-Za-z])", " $3")
-    return F.upper(norm_space(F.regexp_replace(no_dose, r"[^A-Za-zÀ-ÿ0-9 ]", " ")))
+    """Upper case without dosages; of punctuation only hyphens stay."""
+    no_dose = F.regexp_replace(F.upper(norm_space(c)), rf"(?iU)\b\d+(\.\d+)?\s*({GENERIC_UNITS})\b", "")
+    return norm_space(F.regexp_replace(no_dose, r"[^A-Z0-9\s-]", " "))
 
 
 def clean_product(c: Column) -> Column:
-    """Name without dosage, form and salt words, what follows a comma, and the word "de"."""
-    head = F.lower(F.split(c, ",", 2)[0])
-    no_dose = F.regexp_replace(head, rf"[0-9]+([.,][0-9]+)?\s*({UNITS})($|\s)", " ")
-    spaced = F.regexp_replace(no_dose, r"\s+", "  ")
-    no_words = F.regexp_replace(spaced, rf"(^|\s)({FORMS}|{SALTS}|de)($|\s)", " ")
-    return F.upper(norm_space(no_words))
+    """Lower case without dosages, words of form and of salt or hydrate, commas, hyphens and the word "pour"."""
+    no_dose = F.regexp_replace(F.lower(F.trim(c)), rf"(?U)\d+\s*({PRODUCT_UNITS})\b", "")
+    no_words = F.regexp_replace(no_dose, rf"(?U)\b({FORMS}|{CHEMICAL})\b", "")
+    return norm_space(F.regexp_replace(F.regexp_replace(no_words, "[,-]", " "), r"(?U)\bpour\b", " "))
 
 
 def name_variants(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import md_to_html, risk_class, worst_level
+from ..functions.text import RISKS, md_to_html, risk_class, worst_level
 from ..operators import corpus as c
 from .registry import query
 from .views import t
@@ -156,15 +156,15 @@ def doc13_document_record_text(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.array_join(F.transform("sections", lambda s: F.concat_ws(":", s["code"], s["n"])), ",").alias("sections"), "title", F.md5("search_text").alias("search_text"), "sha256", "status")
 
 
-_RISK = "CASE WHEN regexp_matches(lower({0}), 'contre-indiqué|contre indiqué|contraindicated') THEN 0 WHEN regexp_matches(lower({0}), 'déconseillé|éviter|évité|not recommended') THEN 1 WHEN regexp_matches(lower({0}), 'prudence|précaution|caution') THEN 2 WHEN regexp_matches(lower({0}), 'peut être utilisé|possible|can be used') THEN 3 ELSE 4 END"
+_RISK = "CASE " + " ".join("WHEN " + " OR ".join("contains(lower({0}), '" + w.replace("'", "''") + "')" for w in words) + f" THEN {k}" for k, words in enumerate(RISKS.values())) + " ELSE 4 END"
 _LADDER = "['danger', 'deconseille', 'precaution', 'ok', 'unknown']"
 
 
 @query(f"""WITH l AS (SELECT doc_id, unnest(range(0, len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
-m AS (SELECT doc_id, pos, line || CASE (doc_id + pos) % 9 WHEN 0 THEN ' contre-indiqué.' WHEN 1 THEN ' à ÉVITER' WHEN 2 THEN ' with caution' WHEN 3 THEN ' peut être utilisé' ELSE '' END AS line FROM l)
+m AS (SELECT doc_id, pos, line || CASE (doc_id + pos) % 9 WHEN 0 THEN ' contre-indiqué.' WHEN 1 THEN ' à ÉVITER' WHEN 2 THEN ' Sous surveillance' WHEN 3 THEN ' Compatible avec l''allaitement' WHEN 4 THEN ' Ne pas utiliser.' WHEN 5 THEN ' Ce n''est pas possible.' ELSE '' END AS line FROM l)
 SELECT doc_id, pos, {_LADDER}[level + 1] AS level, {_LADDER}[least(level, whole) + 1] AS worst FROM (SELECT doc_id, pos, {_RISK.format("line")} AS level FROM m) JOIN (SELECT doc_id, {_RISK.format("text")} AS whole FROM documents WHERE text IS NOT NULL) USING (doc_id)""")
 def str16_risk_class_lines(spark: SparkSession, d: str) -> DataFrame:
-    mark = F.when(F.col("k") == 0, " contre-indiqué.").when(F.col("k") == 1, " à ÉVITER").when(F.col("k") == 2, " with caution").when(F.col("k") == 3, " peut être utilisé").otherwise("")
+    mark = F.when(F.col("k") == 0, " contre-indiqué.").when(F.col("k") == 1, " à ÉVITER").when(F.col("k") == 2, " Sous surveillance").when(F.col("k") == 3, " Compatible avec l'allaitement").when(F.col("k") == 4, " Ne pas utiliser.").when(F.col("k") == 5, " Ce n'est pas possible.").otherwise("")
     rows = t(spark, d, "documents").select("doc_id", risk_class(F.col("text")).alias("whole"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("k", (F.col("doc_id") + F.col("pos")) % 9)
     level = risk_class(F.concat("line", mark))
     return rows.select("doc_id", "pos", level.alias("level"), worst_level(level, F.col("whole")).alias("worst"))

@@ -143,3 +143,30 @@ def test_arrays_and_sets(spark):
 def test_nearest_vectors(spark):
     v = spark.createDataFrame([(1, [2.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 1.0])], "id int, v array<float>")
     assert [(r.id, round(r.score, 4)) for r in ranking.vector_topk(v, "id", "v", F.array(F.lit(1.0), F.lit(0.0)), 2).collect()] == [(1, 1.0), (2, 0.7071)]
+
+
+def test_risk_ladder_rungs(spark):
+    from dispensa.functions import text
+
+    cases = {
+        "Ne pas utiliser pendant la grossesse.": "danger",
+        "Usage à ÉVITER, prudence": "deconseille",
+        "N'est pas recommandé": "deconseille",
+        "Utiliser sous surveillance": "precaution",
+        "Compatible avec l'allaitement": "ok",
+        "Ce n'est pas possible.": "unknown",
+        "Neutral words": "unknown",
+        " ": "unknown",
+    }
+    cases |= {word.upper(): next(x for x in text.RISKS if any(w in word for w in text.RISKS[x])) for words in text.RISKS.values() for word in words}
+    df = spark.createDataFrame([(k,) for k in [*cases, None]], "t string")
+    got = {r.t: r.level for r in df.select("t", text.risk_class(F.col("t")).alias("level")).collect()}
+    assert got == cases | {None: "unknown"}
+
+
+def test_names_are_cleaned(spark):
+    from dispensa.functions import text
+
+    df = spark.createDataFrame([("Co-Trimoxazole  25 units (x)", "Fer 80 mg, sulfate - comprimé pour gel"), ("abc 2.5mg/5 u.i.x", "Crème Élan 5%d 3ml"), (None, None)], "a string, b string")
+    got = [tuple(r) for r in df.select(text.clean_generic(F.col("a")), text.clean_product(F.col("b"))).collect()]
+    assert got == [("CO-TRIMOXAZOLE X", "fer"), ("ABC X", "élan d"), (None, None)]
