@@ -29,7 +29,8 @@ def stm02_stream_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, event_type, count(*) % 2 = 1 AS is_on FROM events GROUP BY user_id, event_type")
 def stm03_toggle_state(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.toggle_state(t(spark, d, "events"), ["user_id", "event_type"], "ts").select("user_id", "event_type", F.col("on").alias("is_on"))
+    out = jobs.toggle_table(_events(spark, d).select("user_id", "event_type"), ["user_id", "event_type"], jobs.work_dir(spark))
+    return out.select("user_id", "event_type", F.col("on").alias("is_on"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, floor(epoch(ts))::BIGINT AS s, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT) AS i FROM events),

@@ -15,8 +15,12 @@ from ..sources.writers import upsert
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared one; a local one of our own only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    """A new folder below the cluster's shared one; only a session on one machine may do without."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
@@ -27,17 +31,35 @@ def run_available(stream: DataFrame, each, folder: str, mode: str = "append") ->
 
 
 class VersionedTable:
-    """A Parquet table that each micro-batch rewrites under its own number, so that a batch that is run again replaces itself."""
+    """A Parquet table that each micro-batch rewrites under its own number, from the newest complete version below it.
+
+    So a batch that is run again replaces itself, and a query that starts again on its folder goes
+    on where it was. The two newest versions are kept.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, schema):
-        self.spark, self.folder, self.schema, self.version = spark, folder, schema, None
+        self.spark, self.folder, self.schema = spark, folder, schema
+
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def versions(self) -> list[int]:
+        """The complete versions, ascending."""
+        fs, path = self._path("")
+        names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(n[1:]) for n in names if n[:1] == "v" and fs.exists(self._path(f"{n}/_SUCCESS")[1]))
 
-    def read(self) -> DataFrame:
-        return self.spark.createDataFrame([], self.schema) if self.version is None else self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{self.version}")
+    def read(self, below: int | None = None) -> DataFrame:
+        """The newest version, or the newest below a number; without one, no rows."""
+        found = [v for v in self.versions() if below is None or v < below]
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{found[-1]}") if found else self.spark.createDataFrame([], self.schema)
 
     def write(self, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.folder}/v{version}")
-        self.version = version
+        for old in [v for v in self.versions() if v < version][:-1]:
+            fs, path = self._path(f"v{old}")
+            fs.delete(path, True)
 
 
 def latest_rows(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -53,7 +75,7 @@ def stream_upsert(stream: DataFrame, key: str, order: list[str], folder: str) ->
     table = VersionedTable(spark, f"{folder}/table", empty.schema)
 
     def each(batch: DataFrame, number: int) -> None:
-        table.write(upsert(table.read(), latest_rows(batch, key, order), [key], ("created_at",)), number)
+        table.write(upsert(table.read(number), latest_rows(batch, key, order), [key], ("created_at",)), number)
 
     run_available(stream, each, folder)
     return table.read()
@@ -91,6 +113,19 @@ def toggle_stream(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.groupBy(*keys).applyInPandasWithState(fold, f"{fields}, on boolean", "n long", "update", "NoTimeout")
 
 
+def toggle_table(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """The state of every key after all that the stream holds."""
+    spark = stream.sparkSession
+    states = toggle_stream(stream, keys)
+    table = VersionedTable(spark, f"{folder}/table", states.schema)
+
+    def each(batch: DataFrame, number: int) -> None:
+        table.write(upsert(table.read(number), batch, keys), number)
+
+    run_available(states, each, folder, "update")
+    return table.read()
+
+
 def _generations(seconds: list[int], last: int | None, ttl: int) -> list[int]:
     """The times of ascending seconds at which a result is made anew after one made at ``last``."""
     made = []

@@ -40,3 +40,25 @@ def test_dedup_of_a_stream(spark, tmp_path):
 def test_cached_result_generations(spark):
     df = spark.createDataFrame([(1, s) for s in (0, 100, 650, 700, 1300)], "k int, s long")
     assert jobs.ttl_generations(df, "k", F.col("s"), 600).first().generations == [0, 650, 1300]
+
+
+def test_upsert_goes_on_after_a_restart_and_replaces_a_batch_that_is_run_again(spark, tmp_path):
+    schema, folder = "user_id long, kind string, s long", str(tmp_path / "job")
+    read = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in*"))
+    for k in range(4):
+        spark.createDataFrame([(k, "a", k), (9, f"k{k}", k)], schema).coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+        got = jobs.stream_upsert(read(), "user_id", ["s"], folder)
+        assert {(r.user_id, r.kind, r.created_at) for r in got.collect()} == {(i, "a", i) for i in range(k + 1)} | {(9, f"k{k}", 0)}
+    table = jobs.VersionedTable(spark, f"{folder}/table", got.schema)
+    assert table.versions() == [2, 3]
+    before = sorted(map(tuple, table.read().collect()))
+    (tmp_path / "job" / "offsets" / "commits" / "3").unlink()  # the job died before it could note that batch 3 was done
+    (tmp_path / "job" / "offsets" / "commits" / ".3.crc").unlink(missing_ok=True)
+    again = jobs.stream_upsert(read(), "user_id", ["s"], folder)
+    assert sorted(map(tuple, again.collect())) == before and table.versions() == [2, 3]
+
+
+def test_toggles_through_a_stream_of_batches(spark, tmp_path):
+    df, s = stream(spark, tmp_path)
+    got = jobs.toggle_table(s, ["user_id", "kind"], jobs.work_dir(spark))
+    assert {(r.user_id, r.kind): r.on for r in got.collect()} == {(1, "a"): True, (1, "b"): True, (2, "a"): True}
