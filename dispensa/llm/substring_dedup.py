@@ -1,8 +1,8 @@
 """Removal of word windows that were seen before (operator 6).
 
 Rabin-Karp hashes of every window of ``width`` words are counted across batches: first by
-five bytes of the hash, to set aside the windows that occur once, then by the whole hash with
-the place of each batch's first occurrence. Repeated windows merge into removal intervals.
+five bytes of the hash, to set aside the windows that occur once, then by two whole hashes (128
+bits) with the place of each batch's first occurrence. Repeated windows merge into removal intervals.
 """
 
 from __future__ import annotations
@@ -15,25 +15,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import LAST, cuts, deal, merged, opened, runs, squeeze, unsqueeze
-from .kernels import U, chunks, mix, pack, rolling, span_hashes, tidy, unpack, word_spans
+from .kernels import BASE, U, chunks, mix, pack, rolling, span_hashes, tidy, unpack, word_spans
 
 SHORT = 5  # bytes of a hash in the first count
 
 
-def batch_windows(buf: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each window, index of its first word in the batch, words before each text)."""
-    hashes, places, before, done = [], [], [np.zeros(1, np.int64)], 0
+def batch_windows(buf: np.ndarray, offsets: np.ndarray, width: int, twice: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each window, its second hash if asked for, index of its first word in the batch, words before each text)."""
+    hashes, more, places, before, done = [], [], [], [np.zeros(1, np.int64)], 0
     for i, j in chunks(offsets):
         own, o = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         s, e, first = word_spans(own, o)
-        h = mix(rolling(span_hashes(own, s, e), width))
+        w = span_hashes(own, s, e)
+        h = mix(rolling(w, width))
         n = np.diff(first)
         at = np.flatnonzero(np.arange(len(h)) + width <= np.repeat(first[1:], n)[: len(h)])
         hashes.append(h[at])
+        if twice:
+            more.append(mix(rolling(mix(w ^ BASE), width))[at])
         places.append(at + done)
         before.append(first[1:] + done)
         done += len(s)
-    return np.concatenate([np.zeros(0, U), *hashes]), np.concatenate([np.zeros(0, np.int64), *places]), np.concatenate(before)
+    return np.concatenate([np.zeros(0, U), *hashes]), np.concatenate([np.zeros(0, U), *more]), np.concatenate([np.zeros(0, np.int64), *places]), np.concatenate(before)
 
 
 def dedup_windows(docs: DataFrame, width: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -43,6 +46,7 @@ def dedup_windows(docs: DataFrame, width: int = 20, doc_id: str = "doc_id", text
     starts earlier: in a smaller doc_id, or before it in the same document. Rows that share a
     doc_id are parts of one document in the order of their texts; no window crosses rows; a null
     doc_id ranks last and is returned as null. A null text has no words; its hash is of no bytes. Other columns are not read.
+    Windows are the same if 128 bits of their hashes are; the words themselves are not compared.
     """
     dealt, n = deal(docs, doc_id, text)
     blob = "bucket int, part int, kind int, data binary"
@@ -50,7 +54,7 @@ def dedup_windows(docs: DataFrame, width: int = 20, doc_id: str = "doc_id", text
     @tidy
     def first_count(table: pa.Table) -> pa.Table:
         _, buf, offsets = opened(table)
-        h, _, _ = batch_windows(buf, offsets, width)
+        h, *_ = batch_windows(buf, offsets, width)
         h, counts = np.unique(h, return_counts=True)
         at = cuts(h, n)
         rows = [(k, 0, pack(h[a:b], SHORT) + np.packbits(counts[a:b] > 1).tobytes()) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
@@ -80,20 +84,21 @@ def dedup_windows(docs: DataFrame, width: int = 20, doc_id: str = "doc_id", text
             return _blobs([], 0)
         ids, buf, offsets = opened(table)
         part = table["part"][0].as_py()
-        h, place, before = batch_windows(buf, offsets, width)
-        order = np.argsort(h, kind="stable")  # so the first of a run is the earliest: places ascend with doc_id
-        hs, place = h[order], place[order]
-        first = runs(hs)
-        shared = _answered(answers, hs[first], n)
+        h, g, place, before = batch_windows(buf, offsets, width, True)
+        order = np.lexsort((g, h))  # stable, so the first of a run is the earliest: places ascend with doc_id
+        hs, gs, place = h[order], g[order], place[order]
+        short = runs(hs)
+        first = np.union1d(short, runs(gs))
+        shared = np.repeat(_answered(answers, hs[short], n), np.diff(np.append(short, len(hs))))[first]
         later = np.ones(len(hs), bool)
         later[first] = False
         rows = [(part % n, 1, squeeze(pack(np.sort(place[later]).astype(U), 4)))] if later.any() else []
-        u, at = hs[first][shared], place[first][shared]
+        u, v, at = hs[first][shared], gs[first][shared], place[first][shared]
         owner = ids[np.searchsorted(before, at, "right") - 1] if len(at) else at
         cut = cuts(u, n)
         for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
             if b > a:
-                rows.append((k, 2, pack(u[a:b], 8) + pack(owner[a:b].astype(U), 8) + pack(at[a:b].astype(U), 4)))
+                rows.append((k, 2, pack(u[a:b], 8) + pack(v[a:b], 8) + pack(owner[a:b].astype(U), 8) + pack(at[a:b].astype(U), 4)))
         return _blobs(rows, part)
 
     @tidy
@@ -102,13 +107,12 @@ def dedup_windows(docs: DataFrame, width: int = 20, doc_id: str = "doc_id", text
         out = [(p, d) for k, p, d in zip(kinds, parts, data, strict=True) if k == 1]
         own = [(p, d) for k, p, d in zip(kinds, parts, data, strict=True) if k == 2]
         if own:
-            sizes = [len(d) // 20 for _, d in own]
-            h = np.concatenate([unpack(d[: 8 * k], 8) for (_, d), k in zip(own, sizes, strict=True)])
-            doc = np.concatenate([unpack(d[8 * k : 16 * k], 8) for (_, d), k in zip(own, sizes, strict=True)]).astype(np.int64)
-            at = np.concatenate([unpack(d[16 * k :], 4) for (_, d), k in zip(own, sizes, strict=True)])
-            order = np.lexsort((doc, h))  # a doc_id is in one part only, so a window has one entry for it
+            sizes = [len(d) // 28 for _, d in own]
+            h, g, doc = (np.concatenate([unpack(d[8 * c * k : 8 * (c + 1) * k], 8) for (_, d), k in zip(own, sizes, strict=True)]) for c in range(3))
+            at = np.concatenate([unpack(d[24 * k :], 4) for (_, d), k in zip(own, sizes, strict=True)])
+            order = np.lexsort((doc.astype(np.int64), g, h))  # a doc_id is in one part only, so a window has one entry for it
             later = np.ones(len(h), bool)
-            later[order[runs(h[order])]] = False
+            later[order[np.union1d(runs(h[order]), runs(g[order]))]] = False
             done = np.concatenate([[0], np.cumsum(sizes)])
             out += [(p, squeeze(pack(np.sort(at[a:b][later[a:b]]), 4))) for (p, _), a, b in zip(own, done, done[1:], strict=False) if later[a:b].any()]
         return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), "data": pa.array([d for _, d in out], pa.binary())})
