@@ -27,6 +27,7 @@ from .kernels import BASE, BYTE_VALUE, U, chunks, mix, pack, rolling, slide, tid
 GRAM = 24
 SHORT = 6  # bytes of an anchor's hash that are sent
 HOT = 20_000  # occurrences from which an anchor's windows are dealt out one by one
+MOST = 32_767  # occurrences that a batch counts of an anchor: more than HOT, so that one batch is enough to see a hot one
 ROWS = 40_000  # contexts whose suffix arrays are built at once
 
 
@@ -192,23 +193,23 @@ def dedup_bytes(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text:
         order = np.argsort(h, kind="stable")
         h, owner = h[order], owner[order]
         first = runs(h)
-        count = np.minimum(np.diff(np.append(first, len(h))), 127)
+        count = 2 * np.minimum(np.diff(np.append(first, len(h))), MOST)
         if len(h):
-            count += 128 * (np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first))
+            count += 1 * (np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first))
         h, at = h[first], cuts(h[first], n)
-        rows = [(k, pack(h[a:b], SHORT), squeeze(count[a:b].astype(np.uint8).tobytes())) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
+        rows = [(k, pack(h[a:b], SHORT), squeeze(count[a:b].astype("<u2").tobytes())) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
         return _blobs(rows, table["part"][0].as_py())
 
     @tidy
     def shared(table: pa.Table) -> pa.Table:
         """For each blob: 0 for an anchor that one document has, 1 for a shared one, 2 for a hot one."""
         hashes = [unpack(x, SHORT) for x in table["data"].to_pylist()]
-        counts = np.concatenate([np.frombuffer(unsqueeze(x), np.uint8) for x in table["more"].to_pylist()])
-        h, many = np.concatenate(hashes), counts >= 128
+        counts = np.concatenate([np.frombuffer(unsqueeze(x), "<u2") for x in table["more"].to_pylist()])
+        h, many = np.concatenate(hashes), counts & 1
         order = np.argsort(h)
         first = runs(h[order])
         times = np.diff(np.append(first, len(h)))
-        total = np.add.reduceat((counts & 127)[order], first, dtype=np.int64)
+        total = np.add.reduceat((counts >> 1)[order], first, dtype=np.int64)
         verdict = (np.add.reduceat(many[order], first, dtype=np.int64) > 0) | (times > 1)
         out = np.empty(len(h), np.uint8)
         out[order] = np.repeat(verdict.astype(np.uint8) + (verdict & (total > HOT)), times)
