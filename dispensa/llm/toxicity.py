@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, U, chunks, mix, span_hashes, text_bytes, tidy, word_spans
@@ -18,8 +18,9 @@ from .state import materialise
 
 DIMENSIONS = 1 << 22
 STEMS = 5, 7  # bytes
-LEAST = 5  # texts of the sample that a feature must be in to be learned
+LEAST = 5  # texts of the sample that a feature must be in to be learned: part of the model, as rarer ones would be learned by heart
 SAMPLE = 12_000  # labelled rows that are fitted on, at most: those of smallest hash
+SAMPLE_BYTES = 128 << 20  # of their texts; rows behind those that fill it are not fitted on
 EPOCHS, ALPHA, BETA, L1, L2 = 6, 0.3, 1.0, 12.0, 1.0
 BIAS = 0  # the feature that every text has
 FOLDED = LOWER.copy()  # punctuation parts words here, so that a comma does not make another word
@@ -75,10 +76,14 @@ def vector(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> dict[int, float]:
     """Nonzero weights, fitted on at most SAMPLE of the rows known(id, label): those whose ids have the smallest hashes.
 
-    The sample is one bounded group, so its pass is the same whatever the corpus; only its texts are read into it.
+    The sample is one group of bounded rows and bytes (and its last text), so its pass is the same whatever the corpus.
+    Repeated rows of a chosen id come with it, up to SAMPLE rows. Without labels there are no weights.
     """
     ids = docs.select(F.col(doc_id).alias("id")).distinct().join(known, "id").select("id", "label", F.xxhash64("id").alias("h"))
-    chosen = F.broadcast(ids.orderBy("h", "id").limit(SAMPLE))  # SAMPLE narrow rows
+    few = F.broadcast(ids.orderBy("h", "id").limit(SAMPLE))  # SAMPLE narrow rows
+    sizes = docs.select(F.col(doc_id).alias("id"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).alias("size")).join(few, "id").groupBy("id", "label", "h").agg(F.sum("size").alias("size"))
+    upto = Window.orderBy("h", "id").rowsBetween(Window.unboundedPreceding, -1)  # over SAMPLE narrow rows
+    chosen = F.broadcast(sizes.withColumn("before", F.coalesce(F.sum("size").over(upto), F.lit(0))).where(F.col("before") < SAMPLE_BYTES).select("id", "label", "h"))
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(chosen, "id")
     sample = rows.select("h", F.col("id").alias("o"), F.col("label").cast("int").alias("y"), "t").withColumn("one", F.lit(0))
 

@@ -3,11 +3,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import brute
 from dispensa.llm import ann, packing, quality, toxicity
 from dispensa.llm.entry import _path
+from dispensa.llm.kernels import text_bytes
 
 
 def test_quality_base_equals_brute_force(spark):
@@ -155,6 +157,68 @@ def test_toxicity_learns_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.values())
 
 
+def plain_ftrl(rows):
+    """Weights by FTRL-proximal over dictionaries: rows of (hash order, text, label)."""
+    data = []
+    for _, text, label in sorted(rows):
+        numbers, _ = toxicity.features(*text_bytes(pa.array([text])))
+        counts = {}
+        for i in numbers.tolist():
+            counts[i] = counts.get(i, 0) + 1
+        data.append(({i: math.log1p(c) for i, c in sorted(counts.items())} | {toxicity.BIAS: 1.0}, label))
+    texts_with = {}
+    for x, _ in data:
+        for i in x:
+            texts_with[i] = texts_with.get(i, 0) + 1
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0)) <= toxicity.L1:
+            return 0.0
+        return -(z[i] - math.copysign(toxicity.L1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    ones = sum(y for _, y in data)
+    heavy = min(10.0, max(1.0, (len(data) - ones) / max(1, ones)))
+    for _ in range(toxicity.EPOCHS):
+        for x, y in data:
+            x = {i: v for i, v in x.items() if i == toxicity.BIAS or texts_with[i] >= toxicity.LEAST}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (heavy if y else 1.0) * (p - y) * v
+                root = math.sqrt(n.get(i, 0))
+                n[i] = n.get(i, 0) + g * g
+                z[i] = z.get(i, 0) + g - (math.sqrt(n[i]) - root) / toxicity.ALPHA * w[i]
+    return {i: weight(i) for i in n}
+
+
+def test_toxicity_equals_a_plain_ftrl_and_edge_cases(spark, monkeypatch):
+    """Scores against the brute-force model; repeated rows, null, empty and long texts; the bounds on the sample; no labels, no rows."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 9))) for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(words, k=30) + (["Vile!", "nasty things"] if i % 4 == 0 else [])), "en", "s", 1, "x", 0) for i in range(240)]
+    rows += [(300, None, None, None, None, None, None), (301, "", "en", "s", 0, "x", 0), (302, "vile " * 30_000, "en", "s", 0, "x", 0), (4, rows[4][1], "en", "s", 1, "x", 0)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, brute.SCHEMA + ", h string, label int").repartition(3)
+    order = {r.id: r.h for r in docs.select(toxicity.F.col("doc_id").alias("id"), toxicity.F.xxhash64("doc_id").alias("h")).collect()}
+    learned = [r for r in rows if r[0] < 240 and zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    w = plain_ftrl([((order[r[0]], r[0]), r[1], int(r[0] % 4 == 0)) for r in learned])
+    got = toxicity.toxicity(docs, labels).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+    text_of = {r[0]: r[1] or "" for r in rows}
+    for r in got:
+        numbers = toxicity.features(*text_bytes(pa.array([text_of[r.doc_id]])))[0]
+        i, x = toxicity.vector(numbers)
+        assert abs(r.score - 1 / (1 + math.exp(-sum(w.get(a, 0.0) * b for a, b in zip(i.tolist(), x.tolist()))))) < 1e-9
+    assert len({r.score for r in got if not text_of[r.doc_id]}) == 1
+    assert {r.score for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.5}
+    assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+    known = labels.select(toxicity.F.col("doc_id").alias("id"), toxicity.F.col("toxic").alias("label"))
+    whole = toxicity.fit(docs, known)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 2000)
+    assert whole and toxicity.fit(docs, known) != whole
+
+
 def test_ftrl_weights_are_sparse():
     model = toxicity.Ftrl()
     for k in range(4000):
