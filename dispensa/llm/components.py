@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .state import materialise
+from .state import discard, materialise
 
 SALTS = 8  # parts that the neighbours of a node are dealt to, so that no task gets all of a hub's
 
@@ -15,7 +15,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hangs every node's larger neighbours on its smallest one, then every node and its
     smaller neighbours on the smallest of these; rounds grow with the logarithm of the longest path.
-    Loops, repeated and reversed links do no harm; rounds are written to the shared folder.
+    Loops, repeated and reversed links do no harm; each round is written to the shared folder in the place of the one before.
     """
     edges = materialise(links.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a <> b").distinct())
     state = None
@@ -25,7 +25,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(least, ["a", "salt"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        edges = materialise(small)
+        last, edges = edges, materialise(small)
+        discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
