@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,12 +122,214 @@ def html_sections(pages: DataFrame, key: str, html: str) -> DataFrame:
     return carry_forward(rows, key, "pos", F.when(F.col("tag").startswith("h"), F.col("text")), "heading").withColumn("heading", F.coalesce("heading", F.lit("unsectioned")))
 
 
+# Anchors and classes of regulatory pages.
+STARTS, ENDS, DATED = "RcpDenomination", "RcpInstPrepRadioph", "DateNotif"
+HOLDER, FORM = "RcpTitulaireAmm", "RcpFormePharm"
+HEADING, BOLD, NAMED, BULLETS = "AmmAnnexeTitre", "AmmCorpsTexteGras", "AmmDenomination", "AmmListePuces"
+LEVELS = 10
+ROW = pa.struct([("kind", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("bold", pa.bool_()), ("italic", pa.bool_()), ("underline", pa.bool_()), ("list_type", pa.string()), ("alignment", pa.string()), ("headers", pa.list_(pa.string())), ("cells", pa.list_(pa.list_(pa.string()))), ("caption", pa.string())])
+
+
+class _Regulatory(HTMLParser):
+    """Headings, texts and tables between a page's start and end anchors, in order; each text once, with its innermost block."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.rows, self.block, self.table, self.lists = [], None, None, []
+        self.on, self.last, self.depth, self.cell = False, False, 0, None
+
+    def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in attrs}
+        if tag == "a" and a.get("name") == STARTS or tag == "p" and DATED in a.get("class", "").split() and not self.on:
+            self.close_block(keep=False)
+            self.on = True
+        elif tag == "a" and a.get("name") == ENDS and self.on:
+            self.last = True  # the block that holds the end is the last
+            if not self.block:
+                self.on = False
+        elif self.on and not self.last:
+            self._inside(tag, a)
+
+    def _inside(self, tag, a):
+        if tag == "table":
+            self.depth += 1
+            if self.depth == 1:
+                self.close_block()
+                self.table = {"kind": "table", "headers": [], "cells": [], "caption": None}
+        elif self.table is not None:
+            if self.depth == 1 and tag == "tr":
+                self.table["cells"].append([])
+            elif self.depth == 1 and tag in ("td", "th", "caption"):
+                self.close_cell()
+                self.cell = (tag, [])
+            elif self.depth == 1 and tag == "thead":
+                self.table["head"] = True
+        elif tag in ("ul", "ol"):
+            self.close_block()
+            self.lists.append("bullet" if tag == "ul" else "numbered")
+        elif tag in ("p", "div", "li"):
+            self.close_block()
+            marks, style = a.get("class", ""), a.get("style", "").lower().replace(" ", "")
+            level = marks.partition(HEADING)[2][:1]
+            self.block = {
+                "kind": "heading" if level.isdigit() else "text",
+                "level": int(level) if level.isdigit() else None,
+                "bold": "gras" in marks or BOLD in marks,
+                "italic": "italique" in marks,
+                "underline": "souligne" in marks,
+                "list_type": "bullet" if BULLETS in marks else self.lists[-1] if self.lists else None,
+                "alignment": "center" if "center" in marks or "text-align:center" in style else "left",
+                "said": [],
+                "anchor": None,
+            }
+        elif self.block:
+            self.block["bold"] |= tag in ("b", "strong")
+            self.block["italic"] |= tag in ("i", "em")
+            if tag == "a" and self.block["anchor"] is None:
+                self.block["anchor"] = [len(self.block["said"]), None]
+
+    def handle_endtag(self, tag):
+        if self.table is not None:
+            if tag == "table":
+                self.depth -= 1
+                if not self.depth:
+                    self.close_table()
+            elif self.depth == 1 and tag in ("td", "th", "caption", "tr"):
+                self.close_cell()
+            elif self.depth == 1 and tag == "thead":
+                self.close_cell()
+                self.table["head"] = False
+        elif tag in ("p", "div", "li"):
+            self.close_block()
+        elif tag in ("ul", "ol") and self.lists:
+            self.close_block()
+            self.lists.pop()
+        elif tag == "a" and self.block and self.block["anchor"] and self.block["anchor"][1] is None:
+            self.block["anchor"][1] = len(self.block["said"])
+
+    def handle_data(self, data):
+        if self.cell:
+            self.cell[1].append(data)
+        elif self.block:
+            self.block["said"].append(data)
+
+    def close_cell(self):
+        if self.cell:
+            tag, text = self.cell[0], " ".join("".join(self.cell[1]).split())
+            if tag == "caption":
+                self.table["caption"] = text
+            else:
+                self.table["cells"] = self.table["cells"] or [[]]
+                self.table["cells"][-1].append(text)
+                if tag == "th" and self.table.get("head"):
+                    self.table["headers"].append(text)
+        self.cell = None
+
+    def close_table(self):
+        self.close_cell()
+        self.table["cells"] = [r for r in self.table["cells"] if any(r)]
+        self.rows.append({k: v for k, v in self.table.items() if k != "head"})
+        self.table, self.depth = None, 0
+
+    def close_block(self, keep=True):
+        if self.block and keep:
+            said, anchor = self.block.pop("said"), self.block.pop("anchor")
+            text = " ".join("".join(said).split())
+            if anchor and self.block["kind"] == "heading":
+                text = " ".join("".join(said[anchor[0] : anchor[1]]).split()) or text
+            if text:
+                self.rows.append({**self.block, "text": text})
+        self.block = None
+        if self.last:
+            self.on = False
+
+    def end(self):
+        self.close()
+        if self.table is not None:
+            self.close_table()
+        self.close_block()
+        return self.rows
+
+
+def regulatory_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, pos, kind, level, text, bold, italic, underline, list_type, alignment, headers, cells, caption) of each page from its start anchor to its end anchor.
+
+    A page without a start gives none; blank texts give none; a block that is open at the start, as the heading
+    that holds the start anchor, gives none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, pos, rows = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                parser = _Regulatory()
+                parser.feed(text or "")
+                found = parser.end()
+                at += [i] * len(found)
+                pos += range(len(found))
+                rows += found
+            said = pa.array(rows, ROW)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), *said.flatten()], names=[key, "pos", *[f.name for f in ROW]])
+
+    kind = pages.schema[key].dataType.simpleString()
+    flags = "kind string, level int, text string, bold boolean, italic boolean, underline boolean, list_type string, alignment string, headers array<string>, cells array<array<string>>, caption string"
+    return pages.select(key, html).mapInArrow(run, f"{key} {kind}, pos int, {flags}")
+
+
+def regulatory_sections(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """regulatory_rows with ``section``, the (pos, text) that a row belongs to: for content the heading before it, for a heading the nearest one before it of a lower level.
+
+    Content before all headings is in a section 'unsectioned' without a place; a heading without a parent has none.
+    """
+    rows = regulatory_rows(pages, key, html)
+    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    heads = [F.max(F.when((F.col("kind") == "heading") & (F.col("level") == k), F.struct("pos", "text"))).over(before) for k in range(LEVELS)]
+    above = rows.withColumn("__heads", F.array(*heads))
+    is_head = F.col("kind") == "heading"
+    mine = F.array_max(F.filter("__heads", lambda h, k: h.isNotNull() & (~is_head | (k < F.col("level")))))
+    lone = F.struct(F.lit(None).cast("int").alias("pos"), F.lit("unsectioned").alias("text"))
+    return above.withColumn("section", F.coalesce(mine, F.when(~is_head, lone))).drop("__heads")
+
+
 def html_metadata(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, title, holder, form): title of the page, else of its first heading, else the text before the first tag end; form is the title's tail."""
-    pick = lambda p: F.nullif(F.trim(strip_tags(F.regexp_extract(html, p, 1))), F.lit(""))
-    title = F.coalesce(pick(r"(?is)<title[^>]*>(.*?)</title>"), pick(r"(?is)<h1[^>]*>(.*?)</h1>"), pick(r"(?is)<h2[^>]*>(.*?)</h2>"))
-    holder = F.coalesce(pick(r"(?is)Titulaire[^:]*:\s*([^<]+)<"), pick(r'(?is)name="author" content="([^"]*)"'), pick(r"(?is)<footer[^>]*>(.*?)</footer>"))
-    return pages.select(key, title.alias("title"), holder.alias("holder"), F.nullif(F.trim(F.regexp_extract(title, r",\s*([^,]+)$", 1)), F.lit("")).alias("form"))
+    """(key, title, holder, form) of a page, each null if not found.
+
+    Title: the named paragraph after the start anchor; else a heading of the class ``textedeno`` up to its dash; else a
+    named paragraph of more than 5 characters; for other pages the title element, else the first heading.
+    Holder: of the five blocks after its anchor the first bold span that is no postcode, else the first bold block that
+    is no heading, else the first block that is no heading or address; for other pages a labelled text, the author or the footer.
+    Form: the paragraph after its anchor, else the title after its first comma.
+    """
+    clean = lambda c: F.nullif(F.trim(strip_tags(c)), F.lit(""))
+    pick = lambda p: clean(F.regexp_extract(html, p, 1))
+    after = lambda name: F.regexp_extract(html, rf'(?is)<a[^>]*\bname="{name}"(.*)', 1)
+    named = rf'(?is)<p[^>]*class="[^"]*(?:{BOLD}|{NAMED})[^>]*>(.*?)</p>'
+    deno = pick(r'(?is)<h1[^>]*class="[^"]*\btextedeno\b[^>]*>(.*?)</h1>')
+    paragraphs = F.transform(F.regexp_extract_all(html, F.lit(named), F.lit(1)), lambda x: F.trim(strip_tags(x)))
+    title = F.coalesce(
+        clean(F.regexp_extract(after(STARTS), named, 1)),
+        F.trim(F.split(deno, " - ")[0]),
+        F.get(F.filter(paragraphs, lambda x: F.length(x) > 5), F.lit(0)),
+        pick(r"(?is)<title[^>]*>(.*?)</title>"),
+        pick(r"(?is)<h1[^>]*>(.*?)</h1>"),
+        pick(r"(?is)<h2[^>]*>(.*?)</h2>"),
+    )
+    blocks = F.slice(F.regexp_extract_all(after(HOLDER), F.lit(r"(?is)(<(p|div)\b[^>]*>.*?</\2>)"), F.lit(1)), 1, 5)
+    solid = lambda texts, *tests: F.get(F.filter(texts, lambda x: (x != "") & ~x.rlike("|".join(tests))), F.lit(0))
+    texts = lambda marked: F.transform(marked, lambda x: F.trim(strip_tags(x)))
+    spans = F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(r'(?is)<span[^>]*class="[^"]*\bgras\b[^>]*>(.*?)</span>'), F.lit(1))))
+    bold = F.filter(blocks, lambda b: b.rlike(rf'(?is)^<p[^>]*class="[^"]*{BOLD}|<span[^>]*class="[^"]*\bgras\b'))
+    heads, postcode = r"^(7\.|8\.|TITULAIRE|DATE)", r"^[0-9]{5}"
+    holder = F.coalesce(
+        solid(texts(spans), postcode, r"[0-9]{5}\s"),
+        solid(texts(bold), heads, postcode),
+        solid(texts(blocks), heads, r"\b[0-9]{5}\b", "(?i)rue|avenue|boulevard|cedex"),
+        pick(r"(?is)Titulaire[^:]*:\s*([^<]+)<"),
+        pick(r'(?is)name="author" content="([^"]*)"'),
+        pick(r"(?is)<footer[^>]*>(.*?)</footer>"),
+    )
+    form = F.regexp_replace(clean(F.regexp_extract(after(FORM), r"(?is)<p\b[^>]*>(.*?)</p>", 1)), r"\.+$", "")
+    return pages.select(key, title.alias("title"), holder.alias("holder"), F.coalesce(form, F.nullif(F.trim(F.regexp_extract(title, r"(?s)^[^,]*,(.*)$", 1)), F.lit(""))).alias("form"))
 
 
 def html_links(pages: DataFrame, key: str, html: str, url: str) -> DataFrame:
@@ -137,10 +340,41 @@ def html_links(pages: DataFrame, key: str, html: str, url: str) -> DataFrame:
     return pages.select(key, F.array_sort(F.array_distinct(full)).alias("links"))
 
 
+def document_links(pages: DataFrame, key: str, html: str, url: str, panel: str, words: tuple[str, ...], host: str | None = None) -> DataFrame:
+    """(key, links): distinct absolute addresses of a page's documents, sorted.
+
+    In the panel with the id ``panel`` (up to the next panel) these are links whose text holds one of ``words``, PDF files
+    and addresses that hold ``host``; without any there, the PDF files and addresses that hold ``host`` of the whole page.
+    """
+    site = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)", 1)
+    path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+([^?#]*/)", 1)
+    folder = F.concat(site, F.when(path == "", F.lit("/")).otherwise(path))
+    link = r'(?is)(<a\b[^>]*\bhref="[^"]+"[^>]*>.*?</a>)'
+
+    def found(part: Column, named: bool) -> Column:
+        whole = F.transform(F.regexp_extract_all(part, F.lit(link), F.lit(1)), lambda x: F.struct(F.trim(F.regexp_extract(x, r'(?is)^<a\b[^>]*\bhref="([^"]+)"', 1)).alias("to"), F.lower(strip_tags(x)).alias("said")))
+        at = F.transform(F.filter(whole, lambda x: x["to"] != ""), lambda x: F.struct(F.when(x["to"].rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), x["to"]).when(x["to"].startswith("/"), F.concat(site, x["to"])).otherwise(F.concat(folder, x["to"])).alias("to"), x["said"].alias("said")))
+
+        def good(x: Column) -> Column:
+            test = F.endswith(F.lower(x["to"]), F.lit(".pdf"))
+            if host:
+                test = test | F.contains(x["to"], F.lit(host))
+            for word in words if named else ():
+                test = test | F.contains(x["said"], F.lit(word))
+            return test
+
+        return F.array_sort(F.array_distinct(F.transform(F.filter(at, good), lambda x: x["to"])))
+
+    stem = panel.split("-")[0]
+    inside = found(F.regexp_extract(html, rf'(?is)\bid="{panel}"(.*?)(?:\bid="{stem}-|$)', 1), True)
+    return pages.select(key, F.when(F.size(inside) > 0, inside).otherwise(found(F.col(html), False)).alias("links"))
+
+
 def html_monograph(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, rubric, row, cells): table rows of each element with an id, cells as texts."""
-    blocks = F.regexp_extract_all(html, F.lit(r'(?is)(id="[^"]+"[^>]*>.*?</table>)'), F.lit(1))
-    b = pages.select(key, F.explode(blocks).alias("b")).select(key, F.regexp_extract("b", 'id="([^"]+)"', 1).alias("rubric"), "b")
+    # A block runs from its id to the next one, so that no block takes another's table and each page is read once.
+    blocks = F.slice(F.split(html, r'(?i)<(?:div|section|article|p|h[1-6])\b[^>]*\bid="'), 2, 1 << 30)
+    b = pages.select(key, F.explode(blocks).alias("b")).select(key, F.substring_index("b", '"', 1).alias("rubric"), F.regexp_extract("b", r"(?is)(<table\b.*?</table>)", 1).alias("b"))
     r = b.select(key, "rubric", F.posexplode(F.regexp_extract_all("b", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("row", "r"))
     return r.select(key, "rubric", "row", F.transform(F.regexp_extract_all("r", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), strip_tags).alias("cells"))
 

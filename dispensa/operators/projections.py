@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SECTION = "array<struct<title:string,content:array<struct<text:string>>,subsections:array<struct<title:string,content:array<struct<text:string>>>>>>"
-
 
 def coalesce_chain(*columns: Column) -> Column:
     """The first that is not blank."""
@@ -41,24 +39,66 @@ def normal_id(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), " ", "_")
 
 
-def build_substance(df: DataFrame, label: str) -> DataFrame:
-    return df.select(F.concat(F.lit("substance:"), normal_id(F.col(label))).alias("id"), F.trim(label).alias("label"), F.upper(F.trim(label)).alias("label_normalized"))
+def joint_id(names: Column) -> Column:
+    """One id for several ingredients, whatever their order."""
+    return F.concat(F.lit("medicine:"), F.array_join(F.array_sort(F.transform(names, normal_id)), "+"))
+
+
+# The ids and the schema version of stored records.
+SUBSTANCE, MEDICINE, MARKET, VERSION = "inn:", "medicine:", "market:", 3
+
+
+def _record_id(prefix: str, name: Column) -> Column:
+    return F.concat(F.lit(prefix), F.lower(F.trim(name)))
+
+
+def _strings(c: Column | None) -> Column:
+    none = F.array().cast("array<string>")
+    return none if c is None else F.coalesce(c, none)
 
 
-def build_medicine(df: DataFrame, names: str) -> DataFrame:
-    """Key from the sorted normalised names of the ingredients."""
-    return df.select(F.concat(F.lit("medicine:"), F.array_join(F.array_sort(F.transform(names, normal_id)), "+")).alias("id"), F.col(names).alias("inns"))
+def build_substance(name: Column, codes: Column | None = None, concept: Column | None = None, sources: Column | None = None) -> Column:
+    """Record of a substance as a struct; a concept that was not looked up says so."""
+    unchecked = F.struct(F.lit(None).cast("string").alias("rxcui"), F.lit("not_checked").alias("status"))
+    return F.struct(_record_id(SUBSTANCE, name).alias("id"), name.alias("inn"), F.lower(F.trim(name)).alias("inn_normalized"), _strings(codes).alias("atc_codes"), (unchecked if concept is None else F.coalesce(concept, unchecked)).alias("rxnorm"), _strings(sources).alias("sources"), F.lit(VERSION).alias("schema_version"))
 
 
-def build_market(df: DataFrame, country: str, source: str, code: str, medicine: str) -> DataFrame:
-    return df.select(make_key(F.col(country), F.col(source), F.col(code)).alias("id"), F.col(medicine).alias("medicine_ref"))
+def build_medicine(name: Column, forms: Column | None = None, strengths: Column | None = None) -> Column:
+    """Record of a medicine as a struct, linked to its substance; it has no markets yet."""
+    return F.struct(_record_id(MEDICINE, name).alias("id"), name.alias("inn"), _record_id(SUBSTANCE, name).alias("substance_id"), _strings(forms).alias("forms"), _strings(strengths).alias("strengths"), _strings(None).alias("markets"), F.lit(VERSION).alias("schema_version"))
 
 
-def normalise_sections(lines: Column) -> Column:
-    """Two-level sections from plain items: blank texts go, texts become content structs."""
+def build_market(name: Column, brand: Column, country: Column, authority: Column, laboratory: Column | None = None, **parts: Column) -> Column:
+    """Record of a marketed product as a struct, linked to its medicine; ``parts`` are further members (presentation, documents, source)."""
+    key = F.concat(F.lit(MARKET), F.lower(country), F.lit(":"), F.regexp_replace(F.lower(brand), " ", "_"))
+    lab = F.lit(None).cast("string") if laboratory is None else laboratory
+    return F.struct(key.alias("id"), _record_id(MEDICINE, name).alias("medicine_id"), brand.alias("brand_name"), lab.alias("laboratory"), country.alias("country"), authority.alias("authority"), *[c.alias(n) for n, c in parts.items()], F.lit(VERSION).alias("schema_version"))
+
+
+def text_items(lines: Column) -> Column:
+    """Content structs of plain texts; blank ones go."""
     return F.transform(F.filter(lines, lambda x: x.isNotNull() & (F.trim(x) != "")), lambda x: F.struct(F.trim(x).alias("text")))
 
 
+def normalise_sections(sections: Column, text=lambda x: x["text"], items: tuple[str, ...] = ("content", "content")) -> Column:
+    """Sections of any schema as (title, content, subsections) down to as many levels as ``items`` has names.
+
+    ``items`` names the list of a section's texts at each level, ``text`` takes the text out of an entry (the entry
+    itself, where entries are strings). Null sections and entries with a blank text go; a null title is empty, a missing list too.
+    """
+
+    def one(s: Column, names: tuple[str, ...]) -> Column:
+        solid = F.filter(s[names[0]], lambda x: F.coalesce(F.trim(text(x)) != "", F.lit(False)))
+        content = F.coalesce(F.transform(solid, lambda x: F.struct(text(x).alias("text"))), F.array().cast("array<struct<text:string>>"))
+        members = [F.coalesce(F.trim(s["title"]), F.lit("")).alias("title"), content.alias("content")]
+        if names[1:]:
+            below = normalise_sections(s["subsections"], text, names[1:])
+            members.append(F.coalesce(below, F.array()).alias("subsections"))
+        return F.struct(*members)
+
+    return F.transform(F.filter(sections, lambda s: s.isNotNull()), lambda s: one(s, items))
+
+
 def priority_cols(df: DataFrame, text: str, home: str, title: str, country: str, doc: str) -> DataFrame:
     """priority (home with document, home, document, other), leads_with_letter, starts_with_query."""
     rank = F.when((F.col(country) == home) & F.col(doc), 1).when(F.col(country) == home, 2).when(F.col(doc), 3).otherwise(4)

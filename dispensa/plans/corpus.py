@@ -45,6 +45,50 @@ def doc04_html_sections(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "pages").select("page_id").join(n, "page_id", "left").na.fill(0)
 
 
+@query("""WITH n AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i, l_partkey % 3 + 1 AS level FROM lineitem),
+h AS (SELECT a.l_orderkey, a.i, a.level, a.l_partkey, max(b.i) AS up FROM n a LEFT JOIN n b ON b.l_orderkey = a.l_orderkey AND b.i < a.i AND b.level < a.level GROUP BY ALL)
+SELECT l_orderkey, 3 * i + 1 AS pos, 'heading' AS kind, level, 'S' || i AS text, 'S' || up AS section, false AS bold, NULL AS list_type, NULL AS cells FROM h
+UNION ALL SELECT l_orderkey, 3 * i + 2, 'text', NULL, 'P' || l_partkey, 'S' || i, i % 2 = 0, CASE WHEN i % 3 = 0 THEN 'bullet' END, NULL FROM h
+UNION ALL SELECT l_orderkey, 3 * i + 3, 'table', NULL, NULL, 'S' || i, NULL, NULL, 'No;Part|1;' || l_partkey FROM h UNION ALL SELECT DISTINCT l_orderkey, 0, 'text', NULL, 'early', 'unsectioned', false, NULL, NULL FROM h""")
+def doc04_regulatory_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Orders are landed as regulatory pages: a heading, a text and a table for each line, levels by part."""
+    lines = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("l"))
+
+    def marked(x, i):
+        part = x["l_partkey"].cast("string")
+        head = F.concat(F.lit('<p class="x AmmAnnexeTitre'), (x["l_partkey"] % 3 + 1).cast("string"), F.lit('"><a name="t">S'), i.cast("string"), F.lit("</a> more</p>"))
+        text = F.concat(F.when(i % 3 == 0, F.lit("<ul><li>")).otherwise(F.lit("<div><p>")), F.when(i % 2 == 0, F.lit("<b>P")).otherwise(F.lit("P")), part, F.when(i % 2 == 0, F.lit("</b>")).otherwise(F.lit("")), F.when(i % 3 == 0, F.lit("</li></ul>")).otherwise(F.lit("</p></div>")))
+        table = F.concat(F.lit("<table><thead><tr><th>No</th><th>Part</th></tr></thead><tr><td><p>1</p></td><td>"), part, F.lit("</td></tr><tr><td> </td></tr></table>"))
+        return F.concat(head, text, table)
+
+    page = F.concat(F.lit('<body><p>before</p><p class="DateNotif">day</p><p>early</p>'), F.array_join(F.transform("l", marked), ""), F.lit('<a name="RcpInstPrepRadioph"></a><p>after</p></body>'))
+    rows = c.regulatory_sections(lines.select("l_orderkey", page.alias("html")), "l_orderkey", "html")
+    cells = F.array_join(F.transform("cells", lambda r: F.array_join(r, ";")), "|")
+    return rows.select("l_orderkey", "pos", "kind", "level", "text", F.col("section.text").alias("section"), "bold", "list_type", cells.alias("cells"))
+
+
+@query("SELECT s_suppkey, s_name AS title, CASE s_suppkey % 3 WHEN 0 THEN 'Labo ' || s_suppkey WHEN 1 THEN 'Bold ' || s_suppkey ELSE 'Plain ' || s_suppkey END AS holder, 'gel, 5 mg' AS form FROM supplier")
+def doc05_regulatory_metadata(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    span = F.concat(F.lit('<p>75001 Paris</p><p><span class="gras">75002 Paris</span> <span class="gras">Labo '), k, F.lit("</span></p>"))
+    bold = F.concat(F.lit('<p class="AmmCorpsTexteGras">7. TITULAIRE</p><p class="AmmCorpsTexteGras">Bold '), k, F.lit("</p>"))
+    plain = F.concat(F.lit("<p>TITULAIRE</p><div> </div><p>1 rue X</p><p>Plain "), k, F.lit("</p>"))
+    html = F.concat(F.lit('<body><a name="RcpDenomination"></a><p>x</p><p class="AmmDenomination">'), "s_name", F.lit('</p><a name="RcpFormePharm"></a><p>gel, 5 mg.</p><h2><a name="RcpTitulaireAmm">7.</a></h2>'), F.when(k % 3 == 0, span).when(k % 3 == 1, bold).otherwise(plain), F.lit("</body>"))
+    return c.html_metadata(t(spark, d, "supplier").select("s_suppkey", html.alias("html")), "s_suppkey", "html")
+
+
+@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN site || '/doc/' || page_id || ' ' || site || '/f.PDF' WHEN 1 THEN regexp_extract(url, '^([a-z]+://[^?#]*/)', 1) || 'x' || page_id || '.pdf' ELSE 'https://docs.example/pdf/9' END AS links FROM (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS site FROM pages)""")
+def doc06_document_links(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with a panel of their own: links by text and ending in it, or by ending or host on the whole page."""
+    k = F.col("page_id")
+    inside = F.concat(F.lit('<div id="tab-doc"><a class="l" href="/doc/'), k, F.lit('">Vers la <b>Notice</b></a><a href="/f.PDF">x</a><a href="/other">y</a></div><div id="tab-two"><a href="/two.pdf">z</a></div>'))
+    ending = F.concat(F.lit('<a href=" x'), k, F.lit('.pdf ">notice</a><a href="/no">notice</a>'))
+    host = F.lit('<div id="tab-doc"><a href="/other">y</a></div><a href="https://docs.example/pdf/9">a</a><a href="https://docs.example/pdf/9">b</a>')
+    html = F.concat(F.when(k % 3 == 0, inside).when(k % 3 == 1, ending).otherwise(host), F.col("html"))
+    links = c.document_links(t(spark, d, "pages").withColumn("html", html), "page_id", "html", "url", "tab-doc", ("rcp", "notice"), "docs.example/pdf/")
+    return links.withColumn("links", F.array_join("links", " "))
+
+
 @query("SELECT page_id, replace(coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), ''), nullif(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '\\s+', ' ', 'g')), '')), '&amp;', '&') AS title FROM pages")
 def doc05_html_metadata(spark: SparkSession, d: str) -> DataFrame:
     return c.html_metadata(t(spark, d, "pages"), "page_id", "html").select("page_id", "title")

@@ -111,10 +111,29 @@ def prj02_product_view(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, len(x) AS n, array_to_string(list_transform(x, lambda y: trim(y)), '|') AS texts FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda y: trim(y) <> '') AS x FROM documents)")
 def prj03_normalise_sections(spark: SparkSession, d: str) -> DataFrame:
-    docs = t(spark, d, "documents").select("doc_id", p.normalise_sections(F.split("text", "\n")).alias("c"))
+    docs = t(spark, d, "documents").select("doc_id", p.text_items(F.split("text", "\n")).alias("c"))
     return docs.select("doc_id", F.size("c").cast("long").alias("n"), F.array_join(F.transform("c", lambda x: x["text"]), "|").alias("texts"))
 
 
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL), b AS (SELECT doc_id, x, flatten(list_transform(x, lambda y: list_filter(string_split(y, '. '), lambda z: trim(z) <> ''))) AS s FROM l)
+SELECT doc_id, len(x) AS n, len(list_filter(x, lambda y: trim(y) <> '')) AS n_items, len(s) AS n_below, md5(array_to_string(list_transform(x, lambda y: trim(y)), '|')) AS titles, md5(array_to_string(s, '|')) AS below FROM b""")
+def prj03_normalise_sections_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Each line of a document is a section with one sub-section, which holds its sentences."""
+    item = lambda x: F.struct(x.alias("text"))
+    section = lambda x: F.struct(F.concat(F.lit(" "), x).alias("title"), F.array(item(x), item(F.lit(" ")), item(F.lit(None).cast("string"))).alias("blocks"), F.array(F.struct(F.lit(None).cast("string").alias("title"), F.transform(F.split(x, r"\. "), item).alias("content"))).alias("subsections"))
+    docs = t(spark, d, "documents").where("text is not null").select("doc_id", F.transform(F.split("text", "\n"), section).alias("raw"))
+    s = docs.select("doc_id", p.normalise_sections(F.col("raw"), items=("blocks", "content")).alias("s"))
+    texts = F.flatten(F.flatten(F.transform("s", lambda x: F.transform(x["subsections"], lambda y: F.transform(y["content"], lambda z: z["text"])))))
+    return s.select(
+        "doc_id",
+        F.size("s").cast("long").alias("n"),
+        F.aggregate("s", F.lit(0), lambda n, x: n + F.size(x["content"])).cast("long").alias("n_items"),
+        F.size(texts).cast("long").alias("n_below"),
+        F.md5(F.array_join(F.transform("s", lambda x: x["title"]), "|")).alias("titles"),
+        F.md5(F.array_join(texts, "|")).alias("below"),
+    )
+
+
 @query(f"WITH {MARKET}, home AS (SELECT min(n_name) AS h FROM nation) SELECT market_id, CASE WHEN country = 'FRANCE' AND has_doc THEN 1 WHEN country = 'FRANCE' THEN 2 WHEN has_doc THEN 3 ELSE 4 END AS priority, regexp_matches(brand_title, '^[A-Za-zÀ-ÿ]') AS leads_with_letter, starts_with(lower(brand_title), 'a') AS starts_with_query FROM market")
 def prj04_priority_cols(spark: SparkSession, d: str) -> DataFrame:
     return p.priority_cols(market(spark, d), "A", "FRANCE", "brand_title", "country", "has_doc").select("market_id", "priority", "leads_with_letter", "starts_with_query")
@@ -135,8 +154,27 @@ def prj06_present_tags(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT 'medicine:' || array_to_string(list_sort([replace(lower(trim(p_name)), ' ', '_'), replace(lower(trim(p_brand)), ' ', '_')]), '+') AS id, p_partkey, upper(trim(p_name)) AS label_normalized FROM part")
 def prj07_build_records(spark: SparkSession, d: str) -> DataFrame:
     part = t(spark, d, "part").withColumn("names", F.array("p_name", "p_brand"))
-    keyed = part.select("p_partkey", "p_name", F.concat(F.lit("medicine:"), F.array_join(F.array_sort(F.transform("names", p.normal_id)), "+")).alias("id"))
-    return keyed.select("id", "p_partkey", F.upper(F.trim("p_name")).alias("label_normalized"))
+    return part.select(p.joint_id(F.col("names")).alias("id"), "p_partkey", F.upper(F.trim("p_name")).alias("label_normalized"))
+
+
+@query("SELECT p_partkey, 'inn:' || lower(trim(p_name)) AS id, lower(trim(p_name)) AS inn_normalized, p_brand AS codes, 'not_checked' AS status, 0 AS n_sources, 3 AS schema_version FROM part")
+def prj07_build_substance(spark: SparkSession, d: str) -> DataFrame:
+    s = t(spark, d, "part").select("p_partkey", p.build_substance(F.col("p_name"), F.array("p_brand")).alias("s"))
+    return s.select("p_partkey", "s.id", "s.inn_normalized", F.array_join("s.atc_codes", ",").alias("codes"), "s.rxnorm.status", F.size("s.sources").alias("n_sources"), "s.schema_version")
+
+
+@query("SELECT p_partkey, 'medicine:' || lower(trim(p_name)) AS id, 'inn:' || lower(trim(p_name)) AS substance_id, CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END AS forms, 0 AS n_markets FROM part")
+def prj07_build_medicine(spark: SparkSession, d: str) -> DataFrame:
+    m = t(spark, d, "part").select("p_partkey", p.build_medicine(F.col("p_name"), F.when(F.col("p_size") % 2 == 0, F.array("p_type"))).alias("m"))
+    return m.select("p_partkey", "m.id", "m.substance_id", F.array_join("m.forms", ",").alias("forms"), F.size("m.markets").alias("n_markets"))
+
+
+@query("SELECT s_suppkey, 'market:' || lower(n_name) || ':' || replace(lower(s_name), ' ', '_') AS id, 'medicine:' || lower(trim(s_name)) AS medicine_id, s_acctbal AS balance, n_name AS country, 'AUT' AS authority FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def prj07_build_market(spark: SparkSession, d: str) -> DataFrame:
+    s, n = t(spark, d, "supplier"), t(spark, d, "nation")
+    rows = s.join(n, s["s_nationkey"] == n["n_nationkey"])
+    m = rows.select("s_suppkey", p.build_market(F.col("s_name"), F.col("s_name"), F.col("n_name"), F.lit("AUT"), presentation=F.struct(F.col("s_acctbal").alias("balance"))).alias("m"))
+    return m.select("s_suppkey", "m.id", "m.medicine_id", "m.presentation.balance", "m.country", "m.authority")
 
 
 @query("SELECT k AS field, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS k FROM events) GROUP BY k")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +66,32 @@ def src06_explode_packages(spark: SparkSession, d: str) -> DataFrame:
     return tables.explode_packages(records, "packaging", "code").select("o_orderkey", F.col("package.code").alias("package_code"), F.col("package.no").alias("package_no"))
 
 
+@query("SELECT c_custkey AS id, c_name AS name, c_nationkey AS nation FROM customer")
+def src07_import_json_array(spark: SparkSession, d: str) -> DataFrame:
+    """Customers are landed as JSON arrays with exported object ids, an array for each task, then imported."""
+    c = t(spark, d, "customer").select(F.struct(F.lpad(F.hex("c_custkey"), 24, "0").alias("$oid")).alias("_id"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
+
+    def bracket(batches):
+        lead = "["
+        for batch in batches:
+            for record in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_pydict({"value": [lead + record]})
+                lead = ","
+        yield pa.RecordBatch.from_pydict({"value": ["[]" if lead == "[" else "]"]})
+
+    path = work_dir(spark)
+    c.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(bracket, "value string").write.text(path)
+    return tables.import_json_array(spark, path)
+
+
+@query("SELECT s_suppkey::VARCHAR AS document, sha256(s_name || chr(10)) AS sha256, length(s_name) + 1 AS length FROM supplier")
+def src09_scan_binary_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers are landed as files with the ending .pdf, each in a numbered folder, then scanned."""
+    path = work_dir(spark)
+    t(spark, d, "supplier").select("s_suppkey", "s_name").repartition("s_suppkey").write.partitionBy("s_suppkey").option("extension", "pdf").csv(path)
+    return tables.scan_binary_corpus(spark, path).select("document", "sha256", "length")
+
+
 @query("SELECT conv_id || '/' || turn AS url, CASE WHEN turn % 2 = 0 THEN 3 ELSE 2 END AS schema_version, text AS body FROM conversations WHERE role = 'user' AND text IS NOT NULL")
 def src08_import_envelopes(spark: SparkSession, d: str) -> DataFrame:
     c = t(spark, d, "conversations").select(F.when(F.col("role") == "user", F.lit("success")).otherwise(F.lit("failed")).alias("status"), F.when(F.col("text").isNotNull(), F.struct(F.col("text").alias("body"))).alias("data"), F.concat_ws("/", "conv_id", "turn").alias("url"), F.when(F.col("turn") % 2 == 0, F.lit(3)).alias("version"))
@@ -130,9 +157,10 @@ def snk07_chunk_by_size(spark: SparkSession, d: str) -> DataFrame:
     return writers.chunk_by_size(items, ["l_orderkey"], "items", "size", 60)
 
 
-@query("SELECT 'r1' AS run_id, 'finished' AS status, count(*) AS processed, count(*) FILTER (o_orderstatus = 'F') AS written, count(*) FILTER (o_orderstatus <> 'F') AS errors FROM orders")
+@query("SELECT 'r1' AS run_id, 'finished' AS status, count(*) AS processed, count(*) FILTER (o_orderstatus = 'F') AS written, count(*) FILTER (o_orderstatus <> 'F') AS errors FROM orders")  # times differ from run to run
 def snk08_run_ledger(spark: SparkSession, d: str) -> DataFrame:
-    return writers.run_ledger(t(spark, d, "orders"), "r1", F.col("o_orderstatus") == "F")
+    path = work_dir(spark)
+    return writers.run_ledger(t(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "r1", F.col("o_orderstatus") == "F", lambda x: x.write.parquet(path)).drop("started_at", "finished_at")
 
 
 @query("SELECT substr(md5(vec_id::VARCHAR), 1, 8) || '-' || substr(md5(vec_id::VARCHAR), 9, 4) || '-' || substr(md5(vec_id::VARCHAR), 13, 4) || '-' || substr(md5(vec_id::VARCHAR), 17, 4) || '-' || substr(md5(vec_id::VARCHAR), 21, 12) AS id, len(embedding) AS size, vec_id, label FROM embeddings")

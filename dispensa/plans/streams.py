@@ -44,3 +44,10 @@ def stm04_ttl_generations(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS so_far, count(*) OVER (PARTITION BY user_id) AS total FROM events")
 def stm05_running_count(spark: SparkSession, d: str) -> DataFrame:
     return jobs.running_count(t(spark, d, "events"), "user_id", ["ts", "event_id"]).select("event_id", "so_far", "total")
+
+
+@query("SELECT user_id, count(*) AS n, count(DISTINCT event_id) AS events, count(*) AS last FROM events GROUP BY user_id")
+def stm05_running_count_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers go by arrival, which no SQL knows; each user's must be 1 to their count, each once."""
+    numbered = jobs.stream_append(jobs.running_count_stream(_events(spark, d), "user_id", "event_id"), jobs.work_dir(spark))
+    return numbered.groupBy("user_id").agg(F.countDistinct("so_far").alias("n"), F.countDistinct("event_id").alias("events"), F.max("so_far").alias("last"))

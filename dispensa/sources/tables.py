@@ -73,17 +73,17 @@ def import_envelopes(df: DataFrame, status: str, data: str, url: str, version: s
     return df.where((F.col(status) == "success") & F.col(data).isNotNull()).select(F.col(url).alias("url"), F.coalesce(F.col(version), F.lit(2)).alias("schema_version"), F.col(data).alias("data"))
 
 
-def import_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of records; an exported object id is dropped."""
-    df = spark.read.json(path, multiLine=True)
+def import_json_array(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """JSON arrays of records, one array for each file; an exported object id is dropped. Without a schema the records are read twice, to find one."""
+    df = spark.read.json(path, multiLine=True, schema=schema)
     exported = "_id" in df.columns and "$oid" in getattr(df.schema["_id"].dataType, "names", [])
     return df.drop("_id") if exported else df
 
 
 def scan_binary_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """PDF files below numeric folders: the folder is the document's number; SHA-256 of each file."""
+    """PDF files below numeric folders (or ``name=number`` ones): the folder is the document's number; SHA-256 of each file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(root)
-    number = F.regexp_extract("path", r"/([0-9]+)/[^/]+$", 1)
+    number = F.regexp_extract("path", r"/(?:[^/=]+=)?([0-9]+)/[^/]+$", 1)
     return files.select(number.alias("document"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.sha2("content", 256).alias("sha256"), "length").where("document <> ''")
 
 
@@ -97,8 +97,9 @@ DRUG_SCHEMA = (
 )
 
 
-def scan_drug_xml(spark: SparkSession, path: str) -> DataFrame:
-    """One row per outermost drug element, with ids, names, codes, structure keys, products and child lists."""
+def scan_drug_xml(spark: SparkSession, path: str, most_synonyms: int | None = None, most_products: int | None = None) -> DataFrame:
+    """One row per outermost drug element, with ids, names, codes, structure keys, products and child lists; names and products are cut on request only."""
+    cut = lambda c, most: c if most is None else F.slice(c, 1, most)
     df = spark.read.format("xml").option("rowTag", "drug").schema(DRUG_SCHEMA).load(path)
     first = lambda arr, test, field: F.get(F.filter(arr, test), F.lit(0))[field]
     ids = F.coalesce(F.col("`drugbank-id`"), F.array().cast(_ID))
@@ -113,14 +114,14 @@ def scan_drug_xml(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce(first(ids, lambda x: x["_primary"] == "true", "_VALUE"), F.get(ids, F.lit(0))["_VALUE"]).alias("drug_id"),
         F.transform(ids, lambda x: x["_VALUE"]).alias("all_ids"),
         F.trim("name").alias("name"),
-        F.slice(distinct, 1, 300).alias("synonyms"),
+        cut(distinct, most_synonyms).alias("synonyms"),
         F.array_distinct(F.transform("atc-codes.atc-code", lambda x: x["_code"])).alias("atc_codes"),
         prop("InChIKey").alias("inchi_key"),
         prop("InChI").alias("inchi"),
         prop("SMILES").alias("smiles"),
         ext("CAS").alias("cas"),
         ext("UNII").alias("unii"),
-        F.slice(products, 1, 800).alias("products"),
+        cut(products, most_products).alias("products"),
         *blocks,
     )
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import UTC, datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -71,9 +73,22 @@ def snapshot(df: DataFrame, base: str, stamp: str) -> str:
     return path
 
 
-def run_ledger(df: DataFrame, run_id: str, ok: Column) -> DataFrame:
-    """One row of a run's counts."""
-    return df.agg(F.count("*").alias("processed"), F.count_if(ok).alias("written"), F.count_if(~ok).alias("errors")).select(F.lit(run_id).alias("run_id"), F.lit("finished").alias("status"), "processed", "written", "errors")
+def observed(df: DataFrame, name: str, **tests: Column) -> tuple[DataFrame, Observation]:
+    """df, and the counts of rows that pass each test, which are known once a job has read df to its end; no second scan.
+
+    Observe right before the write: tasks ahead of a later shuffle would be counted again if they had to run again.
+    """
+    seen = Observation(name)
+    return df.observe(seen, *[F.count_if(c).alias(n) for n, c in tests.items()]), seen
+
+
+def run_ledger(df: DataFrame, run_id: str, ok: Column, write: Callable[[DataFrame], None]) -> DataFrame:
+    """Write df, and give one row with the run's times, status and counts; if the write fails, so does this."""
+    rows, seen = observed(df, run_id, processed=F.lit(True), written=ok, errors=~ok)
+    started = datetime.now(UTC)
+    write(rows)
+    n = seen.get
+    return df.sparkSession.createDataFrame([(run_id, started, datetime.now(UTC), "finished", n["processed"], n["written"], n["errors"])], "run_id string, started_at timestamp, finished_at timestamp, status string, processed long, written long, errors long")
 
 
 def export_vectors(df: DataFrame, key: str, vector: str, payload: list[str]) -> DataFrame:

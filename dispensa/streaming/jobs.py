@@ -1,4 +1,4 @@
-"""Streaming jobs over event streams, each with the batch form that gives the same final result; running counts (STM-05) are batch only."""
+"""Streaming jobs over event streams, each with the batch form that gives the same final result."""
 
 from __future__ import annotations
 
@@ -178,3 +178,20 @@ def running_count(df: DataFrame, key: str, order: list) -> DataFrame:
     """Results so far and in all, per key."""
     w = Window.partitionBy(key)
     return df.withColumns({"so_far": F.row_number().over(w.orderBy(*order)), "total": F.count("*").over(w)})
+
+
+def running_count_stream(stream: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, item, so_far): each result with its number among its key's results, in order of arrival; the newest number is the total.
+
+    Spark keeps one number for each key; a task sees a key's rows in batches, never all at once.
+    """
+
+    def fold(k, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        n = state.get[0] if state.exists else 0
+        for batch in rows:
+            yield pd.DataFrame({key: [k[0]] * len(batch), item: batch[item].to_numpy(), "so_far": range(n + 1, n + len(batch) + 1)})
+            n += len(batch)
+        state.update((n,))
+
+    fields = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in (key, item))
+    return stream.select(key, item).groupBy(key).applyInPandasWithState(fold, f"{fields}, so_far long", "n long", "append", "NoTimeout")
