@@ -107,7 +107,7 @@ SELECT tag, count(*) AS n FROM (SELECT market_id, unnest(tags) AS tag FROM tags
 def ag15_compute_sources(spark: SparkSession, d: str) -> DataFrame:
     sub = substances(spark, d).withColumn("source", F.when(F.col("substance_id") % 4 == 0, F.lit("x")))
     names = substances(spark, d).where("substance_id % 6 = 0").select(F.lower("label").alias("name"))
-    tags = a.compute_sources(market(spark, d), medicines(spark, d), sub, names)
+    tags = a.compute_sources(market(spark, d, "market_id", "medicine_ref", "has_doc"), medicines(spark, d), sub, names)
     new = tags.where(changed(F.array(F.lit("substance")), F.col("tags")))
     return new.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 

@@ -136,7 +136,7 @@ def prj03_normalise_sections_levels(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {MARKET}, home AS (SELECT min(n_name) AS h FROM nation) SELECT market_id, CASE WHEN country = 'FRANCE' AND has_doc THEN 1 WHEN country = 'FRANCE' THEN 2 WHEN has_doc THEN 3 ELSE 4 END AS priority, regexp_matches(brand_title, '^[A-Za-zÀ-ÿ]') AS leads_with_letter, starts_with(lower(brand_title), 'a') AS starts_with_query FROM market")
 def prj04_priority_cols(spark: SparkSession, d: str) -> DataFrame:
-    return p.priority_cols(market(spark, d), "A", "FRANCE", "brand_title", "country", "has_doc").select("market_id", "priority", "leads_with_letter", "starts_with_query")
+    return p.priority_cols(market(spark, d, "market_id", "brand_title", "country", "has_doc"), "A", "FRANCE", "brand_title", "country", "has_doc").select("market_id", "priority", "leads_with_letter", "starts_with_query")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderstatus || '|BDPM|' || o_custkey END AS key, CASE WHEN o_orderkey % 6 <> 0 THEN 'BDPM' END AS source FROM orders")

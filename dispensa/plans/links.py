@@ -14,7 +14,7 @@ from .views import MARKET, MEDICINES, market, medicines, substances, t
 
 @query(f"WITH {MARKET}, {MEDICINES} SELECT market_id, medicine_key FROM market LEFT JOIN medicines ON medicine_id = medicine_ref AND medicine_id % 7 <> 0")
 def jn01_join_medicine(spark: SparkSession, d: str) -> DataFrame:
-    return k.join_medicine(market(spark, d), medicines(spark, d).where("medicine_id % 7 <> 0").select("medicine_id", "medicine_key")).select("market_id", "medicine_key")
+    return k.join_medicine(market(spark, d, "market_id", "medicine_ref"), medicines(spark, d).where("medicine_id % 7 <> 0").select("medicine_id", "medicine_key")).select("market_id", "medicine_key")
 
 
 @query(f"WITH {MEDICINES} SELECT medicine_id, coalesce((SELECT string_agg(s_name, ',' ORDER BY s_suppkey) FROM supplier WHERE list_contains(refs, s_suppkey) AND s_suppkey % 3 <> 0), '') AS labels FROM medicines")
@@ -25,12 +25,12 @@ def jn02_join_array_fk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {MARKET}, {MEDICINES}, hit AS (SELECT medicine_id FROM medicines WHERE contains(lower(p_name), 'lime') UNION SELECT medicine_id FROM (SELECT medicine_id, unnest(refs) AS s FROM medicines) JOIN supplier ON s = s_suppkey WHERE contains(s_name, '7')) SELECT market_id FROM market WHERE contains(lower(form), 'brass') OR medicine_ref IN (SELECT medicine_id FROM hit)")
 def jn03_search_semijoin(spark: SparkSession, d: str) -> DataFrame:
-    return k.search_semijoin(market(spark, d), match_any(["form"], "brass"), medicines(spark, d), matches("p_name", "lime"), substances(spark, d), matches("label", "7")).select("market_id")
+    return k.search_semijoin(market(spark, d, "market_id", "medicine_ref", "form"), match_any(["form"], "brass"), medicines(spark, d), matches("p_name", "lime"), substances(spark, d), matches("label", "7")).select("market_id")
 
 
 @query(f"WITH {MARKET}, {MEDICINES} SELECT market_id FROM market WHERE medicine_ref IN (SELECT medicine_id FROM (SELECT medicine_id, unnest(refs) AS s FROM medicines) WHERE s = 3)")
 def jn04_filter_by_substance(spark: SparkSession, d: str) -> DataFrame:
-    return k.filter_by_substance(market(spark, d), medicines(spark, d), substances(spark, d), F.col("substance_id") == 3).select("market_id")
+    return k.filter_by_substance(market(spark, d, "market_id", "medicine_ref"), medicines(spark, d), substances(spark, d), F.col("substance_id") == 3).select("market_id")
 
 
 @query("SELECT c_custkey, n_name, n_name IS NOT NULL AS has_nation FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 4 <> 0) ON n_nationkey = c_nationkey")
@@ -269,7 +269,7 @@ def jn23_topk_with_label(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {MEDICINES}, m AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_partkey AS ref FROM lineitem)
 SELECT 'REFERS_TO' AS kind, id AS src, 'medicine:' || ref AS dst FROM m WHERE ref % 7 <> 0 UNION SELECT 'HAS_SUBSTANCE', medicine_key, 'substance:' || s FROM (SELECT medicine_id, medicine_key, unnest(refs) AS s FROM medicines) WHERE medicine_id % 7 <> 0 AND s % 5 <> 0""")
 def jn24_build_graph(spark: SparkSession, d: str) -> DataFrame:
-    m, med, sub = market(spark, d), medicines(spark, d).where("medicine_id % 7 <> 0"), substances(spark, d).where("substance_id % 5 <> 0")
+    m, med, sub = market(spark, d, "market_id", "medicine_ref", "brand_title"), medicines(spark, d).where("medicine_id % 7 <> 0"), substances(spark, d).where("substance_id % 5 <> 0")
     nodes = lambda df, label, key, name: k.graph_nodes([df.select(F.lit(label).alias("label"), key.alias("key"), F.col(name).alias("name"))])
     products = nodes(m, "MarketProduct", F.col("market_id"), "brand_title")
     meds = nodes(med, "Medicine", F.col("medicine_key"), "p_name")

@@ -23,21 +23,32 @@ def medicines(spark: SparkSession, d: str) -> DataFrame:
     return part.join(refs, part["p_partkey"] == refs["l_partkey"]).select(F.col("p_partkey").alias("medicine_id"), F.concat(F.lit("medicine:"), F.col("p_partkey")).alias("medicine_key"), F.array("p_name").alias("inns"), F.col("p_name"), "refs")
 
 
-def market(spark: SparkSession, d: str) -> DataFrame:
-    """Branded products: lines with their part, supplier and the supplier's nation."""
+def market(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Branded products: lines with their part, supplier and the supplier's nation; all columns, or those wanted.
+
+    Every line has a part, a supplier and a nation, so a table from which no column is wanted is not joined:
+    a line's part or supplier costs a shuffle of all lines once those tables are too large to broadcast.
+    """
     line, part, supplier, nation = (t(spark, d, n) for n in ("lineitem", "part", "supplier", "nation"))
-    joined = line.join(part, line["l_partkey"] == part["p_partkey"]).join(supplier, line["l_suppkey"] == supplier["s_suppkey"]).join(nation, supplier["s_nationkey"] == nation["n_nationkey"])
-    return joined.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("market_id"),
-        F.col("l_partkey").alias("medicine_ref"),
-        F.col("p_name").alias("brand_title"),
-        F.col("n_name").alias("country"),
-        F.col("s_name").alias("laboratory"),
-        F.col("p_type").alias("form"),
-        F.col("p_size").cast("string").alias("strength"),
-        (F.col("l_returnflag") == "A").alias("has_doc"),
-        F.date_format("l_shipdate", "yyyy-MM-dd").alias("updated_at"),
-    )
+    every = {
+        "market_id": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
+        "medicine_ref": F.col("l_partkey"),
+        "brand_title": F.col("p_name"),
+        "country": F.col("n_name"),
+        "laboratory": F.col("s_name"),
+        "form": F.col("p_type"),
+        "strength": F.col("p_size").cast("string"),
+        "has_doc": F.col("l_returnflag") == "A",
+        "updated_at": F.date_format("l_shipdate", "yyyy-MM-dd"),
+    }
+    wanted = columns or tuple(every)
+    if {"brand_title", "form", "strength"} & set(wanted):
+        line = line.join(part, line["l_partkey"] == part["p_partkey"])
+    if {"country", "laboratory"} & set(wanted):
+        line = line.join(supplier, line["l_suppkey"] == supplier["s_suppkey"])
+    if "country" in wanted:
+        line = line.join(nation, line["s_nationkey"] == nation["n_nationkey"])
+    return line.select(*[every[c].alias(c) for c in wanted])
 
 
 MEDICINES = "medicines AS (SELECT p_partkey AS medicine_id, 'medicine:' || p_partkey AS medicine_key, p_name, list_sort(list(DISTINCT l_suppkey)) AS refs FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey, p_name)"
