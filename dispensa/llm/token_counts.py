@@ -124,10 +124,12 @@ def token_counts(df: DataFrame, path: str, limit: int = 512, text: str = "text",
 
     ``.json`` files are for tokenizers, ``.model`` files for sentencepiece; no begin, end or added
     special tokens, no truncation or padding. A null text counts as empty (0, 0). No shuffle; a
-    task's memory is a few times CHUNK, or its longest text.
+    task's memory is a few times CHUNK, or its longest text. A column to keep that has the name of a
+    count gives way to it; equal rows are counted each.
     """
-    df = df.select(*[F.col(k) for k in keep], F.col(text).alias("__text"))
-    schema = df.drop("__text").schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
+    kept = [k for k in keep if k not in ("n_bytes", "n_tokens", "over_limit")]
+    schema = df.select(*kept).schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
+    df = df.select(*kept, F.col(text)).toDF(*[f"c{i}" for i in range(len(kept) + 1)])
     model = path.endswith(".model")
     with open(path, "rb") as f:
         raw = f.read()
@@ -162,7 +164,7 @@ def token_counts(df: DataFrame, path: str, limit: int = 512, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter()
         for batch in batches:
-            buf, offsets = text_bytes(batch.column("__text"))
+            buf, offsets = text_bytes(batch.columns[-1])
             got = [count(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in chunks(offsets)]
             n = np.concatenate([np.zeros(0, np.int64), *got])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], schema.names)

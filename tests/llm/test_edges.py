@@ -94,3 +94,13 @@ def test_pipeline_of_edge_cases_and_of_an_empty_table(spark, tmp_path):
     # The line of the null id that document 3 has too goes before links are sought, so the null id is linked with nothing and stays.
     assert {r.doc_id for r in got} == {*range(30), None}
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_token_counts_keep_columns_of_any_name(spark):
+    """A kept column called like a count gives way to it; any other stays."""
+    docs, path = frame(spark, ["n_tokens", "__text", "c1"]), _path("byte_bpe_50k.json")
+    plain = token_counts.token_counts(docs, path)
+    got = token_counts.token_counts(docs, path, keep=("__text", "doc_id", "n_tokens", "c1"))
+    assert got.columns == ["__text", "doc_id", "c1", "n_bytes", "n_tokens", "over_limit"]
+    assert key(map(tuple, got.select(plain.columns).collect())) == key(map(tuple, plain.collect()))
+    assert {(r["__text"], r["c1"]) for r in got.collect()} == {(7, 7)}
