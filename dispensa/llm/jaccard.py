@@ -36,6 +36,7 @@ BROADCAST_IDS = 1_000_000  # more ids than these (8 MB) are joined by shuffle
 LOCAL = 8 << 20  # bytes of text whose sets are handled together
 HEAVY = 64  # sets of a batch that share a subset before the batch sends its bucket one entry for them all
 VALUE = 8  # bytes of a shingle's hash in verification
+SALTS = 32  # parts that the pairs of one set are dealt to in a join
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -366,6 +367,16 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary")
 
 
+def _dealt(pairs: DataFrame, side: DataFrame, key: str, other: str, how: str = "inner") -> DataFrame:
+    """pairs joined with side on key, the pairs of a key dealt to SALTS parts by ``other``, so that those of a hub do not land in one task.
+
+    A row of side is copied once for each part that its key has pairs in: never more often than it has pairs.
+    """
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
+    copies = side.join(salted.select(key, "salt").distinct(), key)
+    return salted.join(copies, [key, "salt"], how).drop("salt")
+
+
 def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) that sizes and sketches do not rule out; nothing that is similar enough is lost."""
 
@@ -377,7 +388,7 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     right = pairs.join(sketches.select(F.col("doc_id").alias("y"), F.col("sketch").alias("b"), F.col("n").alias("m")), "y")
-    both = right.join(sketches.select(F.col("doc_id").alias("x"), F.col("sketch").alias("a"), "n"), "x").select("x", "y", "a", "n", "b", "m")
+    both = _dealt(right, sketches.select(F.col("doc_id").alias("x"), F.col("sketch").alias("a"), "n"), "x", "y").select("x", "y", "a", "n", "b", "m")
     return both.mapInArrow(run, "x long, y long").distinct()
 
 
@@ -402,7 +413,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     right = pairs.join(sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("b")), "y")
-    both = right.join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("a")), "x").select("x", "y", "a", "b")
+    both = _dealt(right, sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("a")), "x", "y").select("x", "y", "a", "b")
     return both.mapInArrow(run, "x long, y long").distinct()
 
 
@@ -420,11 +431,11 @@ def _across(pairs: DataFrame, label: DataFrame, sketches: DataFrame, percent: in
     One of a pair has asked with what the group shares, so only those that ask are compared with the
     others, BLOCK with BLOCK in a task.
     """
-    named = lambda df, c: df.join(label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")), c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
-    known = named(named(pairs, "x"), "y")
+    named = lambda df, c, other: _dealt(df, label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")), c, other, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
+    known = named(named(pairs, "x", "y"), "y", "x")
     # The group's least set was compared with all; what it did not link must be compared among itself and with what it linked.
     mixed = known.groupBy("x").agg(F.count_if(F.col("y_in") != F.col("x_in")).alias("apart"), F.count("*").alias("size"), F.count_if("asks").alias("asking")).where("apart > 0 and size > 1 and asking > 0").select("x", "size", "asking")
-    group = known.join(mixed, "x").select(F.col("x").alias("g"), F.col("y").alias("doc_id"), F.col("y_in").alias("inside"), "asks", F.ceil(F.col("asking") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("size") / BLOCK).cast("int").alias("columns"))
+    group = _dealt(known, mixed, "x", "y").select(F.col("x").alias("g"), F.col("y").alias("doc_id"), F.col("y_in").alias("inside"), "asks", F.ceil(F.col("asking") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("size") / BLOCK).cast("int").alias("columns"))
     place = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asking = group.where("asks").select("g", "doc_id", "inside", "asks", place("rows").alias("i"), every("columns").alias("j"))
