@@ -379,6 +379,61 @@ def html_monograph(pages: DataFrame, key: str, html: str) -> DataFrame:
     return r.select(key, "rubric", "row", F.transform(F.regexp_extract_all("r", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), strip_tags).alias("cells"))
 
 
+# The marks of a contraindication table, in its markup's language.
+MONO = "table_mono"
+TERRAIN = r"(?i)Terrain\s*N[°o]\s*(\d+)"
+LEVEL, REFERENCE, CODES, UNCONCERNED = "niveau", "référence|reference", "cim", "non concern"
+CODE = r"\b([A-Z][0-9]{2,3}[0-9A-Z]?)\b"
+
+
+def _flat(c: Column) -> Column:
+    """Text of markup on one line; what tags part stays apart."""
+    return F.trim(F.regexp_replace(strip_tags(F.regexp_replace(c, r"<[^>]*>", " ")), r"\s+", " "))
+
+
+def _items(c: Column) -> Column:
+    """Texts of a cell's list items, without a list its own text; blank ones go."""
+    points = F.regexp_extract_all(c, F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), F.lit(1))
+    return F.filter(F.transform(F.when(F.size(points) > 0, points).otherwise(F.array(c)), _flat), lambda x: x != "")
+
+
+def contraindications(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, pos, no, heading, details, level, references, codes): one row per table of a page whose first cell has a terrain's number.
+
+    Heading: the first bold text of the second cell, else all of it; details: the items of its first list. Further rows
+    are told by their first cell, the last of a kind counts. A code is the last one in an item, else the item; items that
+    say that nothing is concerned give none; each code stays once, in order. A table ends at its first end tag; ``pos``
+    counts all tables of the page. Null and empty pages give no rows; lists that are not there are empty.
+    """
+    parts = F.slice(F.split(html, r"(?i)<table\b"), 2, 1 << 30)
+    tables = pages.select(key, F.posexplode(parts).alias("pos", "b")).where(F.regexp_extract("b", r"^[^>]*", 0).rlike(rf'(?i)\bclass="[^"]*\b{MONO}\b'))
+    cells = lambda r: F.regexp_extract_all(r, F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1))
+    rows = F.transform(F.regexp_extract_all(F.substring_index("b", "</table", 1), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1)), cells)
+    split = tables.select(key, "pos", F.get(rows, F.lit(0)).alias("first"), F.filter(F.slice(rows, 2, 1 << 30), lambda r: F.size(r) > 1).alias("more"))
+    known = split.withColumn("no", F.regexp_extract(_flat(F.get("first", F.lit(0))), TERRAIN, 1)).where("no <> ''")
+    right = F.coalesce(F.get("first", F.lit(1)), F.lit(""))
+    bold = F.regexp_extract_all(right, F.lit(r"(?is)<b\b[^>]*>(.*?)</b>"), F.lit(1))
+    label = lambda r: F.lower(_flat(r[0]))
+
+    def told(test, without=()) -> Column:
+        """Items of the last row whose label has the mark, and no earlier one."""
+        own = F.filter("more", lambda r: label(r).rlike(test) & ~(label(r).rlike("|".join(without)) if without else F.lit(False)))
+        return F.when(F.size(own) > 0, _items(F.element_at(own, -1)[1])).otherwise(F.array().cast("array<string>"))
+
+    listed = F.regexp_extract(right, r"(?is)<ul\b[^>]*>(.*?)</ul>", 1)
+    code = lambda x: F.coalesce(F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(x, F.lit(CODE), F.lit(1))), -1), x)
+    return known.select(
+        key,
+        "pos",
+        F.col("no").cast("long").alias("no"),
+        _flat(F.coalesce(F.get(bold, F.lit(0)), right)).alias("heading"),
+        F.when(listed.rlike(r"(?i)<li\b"), _items(listed)).otherwise(F.array().cast("array<string>")).alias("details"),
+        told(LEVEL).alias("level"),
+        told(REFERENCE, (LEVEL,)).alias("references"),
+        F.array_distinct(F.transform(F.filter(told(CODES, (LEVEL, REFERENCE)), lambda x: ~F.lower(x).contains(UNCONCERNED)), code)).alias("codes"),
+    )
+
+
 def topic_text(sections: Column, main: str, sub: str, label: str) -> Column:
     """Text of a labelled part of a sub-section, else all of it; null without the sub-section."""
     level = lambda arr, code: F.get(F.filter(arr, lambda s: F.startswith(s["title"], F.lit(code))), F.lit(0))

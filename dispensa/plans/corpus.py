@@ -186,6 +186,23 @@ def doc07_html_monograph_text(spark: SparkSession, d: str) -> DataFrame:
     return c.html_monograph(t(spark, d, "pages").withColumn("html", html), "page_id", "html").withColumn("cells", F.array_join("cells", "|"))
 
 
+_FLAT = "trim(regexp_replace(" + _ENTITIES.format("regexp_replace({}, '<[^>]*>', ' ', 'g')") + ", '\\s+', ' ', 'g'))"
+
+
+# A page's navigation becomes the details of a terrain, its article the level.
+@query(f"""WITH p AS (SELECT page_id, url, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS said FROM pages)
+SELECT page_id, 0 AS pos, page_id % 9 + 1 AS no, url AS heading, array_to_string(list_filter(list_transform(regexp_extract_all(nav, '(?is)<li[^>]*>(.*?)</li>', 1), lambda x: {_FLAT.format("x")}), lambda x: x <> ''), '|') AS details,
+array_to_string(list_filter(list_transform(CASE WHEN regexp_matches(said, '(?is)<li[^>]*>.*?</li>') THEN regexp_extract_all(said, '(?is)<li[^>]*>(.*?)</li>', 1) ELSE [said] END, lambda x: {_FLAT.format("x")}), lambda x: x <> ''), '|') AS level, '' AS references, 'T78' || page_id % 10 || '|no code' AS codes FROM p""")
+def doc07_contraindications(spark: SparkSession, d: str) -> DataFrame:
+    html = F.col("html")
+    opened = F.concat(F.lit('<TABLE border=0 class="wide table_mono"><tr><td>Terrain N° '), F.col("page_id") % 9 + 1, F.lit("</td><td><b>"), "url", F.lit("</b>"))
+    codes = F.concat(F.lit("</td></tr><tr><td>Code CIM 10</td><td><ul><li>Z88 or T78"), F.col("page_id") % 10, F.lit("</li><li>Non concerné .</li><li>no code</li></ul></td></tr></table>"))
+    for a, b in (("<nav>", opened), ("</nav>", F.lit("</td></tr>")), ("<article>", F.lit("<tr><td>Niveau</td><td>")), ("</article>", codes)):
+        html = F.replace(html, F.lit(a), b)
+    found = c.contraindications(t(spark, d, "pages").withColumn("html", html), "page_id", "html")
+    return found.select("page_id", "pos", "no", "heading", *[F.array_join(x, "|").alias(x) for x in ("details", "level", "references", "codes")])
+
+
 @query("""SELECT doc_id, md5(array_to_string(CASE WHEN len(list_filter(l, lambda x: starts_with(lower(x), 'th'))) > 0 THEN list_filter(l, lambda x: starts_with(lower(x), 'th')) ELSE l END, chr(10))) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""")
 def doc08_topic_text_lines(spark: SparkSession, d: str) -> DataFrame:
     content = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("text")))

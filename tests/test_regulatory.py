@@ -92,3 +92,21 @@ def test_arrivals_are_numbered_over_micro_batches(spark, tmp_path):
     got = jobs.stream_append(jobs.running_count_stream(stream, "user_id", "event_id"), jobs.work_dir(spark)).collect()
     assert sorted((r.event_id, r.so_far) for r in got if r.user_id == 1)[-1] == (13, 3)
     assert sorted((r.user_id or 0, r.so_far) for r in got) == [(0, 1), (1, 1), (1, 2), (1, 3), (2, 1)]
+
+
+TERRAINS = """<table class="table_mono"><tr><td>other</td></tr></table><table class="x"><tr><td>Terrain N°9</td></tr></table>
+<TABLE class="a table_mono"><tr><td>Terrain N° <i>12</i></td><td>x <b>HYPER<br>S</b><ul><li>one</li><li> </li><li>two&nbsp;&amp; <i>3</i></li></ul></td></tr>
+<tr><td>Niveau(x)</td><td><ul><li><b>OLD</b></li></ul></td></tr><tr><td>Niveau(x)</td><td><ul><li><b>ABSOLUE</b></li></ul></td></tr><tr><td>lone</td></tr>
+<tr><td>Référence(s)</td><td>plain  text</td></tr><tr><td>CIM 10</td><td><ul><li>Allergie Z88 T784</li><li>again T784</li><li>Non concerné .</li><li>K90 b</li><li>rare</li></ul></td></tr></table>
+<table class="table_mono"><tr><td>terrain no3</td></tr></table><table class="table_mono"><tr><td>Terrain N°4</td><td>bare</td></tr>"""
+
+
+def test_contraindications(spark):
+    pages = spark.createDataFrame([(1, TERRAINS), (2, None), (3, ""), (4, "<p>none</p>")], "id long, html string")
+    rows = corpus.contraindications(pages, "id", "html").orderBy("id", "pos").collect()
+    assert [tuple(r) for r in rows] == [
+        (1, 2, 12, "HYPER S", ["one", "two & 3"], ["ABSOLUE"], ["plain text"], ["T784", "K90", "rare"]),
+        (1, 3, 3, "", [], [], [], []),
+        (1, 4, 4, "bare", [], [], [], []),
+    ]
+    assert corpus.contraindications(pages.where("id > 4"), "id", "html").count() == 0
