@@ -402,7 +402,7 @@ def contraindications(pages: DataFrame, key: str, html: str) -> DataFrame:
 
     Heading: the first bold text of the second cell, else all of it; details: the items of its first list. Further rows
     are told by their first cell, the last of a kind counts. A code is the last one in an item, else the item; items that
-    say that nothing is concerned give none; each code stays once, in order. A table ends at its first end tag; ``pos``
+    say that nothing is concerned give none; each code stays once, in order. A table ends at its first end tag, or where another begins; ``pos``
     counts all tables of the page. Null and empty pages give no rows; lists that are not there are empty.
     """
     parts = F.slice(F.split(html, r"(?i)<table\b"), 2, 1 << 30)
