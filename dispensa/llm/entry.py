@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, line_dedup, oracles, packing, quality, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
+from . import ann, bpe, collocations, importance, jaccard, line_dedup, oracles, packing, quality, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
 from ..session import ready
 
 
@@ -63,13 +63,21 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_byte_bpe, op3_token_counts, op4_line_dedup, op5_best_fit_packing, op6_substring_dedup, op7_quality_rules, op8_nearest_vectors, op9_toxicity, op10_ngram_jaccard, op13_simhash_groups)
+    for f in (op1_suffix_dedup, op2_byte_bpe, op3_token_counts, op4_line_dedup, op5_best_fit_packing, op6_substring_dedup, op7_quality_rules, op8_nearest_vectors, op9_toxicity, op10_ngram_jaccard, op11_importance_resampling, op12_collocations, op13_simhash_groups)
 }
 
-SQL: dict[str, str] = {"op4_line_dedup": oracles.OP4, "op6_substring_dedup": oracles.OP6, "op10_ngram_jaccard": oracles.OP10}
+SQL: dict[str, str] = {"op4_line_dedup": oracles.OP4, "op6_substring_dedup": oracles.OP6, "op10_ngram_jaccard": oracles.OP10, "op12_collocations": oracles.OP12}

@@ -185,3 +185,15 @@ def expand(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     total = int(length.sum())
     before = np.cumsum(length) - length
     return np.arange(total) + np.repeat(start - before, length)
+
+
+def pieces(data: bytes, size: int, blank: np.ndarray = SPACE) -> Iterator[bytes]:
+    """data cut before bytes that are ``blank`` into pieces of about ``size`` bytes; what has no such byte stays whole."""
+    at = 0
+    while len(data) - at > size:
+        end = at + size
+        while end < len(data) and not blank[data[end]]:
+            end += 1
+        yield data[at:end]
+        at = end
+    yield data[at:]

@@ -30,11 +30,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(table: DataFrame) -> None:
     """Delete what ``materialise`` wrote for a table that nothing reads any more."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(table.sparkSession, table.stored_at)
 
 
 BROADCAST_IDS = 1_000_000  # ids of at most 8 MB
