@@ -112,6 +112,71 @@ def test_forest_recall_and_contract(spark):
     assert ann.search(df.limit(0), ann.F.col("vec_id") == 0, 20).count() == 0
 
 
+def plain_neighbours(rows, asked, k=20):
+    table = [(i, np.array(x)) for i, x in rows]
+    out = set()
+    for q in asked:
+        own = next(x for i, x in table if i == q)
+        best = sorted((-float((x * own).cumsum()[-1]), i) for i, x in table if i != q and len(x) == len(own))[:k]
+        out |= {(q, p + 1, i, -s) for p, (s, i) in enumerate(best)}
+    return out
+
+
+@pytest.mark.parametrize("layout", ["other length without query", "queries in one slice", "no query", "one query", "length beyond the sample"])
+def test_forest_slices_and_lengths_without_queries(spark, layout, monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(ann, "SLICE", 64)
+    monkeypatch.setattr(ann, "MEET", 0)
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(rng.standard_normal((300, 6)))]
+    asks = {"queries in one slice": lambda i: i < 15, "no query": lambda i: i < 0, "one query": lambda i: i == 299}.get(layout, lambda i: i % 20 == 0)
+    if layout == "other length without query":
+        rows.append((1001, [1.0, 2.0, 3.0]))
+    if layout == "length beyond the sample":
+        monkeypatch.setattr(ann, "SAMPLE", 1)
+        rows += [(2000 + i, [float(i), 1.0, -2.0]) for i in range(0, 200, 10)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    asked = [i for i, _ in rows if asks(i)]
+    got = {tuple(r) for r in ann.search(df, ann.F.col("vec_id").isin([*asked, -1]), 20).collect()}
+    want = plain_neighbours(rows, asked)
+    assert {r[:2] for r in got} == {r[:2] for r in want} or layout == "length beyond the sample"
+    pairs = lambda x: {(r[0], r[2]) for r in x}
+    assert len(pairs(got) & pairs(want)) >= 0.8 * len(want) and bool(got) == bool(want)
+
+
+def test_full_leaves_are_dealt_to_several_tasks(spark, monkeypatch):
+    """Clusters whose leaves hold more than ``block`` vectors; every query gets its number of answers."""
+    monkeypatch.setattr(ann, "MEET", 0)
+    rng = np.random.default_rng(9)
+    centre = rng.standard_normal((4, 12))
+    rows = [(i, [float(x) for x in centre[i % 4] + 0.05 * rng.standard_normal(12)]) for i in range(800)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ask = ann.F.col("vec_id") % 20 == 0
+    want = {r[:1] + r[2:3] for r in plain_neighbours(rows, range(0, 800, 20))}
+    for block in (ann.BLOCK, 16):
+        got = {(r.query_id, r.vec_id) for r in ann.search(df, ask, 20, block=block).collect()}
+        assert len(got) == 800 and len(got & want) >= 0.9 * 800
+
+
+def test_prefixes_and_levels():
+    """What a level admits is what the definition says, leaf by leaf."""
+    rng = np.random.default_rng(10)
+    forest = ann.Forest(9, 4, 2.0)
+    v, q = rng.standard_normal((300, 9)) * 0.3, rng.standard_normal((5, 9))
+    leaf = forest.stored(v)
+    for level in (0.5, 1.3, 2.2):
+        row, cell = forest.visited(q, level)
+        for k in range(5):
+            taken = set(cell[row == k].tolist())
+            met = [any(c in taken for c in x) for x in leaf.tolist()]
+            want = [bool(forest.level(q[k : k + 1], x[None])[0] >= level) for x in v]
+            assert met == want
+    for a in range(16):
+        for b in range(16):
+            x, y = f"{a:04b}", f"{b:04b}"
+            same = next((k for k in range(4) if x[k] != y[k]), 4)
+            assert forest.common(np.array([a]), np.array([b]))[0] == same
+
+
 def test_forest_ties_norms_and_lengths(spark):
     """Repeated vectors, components of size 1e6, norms that differ much, and vectors of another length; all against brute force."""
     rng = np.random.default_rng(4)
