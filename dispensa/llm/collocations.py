@@ -22,8 +22,8 @@ from .state import delete, materialise, shared_dir
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENDS = ".,;:!?\n\x0b\x0c\r"  # a piece ends at each of these
-FEW = 200_000  # frequent groups (of about 80 bytes) that are broadcast; more are joined by shuffle
-SALTS = 16  # parts that the occurrences of a group are dealt to in such a join, and a language's candidates for its best
+FEW = 200_000  # frequent groups (of about 80 bytes) that are broadcast; rows of others are joined by shuffle
+SALTS = 16  # parts that a language's candidates are dealt to for its best
 
 
 def tokens(text: Column) -> Column:
@@ -80,16 +80,18 @@ def frequent_words(docs: DataFrame, least: int) -> DataFrame:
 
 
 def keep_frequent(rows: DataFrame, frequent: DataFrame, keys: list[str], buckets: int, few: int = FEW) -> DataFrame:
-    """(row, at, id) for the rows whose keys are those of a group of frequent(keys, id).
+    """(row, at, id) for the rows whose keys are those of a group of frequent(keys, id, a).
 
-    Few groups are broadcast, and rows stay where they are. For more, both sides are shuffled, a group's rows dealt to SALTS parts.
+    The ``few`` most frequent groups are broadcast, and their rows stay where they are. Only where there are more groups are the other
+    rows shuffled to them, and back to their bucket; none of these groups is hot.
     """
-    groups = frequent.select(*keys, "id")
+    groups = frequent.select(*keys, "id", "a")
     if groups.limit(few + 1).count() <= few:
         return rows.join(F.broadcast(groups), keys).select("row", "at", "id")
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row", "at"), F.lit(SALTS)).cast("int"))
-    copies = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*keys, "salt"]).select("row", "at", "id").repartition(buckets, "row")
+    common = materialise(groups.orderBy(F.desc("a"), "id").limit(few))
+    near = rows.join(F.broadcast(common), keys).select("row", "at", "id")
+    rest = rows.join(F.broadcast(common), keys, "left_anti").hint("merge").join(groups.join(F.broadcast(common.select("id")), "id", "left_anti"), keys)
+    return near.unionByName(rest.select("row", "at", "id").repartition(buckets, "row"))
 
 
 def longer(occurrences: DataFrame) -> DataFrame:
