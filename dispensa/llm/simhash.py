@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .batches import LAST
 from .components import components
 from .jaccard import BROADCAST_IDS, _dealt
-from .kernels import CHUNK, SPACE, tidy
+from .kernels import CHUNK, pieces, tidy
 from .state import materialise
 
 MOST = 4  # bits in which linked fingerprints may differ
@@ -37,22 +37,10 @@ SEED = 42
 HOT = 4096  # fingerprints of a segment value beyond which midpoints (2081 each) are the fewer rows
 
 
-def _pieces(data: bytes, size: int) -> Iterator[bytes]:
-    """data cut at blanks into pieces of about ``size`` bytes; a longer word stays whole."""
-    at = 0
-    while len(data) - at > size:
-        end = at + size
-        while end < len(data) and not SPACE[data[end]]:
-            end += 1
-        yield data[at:end]
-        at = end
-    yield data[at:]
-
-
 def shingle_hashes(text: str | None, width: int = WIDTH, size: int = CHUNK) -> Iterator[list[int]]:
     """The hashes of a text's shingles, repeats included, a piece of the text at a time; fewer words make one shingle."""
     h, kept, some = xxhash.xxh64_intdigest, [], False
-    for piece in _pieces((text or "").encode().lower(), size):  # bytes: only A-Z change
+    for piece in pieces((text or "").encode().lower(), size):  # bytes: only A-Z change
         words = kept + piece.split()  # at the six ASCII blanks
         n = len(words) - width + 1
         if n > 0:
