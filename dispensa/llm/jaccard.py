@@ -370,11 +370,12 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 def _dealt(pairs: DataFrame, side: DataFrame, key: str, other: str, how: str = "inner") -> DataFrame:
     """pairs joined with side on key, the pairs of a key dealt to SALTS parts by ``other``, so that those of a hub do not land in one task.
 
-    A row of side is copied once for each part that its key has pairs in: never more often than it has pairs.
+    A row of side is copied once for each part that its key has pairs in: never more often than it has pairs. All sides are shuffled, so that
+    small ones do not go through the driver either.
     """
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
-    copies = side.join(salted.select(key, "salt").distinct(), key)
-    return salted.join(copies, [key, "salt"], how).drop("salt")
+    copies = side.join(salted.select(key, "salt").distinct().hint("merge"), key)
+    return salted.join(copies.hint("merge"), [key, "salt"], how).drop("salt")
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -387,7 +388,7 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             ok = [may_link(*x, percent) for x in zip(a, n, b, m, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    right = pairs.join(sketches.select(F.col("doc_id").alias("y"), F.col("sketch").alias("b"), F.col("n").alias("m")), "y")
+    right = pairs.join(sketches.select(F.col("doc_id").alias("y"), F.col("sketch").alias("b"), F.col("n").alias("m")).hint("merge"), "y")
     both = _dealt(right, sketches.select(F.col("doc_id").alias("x"), F.col("sketch").alias("a"), "n"), "x", "y").select("x", "y", "a", "n", "b", "m")
     return both.mapInArrow(run, "x long, y long").distinct()
 
@@ -412,7 +413,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * (n - united) >= percent * united)
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    right = pairs.join(sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("b")), "y")
+    right = pairs.join(sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("b")).hint("merge"), "y")
     both = _dealt(right, sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("a")), "x", "y").select("x", "y", "a", "b")
     return both.mapInArrow(run, "x long, y long").distinct()
 
