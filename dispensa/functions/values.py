@@ -32,6 +32,11 @@ def safe_get(c: Column, path: str, default: object) -> Column:
     return F.coalesce(F.get_json_object(c, f"$.{path}"), F.lit(default))
 
 
+def variant_get(v: Column, path: str, kind: str, default: object) -> Column:
+    """A member of a parsed document as the type that is asked for; the default where it is missing, null, or of a type that does not become it."""
+    return F.coalesce(F.try_variant_get(v, f"$.{path}", kind), F.lit(default))
+
+
 def clamp(c: Column, low: object, high: object) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 

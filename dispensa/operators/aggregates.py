@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import non_blank
@@ -81,6 +81,22 @@ def rollup_nested(df: DataFrame, key: str, order: list[str], fields: list[str],
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), *[F.count_if(c).alias(n) for n, c in tests.items()], F.array_sort(F.collect_list(F.struct(*order, *fields))).alias("items"))
 
 
+def rollup_parts(df: DataFrame, key: str, order: list[str], fields: list[str], most: int = 1000, **tests: Column) -> DataFrame:
+    """(key, n, conditional counters, part, items): the nested list of a key in parts of at most ``most`` items, numbered from 0; the counters are the key's.
+
+    Keys are counted first, and a key with more rows is dealt by hash to as many lots as its count is worth; a lot is cut into parts of
+    ``most`` in its order. So no list and no task grows with a key. Null keys are left out; ``order`` and ``key`` name unique rows.
+    """
+    rows = df.where(F.col(key).isNotNull())
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"), *[F.count_if(c).alias(name) for name, c in tests.items()])
+    large = counts.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("__lots"))  # a row for each key that is worth several lists
+    dealt = rows.join(large, key, "left").withColumn("__lot", F.pmod(F.xxhash64(*order), F.coalesce("__lots", F.lit(1))).cast("int"))
+    place = F.row_number().over(Window.partitionBy(key, "__lot").orderBy(*order)) - 1
+    lists = dealt.withColumn("__cut", F.floor(place / most)).groupBy(key, "__lot", "__cut").agg(F.array_sort(F.collect_list(F.struct(*order, *fields))).alias("items"))
+    first = Window.partitionBy(key).orderBy("__lot", "__cut")
+    return lists.withColumn("part", F.row_number().over(first) - 1).join(counts, key).select(key, "n", *tests, "part", "items")
+
+
 def coverage(df: DataFrame, columns: list[str]) -> DataFrame:
     """(source, n): rows that carry each optional column, most first."""
     counts = df.agg(*[F.count(c).alias(c) for c in columns])

@@ -106,21 +106,28 @@ def match_identity(items: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 GRAM = 3  # characters of the grams that contains joins meet by
+SALTS = 16  # parts that the names of a gram are dealt to
 
 
-def contained(parts: DataFrame, names: DataFrame) -> DataFrame:
-    """(value, id): the smallest id of names(name, id) that contain each of parts(value), values of GRAM characters or more.
+def gram_pairs(parts: DataFrame, names: DataFrame) -> DataFrame:
+    """(value, name, id): each of parts(value) with the names(name, id) that contain it, for values of GRAM characters or more.
 
-    An equi-join: a value meets the names that hold the one of its grams that fewest names hold, then the rest is compared.
+    An equi-join: a value meets the names that hold the one of its grams that fewest names hold, then the rest is compared. Names
+    are dealt to SALTS parts, so that a gram that many of them hold is not one task's.
     """
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (GRAM - 1)), lambda k: F.substring(c, k, F.lit(GRAM))))
-    whole = names.where(F.length("name") >= GRAM).groupBy("name").agg(F.min("id").alias("id"))
-    held = whole.select("name", "id", F.explode(grams(F.col("name"))).alias("__g"))
+    held = names.where(F.length("name") >= GRAM).select("name", "id", F.pmod(F.xxhash64("name", "id"), F.lit(SALTS)).cast("int").alias("__s"), F.explode(grams(F.col("name"))).alias("__g"))
     asked = parts.where(F.length("value") >= GRAM).select("value").distinct().select("value", F.explode(grams(F.col("value"))).alias("__g"))
     counts = held.groupBy("__g").agg(F.count("*").alias("__n"))
     rarest = asked.join(counts, "__g", "left").groupBy("value").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__g")).alias("__r"))
-    met = rarest.where("__r.n > 0").select("value", F.col("__r.__g").alias("__g")).join(held, "__g")
-    return met.where(F.contains("name", F.col("value"))).groupBy("value").agg(F.min("id").alias("id"))
+    copies = rarest.where("__r.n > 0").select("value", F.col("__r.__g").alias("__g"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__s"))
+    return copies.join(held, ["__g", "__s"]).where(F.contains("name", F.col("value"))).select("value", "name", "id")
+
+
+def contained(parts: DataFrame, names: DataFrame) -> DataFrame:
+    """(value, id): the smallest id of names(name, id) that contain each of parts(value), values of GRAM characters or more."""
+    whole = names.groupBy("name").agg(F.min("id").alias("id"))
+    return gram_pairs(parts, whole).groupBy("value").agg(F.min("id").alias("id"))
 
 
 def _first_hit(asked: DataFrame, hits: DataFrame, rank: list[str]) -> DataFrame:
@@ -180,10 +187,13 @@ def resolve_pgx(items: DataFrame, kb: DataFrame, relations: DataFrame) -> DataFr
     return items.select("item").join(found, "item", "left")
 
 
-def theta_rest(left: DataFrame, key: str, value: str, matched: DataFrame, dim: DataFrame, test) -> DataFrame:
-    """(key, id): smallest id of the dimension rows that meet test(value, name), for rows of left that equi-joins left unmatched only."""
-    rest = left.join(matched.where("match is not null").select(key), key, "left_anti")
-    return rest.join(dim, test(rest[value], dim["name"])).groupBy(key).agg(F.min("id").alias("id"))
+def inside_match(left: DataFrame, key: str, value: str, dim: DataFrame) -> DataFrame:
+    """(key, match): exact name, else the smallest id among dim(name, id) whose name is inside the value; names of GRAM characters or more."""
+    exact = ranked_match(left, key, [(F.col(value), dim.select(F.col("name").alias("value"), "id"), False)])
+    rest = left.join(exact.where("match is not null").select(key), key, "left_anti").select(F.col(value).alias("name"), F.col(key).alias("id"))
+    least = dim.groupBy("name").agg(F.min("id").alias("__id")).withColumnRenamed("name", "value")
+    hits = gram_pairs(least.select("value"), rest).join(least, "value").groupBy("id").agg(F.min("__id").alias("__id")).withColumnRenamed("id", key)
+    return exact.join(hits, key, "left").select(key, F.coalesce("match", "__id").alias("match"))
 
 
 def prefix_match(left: DataFrame, key: str, value: str, dim: DataFrame, least: int = 3) -> DataFrame:

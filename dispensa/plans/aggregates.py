@@ -85,6 +85,15 @@ def ag12_rollup_nested(spark: SparkSession, d: str) -> DataFrame:
     return fine.groupBy(F.split("key", r"\|")[0].alias("event_type")).agg(F.sum("n").alias("n"), F.sum("pk").alias("pk"), F.sum("pd").alias("pd"), F.min(F.col("items")[0]["event_id"]).alias("first_event"))
 
 
+@query("SELECT event_type, count(*) AS n, count(*) FILTER (value >= 20) AS pk, count(*) FILTER (value < 5) AS pd, count(*) AS nested, sum(event_id)::BIGINT AS ids, count(*) > 100 AS several, true AS bounded FROM events GROUP BY event_type")
+def ag12_rollup_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Every type of event with its lists of at most 100 events."""
+    e = t(spark, d, "events")
+    parts = a.rollup_parts(e, "event_type", ["event_id"], ["user_id"], 100, pk=F.col("value") >= 20, pd=F.col("value") < 5)
+    total = F.aggregate("items", F.lit(0).cast("long"), lambda s, x: s + x["event_id"])
+    return parts.groupBy("event_type", "n", "pk", "pd").agg(F.sum(F.size("items")).alias("nested"), F.sum(total).alias("ids"), (F.countDistinct("part") > 1).alias("several"), (F.max(F.size("items")) <= 100).alias("bounded"))
+
+
 @query(f"WITH {MEDICINES} SELECT (SELECT count(*) FROM lineitem) AS lines, (SELECT count(*) FROM lineitem WHERE l_partkey % 7 = 0) AS orphan_lines, (SELECT count(*) FROM medicines WHERE len(list_filter(refs, lambda x: x % 9 = 0)) > 0) AS orphan_medicines, (SELECT count(*) FROM medicines WHERE medicine_id % 5 = 0) AS missing, 0 AS wrong_type")
 def ag13_integrity_report(spark: SparkSession, d: str) -> DataFrame:
     line, med = t(spark, d, "lineitem"), medicines(spark, d)

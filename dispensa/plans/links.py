@@ -104,10 +104,7 @@ def jn12_resolve_pgx(spark: SparkSession, d: str) -> DataFrame:
     part = t(spark, d, "part")
     kb = part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id"), F.lower(first_word(F.col("p_name"))).alias("name"))
     items = part.select(F.col("p_partkey").alias("item"), F.lower("p_name").alias("value"))
-    exact = k.ranked_match(items, "item", [(F.col("value"), kb.select(F.col("name").alias("value"), "id"), False)])
-    # The knowledge base is matched by its distinct names, first ids only, against what is left.
-    rest = k.theta_rest(items, "item", "value", exact, kb.groupBy("name").agg(F.min("id").alias("id")), lambda v, n: F.contains(v, n))
-    return exact.join(rest, "item", "left").select("item", F.coalesce("match", "id").alias("match"))
+    return k.inside_match(items, "item", "value", kb)
 
 
 @query("""WITH dim AS (SELECT p_partkey AS id, upper(p_type || ' ' || p_size) AS key, [upper(p_name), upper(split_part(p_name, ' ', 1)) || p_size] AS inns FROM part WHERE p_partkey % 2 = 0), inn AS (SELECT DISTINCT id, unnest(inns) AS name FROM dim),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources import tables, writers
 from ..streaming.jobs import work_dir
-from .registry import query
+from .registry import oracle_sql_of, query
 from .views import t
 
 
@@ -66,21 +66,23 @@ def src06_explode_packages(spark: SparkSession, d: str) -> DataFrame:
     return tables.explode_packages(records, "packaging", "code").select("o_orderkey", F.col("package.code").alias("package_code"), F.col("package.no").alias("package_no"))
 
 
+def _bracket(batches):
+    """The records of a task as the lines of one JSON array."""
+    lead = "["
+    for batch in batches:
+        for record in batch.column(0).to_pylist():
+            yield pa.RecordBatch.from_pydict({"value": [lead + record]})
+            lead = ","
+    yield pa.RecordBatch.from_pydict({"value": ["[]" if lead == "[" else "]"]})
+
+
 @query("SELECT c_custkey AS id, c_name AS name, c_nationkey AS nation FROM customer")
 def src07_import_json_array(spark: SparkSession, d: str) -> DataFrame:
     """Customers are landed as JSON arrays with exported object ids, an array for each task, then imported."""
     c = t(spark, d, "customer").select(F.struct(F.lpad(F.hex("c_custkey"), 24, "0").alias("$oid")).alias("_id"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
 
-    def bracket(batches):
-        lead = "["
-        for batch in batches:
-            for record in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_pydict({"value": [lead + record]})
-                lead = ","
-        yield pa.RecordBatch.from_pydict({"value": ["[]" if lead == "[" else "]"]})
-
     path = work_dir(spark)
-    c.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(bracket, "value string").write.text(path)
+    c.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(_bracket, "value string").write.text(path)
     return tables.import_json_array(spark, path)
 
 
@@ -98,6 +100,23 @@ def src08_import_envelopes(spark: SparkSession, d: str) -> DataFrame:
     return tables.import_envelopes(c, "status", "data", "url", "version").select("url", "schema_version", F.col("data.body").alias("body"))
 
 
+@query("""SELECT 'meta/' || conv_id || '/' || turn AS url, CASE WHEN turn % 4 = 1 THEN 'own/' ELSE 'meta/' END || conv_id || '/' || turn AS own_url, CASE turn % 3 WHEN 0 THEN '2' WHEN 1 THEN '3' ELSE 'v4' END AS schema_version, CASE WHEN turn % 2 = 0 THEN '{"n":' || turn || '}' ELSE '{}' END AS source, text AS body FROM conversations WHERE role = 'user' AND text IS NOT NULL AND turn % 5 <> 4""")
+def src08_import_envelope_files(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations are landed as files of envelopes whose members are of mixed types: some failed, some have data that is no object, some have no address."""
+    turn, no = F.col("turn"), F.concat_ws("/", "conv_id", "turn")
+    text = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")  # noqa: E731  as JSON
+    own = F.when(turn % 4 == 1, F.concat(F.lit('"url": '), text(F.concat(F.lit("own/"), no)), F.lit(", "))).otherwise(F.lit('"url": "", '))
+    meta = F.when(turn % 5 == 4, F.lit('"metadata": "none"')).otherwise(F.concat(F.lit('"metadata": {"url": '), text(F.concat(F.lit("meta/"), no)), F.lit("}")))
+    version = F.when(turn % 3 == 1, F.lit(', "schema_version": 3')).when(turn % 3 == 2, F.lit(', "schema_version": "v4"')).otherwise(F.lit(""))
+    source = F.when(turn % 2 == 0, F.concat(F.lit(', "source": {"n": '), turn.cast("string"), F.lit("}"))).otherwise(F.lit(', "source": [1]'))
+    data = F.when(F.col("text").isNull(), F.lit("7")).otherwise(F.concat(F.lit("{"), own, meta, version, source, F.lit(', "body": '), text(F.col("text")), F.lit("}")))
+    status = F.when(F.col("role") == "user", F.lit('"success"')).otherwise(F.lit("false"))
+    path = work_dir(spark)
+    t(spark, d, "conversations").select(F.concat(F.lit('{"status": '), status, F.lit(', "data": '), data, F.lit("}")).alias("value")).mapInArrow(_bracket, "value string").write.text(path)
+    found = tables.import_envelope_files(spark, f"{path}/*.txt")
+    return found.select("url", "own_url", "schema_version", "source", F.expr("variant_get(data, '$.body', 'string')").alias("body"))
+
+
 _UPDATES = "updates AS (SELECT o_custkey + 0 AS id, max(o_orderkey) AS seg FROM orders WHERE o_custkey % 3 = 0 GROUP BY o_custkey UNION ALL SELECT 1000000 + n_nationkey, n_nationkey FROM nation)"
 
 
@@ -174,3 +193,26 @@ def snk10_upsert_guarded(spark: SparkSession, d: str) -> DataFrame:
     old = o.select("o_orderkey", F.lit("old").alias("result"), (F.col("o_orderstatus") == "F").alias("ok"))
     new = o.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit("new").alias("result"), (F.col("o_orderkey") % 2 == 0).alias("ok"))
     return writers.upsert_guarded(old, new, "o_orderkey", "result", "ok")
+
+
+@query(oracle_sql_of("snk01_upsert"))
+def snk01_upsert_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """The same on a table in place, of which only touched partitions are read and replaced."""
+    c, u = _customer_updates(spark, d)
+    table = writers.PartitionedTable(spark, work_dir(spark), ["id"], 16)
+    table.create(c.drop("created"))
+    table.upsert(u.drop("created"))
+    return table.read()
+
+
+@query(oracle_sql_of("snk06_replace_keys"))
+def snk06_replace_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """The same on a table in place, of which only touched partitions are read and replaced."""
+    from ..operators.windows import number_parts
+
+    line = t(spark, d, "lineitem")
+    new = number_parts(line.where("l_orderkey % 10 = 0 and l_quantity > 20"), ["l_orderkey"], ["l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"], "no", 1)
+    table = writers.PartitionedTable(spark, work_dir(spark), ["l_orderkey"], 16)
+    table.create(line.select("l_orderkey", "l_partkey", F.col("l_linenumber").alias("no")))
+    table.replace_keys(new.select("l_orderkey", "l_partkey", F.col("no").cast(line.schema["l_linenumber"].dataType).alias("no")))
+    return table.read()

@@ -155,6 +155,15 @@ def json01_safe_get(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").select("event_id", v.safe_get(F.col("props"), "k", "none").alias("k"), v.safe_get(F.col("props"), "a.b", "none").alias("missing"))
 
 
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN json_extract(props, '$.k')::BIGINT WHEN 1 THEN json_extract(props, '$.k')::BIGINT WHEN 5 THEN 1 ELSE -1 END AS k, CASE event_id % 6 WHEN 3 THEN user_id ELSE 0 END AS deep, event_id % 6 <> 4 AS parsed FROM events""")
+def json01_variant_get(spark: SparkSession, d: str) -> DataFrame:
+    """Properties whose k is a number, a text of one, a text of none, an object, or true; one in six is no JSON."""
+    kind, k, user = F.col("event_id") % 6, F.get_json_object("props", "$.k"), F.col("user_id").cast("string")
+    mixed = F.when(kind == 1, F.concat(F.lit('{"k": "'), k, F.lit('"}'))).when(kind == 2, F.lit('{"k": "many"}')).when(kind == 3, F.concat(F.lit('{"k": {"n": ['), user, F.lit("]}}"))).when(kind == 4, F.substring("props", 1, 4)).when(kind == 5, F.lit('{"k": true}')).otherwise(F.col("props"))
+    p = t(spark, d, "events").select("event_id", F.try_parse_json(mixed).alias("p"))
+    return p.select("event_id", v.variant_get(F.col("p"), "k", "bigint", -1).alias("k"), v.variant_get(F.col("p"), "k.n[0]", "bigint", 0).alias("deep"), F.col("p").isNotNull().alias("parsed"))
+
+
 @query("SELECT l_orderkey, 1 AS level, '/' || i AS path, 'h' || l_partkey AS heading FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i FROM lineitem) UNION ALL SELECT l_orderkey, 2, '/' || i || '/0', 's' || l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i FROM lineitem)")
 def json02_walk_sections(spark: SparkSession, d: str) -> DataFrame:
     inner = F.array(F.struct(F.concat(F.lit("s"), "l_suppkey").alias("TOCHeading")))

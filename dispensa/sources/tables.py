@@ -73,6 +73,33 @@ def import_envelopes(df: DataFrame, status: str, data: str, url: str, version: s
     return df.where((F.col(status) == "success") & F.col(data).isNotNull()).select(F.col(url).alias("url"), F.coalesce(F.col(version), F.lit(2)).alias("schema_version"), F.col(data).alias("data"))
 
 
+def is_object(v: Column) -> Column:
+    """Whether a variant is a JSON object."""
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+
+def import_envelope_files(spark: SparkSession, glob: str) -> DataFrame:
+    """(url, own_url, schema_version, source, data) from files of JSON envelopes, an array or a single one for each file, whatever the types of their members.
+
+    Only objects whose status is ``success``, whose data is an object, and whose metadata has an address count; that is the key. The data's own
+    address is the same unless given; the version is 2 unless given, as text; a source that is no object is an empty one; data stays a
+    variant. An address is a text that is not empty. Files that are not JSON give nothing. A file is held whole by one task.
+    """
+    files = spark.read.text(glob, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    get = lambda path, kind: F.expr(f"try_variant_get(e, '$.{path}', '{kind}')")
+    each = files.select(F.explode(F.coalesce(F.expr("try_variant_get(v, '$', 'array<variant>')"), F.array("v"))).alias("e")).where(is_object(F.col("e")))
+    own = each.where((get("status", "string") == "success") & is_object(get("data", "variant")))
+    text = lambda path: F.when(F.schema_of_variant(get(path, "variant")) == "STRING", F.nullif(get(path, "string"), F.lit("")))
+    source = get("data.source", "variant")
+    return own.where(text("data.metadata.url").isNotNull()).select(
+        text("data.metadata.url").alias("url"),
+        F.coalesce(text("data.url"), text("data.metadata.url")).alias("own_url"),
+        F.coalesce(get("data.schema_version", "string"), F.lit("2")).alias("schema_version"),
+        F.when(is_object(source), F.to_json(source)).otherwise(F.lit("{}")).alias("source"),
+        get("data", "variant").alias("data"),
+    )
+
+
 def import_json_array(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """JSON arrays of records, one array for each file; an exported object id is dropped. Without a schema the records are read twice, to find one."""
     df = spark.read.json(path, multiLine=True, schema=schema)

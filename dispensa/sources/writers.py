@@ -6,7 +6,7 @@ from collections.abc import Callable
 from datetime import UTC, datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,52 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], insert_only:
     return both.select(columns)
 
 
+class PartitionedTable:
+    """A Parquet table dealt by a hash of its keys to ``buckets`` partitions; a write reads and replaces only those that its rows fall in.
+
+    The files of all other partitions stay as they are. Each partition is replaced as a whole when the job commits, not all at one moment;
+    a write that failed can be run again. Writes of one table must not overlap. Null keys have a bucket too.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, keys: list[str], buckets: int = 64):
+        self.spark, self.folder, self.keys, self.buckets = spark, folder, keys, buckets
+
+    def _placed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+
+    def _write(self, df: DataFrame) -> None:
+        # A full bucket is split over tasks, small ones share a task.
+        placed = self._placed(df).hint("rebalance", "bucket")
+        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.folder)
+
+    def create(self, df: DataFrame) -> None:
+        self._write(df)
+
+    def _rows(self) -> DataFrame:
+        return self.spark.read.parquet(self.folder)
+
+    def read(self) -> DataFrame:
+        return self._rows().drop("bucket")
+
+    def touched(self, rows: DataFrame) -> list[int]:
+        """The partitions that rows fall in: at most ``buckets`` numbers."""
+        return sorted(r.bucket for r in self._placed(rows).select("bucket").distinct().collect())
+
+    def _rewrite(self, rows: DataFrame, change: Callable[[DataFrame], DataFrame]) -> list[int]:
+        hit = self.touched(rows)
+        if hit:
+            self._write(change(self._rows().where(F.col("bucket").isin(hit)).drop("bucket")))
+        return hit
+
+    def upsert(self, updates: DataFrame, insert_only: tuple[str, ...] = ()) -> list[int]:
+        """The rule of ``upsert`` on the table; the partitions it replaced. Updates have no columns that the table lacks."""
+        return self._rewrite(updates, lambda old: upsert(old, updates, self.keys, insert_only))
+
+    def replace_keys(self, new: DataFrame) -> list[int]:
+        """The rule of ``replace_keys`` on the table, whose key is one column; the partitions it replaced."""
+        return self._rewrite(new, lambda old: replace_keys(old, new, self.keys[0]))
+
+
 def upsert_guarded(target: DataFrame, new: DataFrame, key: str, value: str, ok: str) -> DataFrame:
     """Take the new result unless the old one was good and the new one is not."""
     n = new.select(F.col(key), F.col(value).alias("__v"), F.col(ok).alias("__ok"))
