@@ -379,22 +379,127 @@ def html_monograph(pages: DataFrame, key: str, html: str) -> DataFrame:
     return r.select(key, "rubric", "row", F.transform(F.regexp_extract_all("r", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), strip_tags).alias("cells"))
 
 
-# The marks of a contraindication table, in its markup's language.
-MONO = "table_mono"
+CELL = pa.struct([("text", pa.string()), ("bold", pa.string()), ("items", pa.list_(pa.string())), ("listed", pa.list_(pa.string()))])
+TABLE_ROWS = [("pos", pa.int32()), ("row", pa.int32()), ("classes", pa.list_(pa.string())), ("marked", pa.bool_()), ("note", pa.string()), ("whole", pa.string()), ("cells", pa.list_(CELL))]
+
+
+class _Text:
+    """An element whose text is gathered while it is open, with the parts of it that are told apart."""
+
+    def __init__(self, tag: str):
+        self.tag, self.words, self.parts = tag, [], []
+
+    def text(self) -> str:
+        return " ".join(" ".join(self.words).split())
+
+    def of(self, tag: str) -> list[str]:
+        return [p.text() for p in self.parts if p.tag == tag]
+
+
+class _Tables(HTMLParser):
+    """The rows of all tables of a page. What is inside a nested table is inside the tables around it, too: its rows are theirs, and its cells those of their row."""
+
+    def __init__(self, marker: str):
+        super().__init__(convert_charrefs=True)
+        self.marker, self.marked, self.tables, self.open = marker, False, [], []
+
+    def handle_starttag(self, tag, attrs):
+        names = (dict(attrs).get("class") or "").split()
+        if tag == "table":
+            table = {"pos": len(self.tables), "classes": names, "marked": self.marked, "whole": _Text("table"), "rows": [], "note": None}
+            self.tables.append(table)
+            self.open.append((tag, table["whole"], table))
+            return
+        if tag in ("tr", "td", "th"):  # ends those of the innermost table that are open
+            self.shut(("td", "th") if tag != "tr" else ("tr", "td", "th"))
+        if tag not in ("tr", "td", "th", "b", "li", "ul", "div"):
+            return
+        own = _Text(tag)
+        tables = [t for _, _, t in self.open if t is not None]
+        if tag == "tr":
+            for t in tables:
+                t["rows"].append((own, []))
+        elif tag == "td":
+            rows = [e for name, e, _ in self.open if name == "tr"]
+            for t in tables:
+                for row, cells in t["rows"]:
+                    if any(row is r for r in rows):
+                        cells.append(own)
+        elif tag == "div" and "text" in names:
+            for t in tables:
+                t["note"] = t["note"] or own
+        for _, e, _ in self.open:
+            e.parts.append(own)
+        self.open.append((tag, own, None))
+
+    def shut(self, tags) -> None:
+        """Close the innermost table's open elements down from the outermost of these tags."""
+        base = max((k for k, x in enumerate(self.open) if x[0] == "table"), default=-1)
+        first = next((k for k in range(base + 1, len(self.open)) if self.open[k][0] in tags), None)
+        if first is not None:
+            del self.open[first:]
+
+    def handle_endtag(self, tag):
+        if tag == "table":
+            at = max((k for k, x in enumerate(self.open) if x[0] == "table"), default=None)
+        else:
+            base = max((k for k, x in enumerate(self.open) if x[0] == "table"), default=-1)
+            at = max((k for k in range(base + 1, len(self.open)) if self.open[k][0] == tag), default=None)
+        if at is not None:
+            del self.open[at:]
+
+    def handle_data(self, data):
+        self.marked |= bool(self.marker) and self.marker in data
+        for _, e, _ in self.open:
+            e.words.append(data)
+
+    def found(self) -> list[dict]:
+        def cell(e: _Text) -> dict:
+            items = [x for x in e.of("li") if x] if e.of("li") else [x for x in [e.text()] if x]
+            lists = [p for p in e.parts if p.tag == "ul"]
+            return {"text": e.text(), "bold": next(iter(e.of("b")), None), "items": items, "listed": [x for x in lists[0].of("li") if x] if lists else []}
+
+        return [{"pos": t["pos"], "row": k, "classes": t["classes"], "marked": t["marked"], "note": t["note"].text() if t["note"] else None, "whole": t["whole"].text(), "cells": [cell(c) for c in cells]} for t in self.tables for k, (_, cells) in enumerate(t["rows"] or [(None, [])])]
+
+
+def table_rows(pages: DataFrame, key: str, html: str, marker: str = "") -> DataFrame:
+    """(key, pos, row, classes, marked, note, whole, cells): the rows of each table of a page, tables numbered in order, nested ones too.
+
+    A cell has its text, its first bold text (null without one), its list items (its own text without a list) and the items of its first list. marked: whether the
+    text ``marker`` is anywhere before the table; note: the text of the table's first block of class ``text``; whole: all of its text. Rows and cells of
+    nested tables are also those of the tables around them. A table without rows has one without cells. Null and empty pages give none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, out = [], []
+            for page, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                parser = _Tables(marker)
+                parser.feed(text or "")
+                parser.close()
+                rows = parser.found()
+                out += rows
+                keys += [page.as_py()] * len(rows)
+            columns = [pa.array([r[name] for r in out], kind) for name, kind in TABLE_ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), *columns], names=[key, *(name for name, _ in TABLE_ROWS)])
+
+    kind = pages.schema[key].dataType.simpleString()
+    cells = "array<struct<text:string,bold:string,items:array<string>,listed:array<string>>>"
+    return pages.select(key, html).mapInArrow(run, f"{key} {kind}, pos int, row int, classes array<string>, marked boolean, note string, whole string, cells {cells}")
+
+
+# The marks of a contraindication page, in its markup's language.
+MONO, COMMENTS = "table_mono", "Commentaires du RCP"
 TERRAIN = r"(?i)Terrain\s*N[°o]\s*(\d+)"
 LEVEL, REFERENCE, CODES, UNCONCERNED = "niveau", "référence|reference", "cim", "non concern"
 CODE = r"\b([A-Z][0-9]{2,3}[0-9A-Z]?)\b"
 
 
-def _flat(c: Column) -> Column:
-    """Text of markup on one line; what tags part stays apart."""
-    return F.trim(F.regexp_replace(strip_tags(F.regexp_replace(c, r"<[^>]*>", " ")), r"\s+", " "))
-
-
-def _items(c: Column) -> Column:
-    """Texts of a cell's list items, without a list its own text; blank ones go."""
-    points = F.regexp_extract_all(c, F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), F.lit(1))
-    return F.filter(F.transform(F.when(F.size(points) > 0, points).otherwise(F.array(c)), _flat), lambda x: x != "")
+def _mono(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, pos, marked, note, whole, rows): the cells of each row of the tables of the monograph's class, in order; a page's markup bounds them."""
+    rows = table_rows(pages, key, html, COMMENTS).where(F.array_contains("classes", MONO))
+    one = rows.groupBy(key, "pos").agg(F.first("marked").alias("marked"), F.first("note").alias("note"), F.first("whole").alias("whole"), F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("rows"))
+    return one.withColumn("rows", F.transform("rows", lambda r: r["cells"]))
 
 
 def contraindications(pages: DataFrame, key: str, html: str) -> DataFrame:
@@ -402,74 +507,40 @@ def contraindications(pages: DataFrame, key: str, html: str) -> DataFrame:
 
     Heading: the first bold text of the second cell, else all of it; details: the items of its first list. Further rows
     are told by their first cell, the last of a kind counts. A code is the last one in an item, else the item; items that
-    say that nothing is concerned give none; each code stays once, in order. A table ends at its first end tag, or where another begins; ``pos``
+    say that nothing is concerned give none; each code stays once, in order. Rows of nested tables count as the table's; ``pos``
     counts all tables of the page. Null and empty pages give no rows; lists that are not there are empty.
     """
-    parts = F.slice(F.split(html, r"(?i)<table\b"), 2, 1 << 30)
-    tables = pages.select(key, F.posexplode(parts).alias("pos", "b")).where(F.regexp_extract("b", r"^[^>]*", 0).rlike(rf'(?i)\bclass="[^"]*\b{MONO}\b'))
-    cells = lambda r: F.regexp_extract_all(r, F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1))
-    rows = F.transform(F.regexp_extract_all(F.substring_index("b", "</table", 1), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1)), cells)
-    split = tables.select(key, "pos", F.get(rows, F.lit(0)).alias("first"), F.filter(F.slice(rows, 2, 1 << 30), lambda r: F.size(r) > 1).alias("more"))
-    known = split.withColumn("no", F.regexp_extract(_flat(F.get("first", F.lit(0))), TERRAIN, 1)).where("no <> ''")
-    right = F.coalesce(F.get("first", F.lit(1)), F.lit(""))
-    bold = F.regexp_extract_all(right, F.lit(r"(?is)<b\b[^>]*>(.*?)</b>"), F.lit(1))
-    label = lambda r: F.lower(_flat(r[0]))
+    split = _mono(pages, key, html).select(key, "pos", F.get("rows", F.lit(0)).alias("first"), F.filter(F.slice("rows", 2, 1 << 30), lambda r: F.size(r) > 1).alias("more"))
+    known = split.withColumn("no", F.regexp_extract(F.get("first", F.lit(0))["text"], TERRAIN, 1)).where("no <> ''")
+    right = F.get("first", F.lit(1))
+    none = F.array().cast("array<string>")
+    label = lambda r: F.lower(r[0]["text"])
 
     def told(test, without=()) -> Column:
         """Items of the last row whose label has the mark, and no earlier one."""
         own = F.filter("more", lambda r: label(r).rlike(test) & ~(label(r).rlike("|".join(without)) if without else F.lit(False)))
-        return F.when(F.size(own) > 0, _items(F.element_at(own, -1)[1])).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(own) > 0, F.element_at(own, -1)[1]["items"]).otherwise(none)
 
-    listed = F.regexp_extract(right, r"(?is)<ul\b[^>]*>(.*?)</ul>", 1)
     code = lambda x: F.coalesce(F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(x, F.lit(CODE), F.lit(1))), -1), x)
     return known.select(
         key,
         "pos",
         F.col("no").cast("long").alias("no"),
-        _flat(F.coalesce(F.get(bold, F.lit(0)), right)).alias("heading"),
-        F.when(listed.rlike(r"(?i)<li\b"), _items(listed)).otherwise(F.array().cast("array<string>")).alias("details"),
+        F.coalesce(right["bold"], right["text"], F.lit("")).alias("heading"),
+        F.coalesce(right["listed"], none).alias("details"),
         told(LEVEL).alias("level"),
         told(REFERENCE, (LEVEL,)).alias("references"),
         F.array_distinct(F.transform(F.filter(told(CODES, (LEVEL, REFERENCE)), lambda x: ~F.lower(x).contains(UNCONCERNED)), code)).alias("codes"),
     )
 
 
-def topic_text(sections: Column, main: str, sub: str, label: str) -> Column:
-    """Text of a labelled part of a sub-section, else all of it; null without the sub-section."""
-    level = lambda arr, code: F.get(F.filter(arr, lambda s: F.startswith(s["title"], F.lit(code))), F.lit(0))
-    part = level(level(sections, main)["subsections"], sub)
-    texts = F.transform(part["content"], lambda c: c["text"])
-    own = F.filter(texts, lambda x: F.startswith(F.lower(x), F.lit(label.lower())))
-    return F.array_join(F.when(F.size(own) > 0, own).otherwise(texts), "\n")
+def contraindication_notes(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, comments, reference) of every page: the text of the first table of the monograph's class after the words that announce the comments, and its official reference.
 
-
-def index_text(*parts: Column) -> Column:
-    """Texts and arrays of texts as one text for search."""
-    return F.concat_ws(" ", *parts)
-
-
-def context_text(texts: Column, each: int = 300, most: int = 5000, marker: str = "[...]") -> Column:
-    """The first text that is not blank, cut to ``each``, of every hit (an array of arrays), together cut to ``most``."""
-    first = F.transform(texts, lambda t: F.substring(F.get(F.filter(t, lambda x: F.trim(x) != ""), F.lit(0)), 1, each))
-    whole = F.array_join(F.array_compact(first), "\n")
-    return F.when(F.length(whole) > most, F.concat(F.substring(whole, 1, most), F.lit(marker))).otherwise(whole)
-
-
-def crawl_diff(old: DataFrame, new: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, change): new, changed, same or gone, by content hash."""
-    a, b = (df.select(key, F.md5(text).alias(n)) for df, n in ((old, "a"), (new, "b")))
-    state = F.when(F.col("a").isNull(), "new").when(F.col("b").isNull(), "gone").when(F.col("a") == F.col("b"), "same").otherwise("changed")
-    return a.join(b, key, "full_outer").select(key, state.alias("change"))
-
-
-def purge_errors(df: DataFrame, column: str, pattern: str) -> DataFrame:
-    """The column is null where it holds an error marker; ``purged`` says where."""
-    bad = F.coalesce(F.col(column).rlike(pattern), F.lit(False))
-    return df.withColumn("purged", bad).withColumn(column, F.when(~F.col("purged"), F.col(column)))
-
-
-def document_record(docs: DataFrame, key: str, text: str, title: str, sections: DataFrame) -> DataFrame:
-    """One record per document: sections, title if there is one, search text, hash, status."""
-    lists = sections.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("code", F.length("text").alias("n")))).alias("sections"))
-    status = F.when(F.col("sections").isNull(), "no section found").otherwise("ok")
-    return docs.join(lists, key, "left").select(key, F.nullif(F.trim(F.col(title)), F.lit("")).alias("title"), "sections", F.lower(text).alias("search_text"), F.sha2(text, 256).alias("sha256"), status.alias("status"))
+    The text is that of the table's block of class ``text``, else all of it. The reference is the first item beside the first label that names
+    one; both are empty where there is none.
+    """
+    after = _mono(pages, key, html).where("marked").groupBy(key).agg(F.min_by(F.struct("note", "whole", "rows"), "pos").alias("t"))
+    labelled = F.filter("t.rows", lambda r: (F.size(r) > 1) & F.lower(r[0]["text"]).contains("référence"))
+    found = after.select(key, F.coalesce("t.note", "t.whole").alias("comments"), F.get(F.get(labelled, F.lit(0))[1]["items"], F.lit(0)).alias("reference"))
+    return pages.select(key).join(found, key, "left").na.fill("", ["comments", "reference"])

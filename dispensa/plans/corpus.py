@@ -203,6 +203,16 @@ def doc07_contraindications(spark: SparkSession, d: str) -> DataFrame:
     return found.select("page_id", "pos", "no", "heading", *[F.array_join(x, "|").alias(x) for x in ("details", "level", "references", "codes")])
 
 
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'See ' || url || ' inner 7' WHEN 1 THEN 'Note Référence(s) officielle(s) Label ' || page_id ELSE '' END AS comments, CASE page_id % 3 WHEN 0 THEN 'R' || page_id WHEN 1 THEN 'Label ' || page_id ELSE '' END AS reference FROM pages")
+def doc07_contraindication_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Pages end in a comment block: one with a block of text that holds a nested table, one without, or one of another class."""
+    k = F.col("page_id")
+    block = F.concat(F.lit('<b>Commentaires du RCP</b><table><tr><td>other</td></tr></table><table class="wide table_mono"><tr><td colspan=2><div class="text">See '), "url", F.lit('<table class="in"><tr><td>inner</td><td>7</td></tr></table></div></td></tr><tr><td>Référence officielle</td><td><ul><li> </li><li>R'), k, F.lit("</li><li>no</li></ul></td></tr></table>"))
+    bare = F.concat(F.lit('<p>Commentaires du RCP</p><table class="table_mono"><tr><td>Note<tr><td>Référence(s) <i>officielle(s)</i><td>Label '), k, F.lit("</table>"))
+    html = F.concat("html", F.lit('<table class="table_mono"><tr><td>Référence</td><td>before</td></tr></table>'), F.when(k % 3 == 0, block).when(k % 3 == 1, bare).otherwise(F.lit("<b>Commentaires du RCP</b><table><tr><td>Référence</td><td>x</td></tr></table>")))
+    return c.contraindication_notes(t(spark, d, "pages").withColumn("html", html), "page_id", "html")
+
+
 @query("""SELECT doc_id, md5(array_to_string(CASE WHEN len(list_filter(l, lambda x: starts_with(lower(x), 'th'))) > 0 THEN list_filter(l, lambda x: starts_with(lower(x), 'th')) ELSE l END, chr(10))) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""")
 def doc08_topic_text_lines(spark: SparkSession, d: str) -> DataFrame:
     content = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("text")))

@@ -110,3 +110,26 @@ def test_contraindications(spark):
         (1, 4, 4, "bare", [], [], [], []),
     ]
     assert corpus.contraindications(pages.where("id > 4"), "id", "html").count() == 0
+
+
+NESTED = """<p>Commentaires du RCP are below</p><table class="table_mono"><tr><td>Terrain No 3</td><td>plain <b>BOLD</b><ul><li>one</li><li> </li></ul></td></tr>
+<tr><td>Niveau</td><td>outer<table><tr><td>Code CIM</td><td>K90 &amp; <ul><li>T784</li></ul></td></tr></table></td></tr><tr><td>Référence</td></tr></table>
+<table><tr><td>Terrain No 4</td><td>x</td></tr></table><table class="table_mono"></table>"""
+
+
+def test_nested_tables_are_rows_of_the_outer_one(spark):
+    pages = spark.createDataFrame([(1, NESTED), (2, None), (3, "<table><tr><td>open")], "id long, html string")
+    rows = corpus.table_rows(pages, "id", "html", "Commentaires").orderBy("id", "pos", "row").collect()
+    assert [(r.id, r.pos, r["row"], [x.text for x in r.cells]) for r in rows] == [
+        (1, 0, 0, ["Terrain No 3", "plain BOLD one"]), (1, 0, 1, ["Niveau", "outer Code CIM K90 & T784", "Code CIM", "K90 & T784"]), (1, 0, 2, ["Code CIM", "K90 & T784"]), (1, 0, 3, ["Référence"]),
+        (1, 1, 0, ["Code CIM", "K90 & T784"]), (1, 2, 0, ["Terrain No 4", "x"]), (1, 3, 0, []), (3, 0, 0, ["open"]),
+    ]
+    assert all(r.marked == (r.id == 1) for r in rows)
+    assert [tuple(r) for r in corpus.contraindications(pages, "id", "html").collect()] == [(1, 0, 3, "BOLD", ["one"], ["T784"], [], ["T784"])]
+
+
+def test_contraindication_notes(spark):
+    block = '<table class="table_mono"><tr><td>1</td></tr></table><b>Commentaires du RCP</b><table><tr><td>no</td></tr></table><table class="table_mono"><tr><td>{}</td></tr><tr><td>La Référence</td><td>{}</td></tr></table>'
+    cases = [(1, block.format('<div class="a text">the <b>note</b></div>', "<ul><li>first</li><li>second</li></ul>")), (2, block.format("all of it", "")), (3, block.split("<b>")[0]), (4, None), (5, "")]
+    got = corpus.contraindication_notes(spark.createDataFrame(cases, "id long, html string"), "id", "html").orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, "the note", "first"), (2, "all of it La Référence", ""), (3, "", ""), (4, "", ""), (5, "", "")]
