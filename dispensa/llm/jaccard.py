@@ -490,9 +490,10 @@ def near_duplicates(docs: DataFrame, doc_id: str | Column = "doc_id", text: str
     links = _linked(own, _likely(direct, sketches, percent), width, percent)
     label = components(links)
     more = _linked(own, _across(pairs, label, sketches, percent, max(8, pairs.count() // 20_000)), width, percent)
-    # Rows of one batch with equal sets hang on one of them; a shared id ties its rows together even if their sets differ.
-    ties = more.unionByName(members.where("x <> y").select("x", "y"))
+    # A row has the component of the row that stands for its set; only a shared id whose rows have several sets ties more together.
+    several = members.groupBy("x").agg(F.min("y").alias("p"), F.max("y").alias("q")).where("p <> q").select("x")
+    ties = more.unionByName(materialise(members.join(several, "x", "left_semi").select("x", "y").where("x <> y")))
     if ties.limit(1).count():
         label = components(label.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(ties))
-    out = members.join(label, members["x"] == label["node"], "left")
-    return out.select(F.nullif("x", F.lit(LAST)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "x"), F.lit(LAST)).alias("component_id"))
+    out = members.join(label, members["y"] == label["node"], "left")
+    return out.select(F.nullif("x", F.lit(LAST)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "y"), F.lit(LAST)).alias("component_id"))
