@@ -228,14 +228,16 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ind
     Lines are split at newlines (a null or empty text is one empty line). A key is the line without
     blanks at its ends and with A-Z lower-cased; shorter keys than LEAST code points never go. A
     null doc_id ranks last; rows that share a doc_id are one document, so none takes the other's
-    lines. All other columns pass through. A hot line is aggregated before it is shuffled, and
+    lines. All other columns pass through, whatever their names; counts of an earlier run give way to the new ones. A hot line is aggregated before it is shuffled, and
     its rows in the exact join can be split. An empty table gives an empty one.
     """
+    docs = docs.drop(*{"__n_lines", "__n_dropped"} - {doc_id, text})
     lines = materialise(postings(docs, doc_id, text))
     if index is None:
         index = LineIndex.build(lines, unique=True)
-    drops = index.dropped(lines).select(F.col("doc_id").alias("__id"), F.col("keys").alias("__keys"))
-    joined = docs.join(drops, F.coalesce(docs[doc_id].cast("long"), F.lit(LAST)) == drops["__id"], "left").drop("__id")
+    own, keys = (name + "_" * max(map(len, docs.columns)) for name in ("id", "keys"))  # longer than all names of docs
+    drops = index.dropped(lines).select(F.col("doc_id").alias(own), F.col("keys").alias(keys))
+    joined = docs.join(drops, F.coalesce(docs[doc_id].cast("long"), F.lit(LAST)) == drops[own], "left").drop(own)
     schema = StructType([*docs.schema.fields, StructField("__n_lines", LongType()), StructField("__n_dropped", LongType())])
     at = docs.columns.index(text)
 

@@ -104,3 +104,13 @@ def test_token_counts_keep_columns_of_any_name(spark):
     assert got.columns == ["__text", "doc_id", "c1", "n_bytes", "n_tokens", "over_limit"]
     assert key(map(tuple, got.select(plain.columns).collect())) == key(map(tuple, plain.collect()))
     assert {(r["__text"], r["c1"]) for r in got.collect()} == {(7, 7)}
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    from dispensa.llm.line_dedup import dedup_lines
+
+    rows = [(1, "one long line\nx", 7, ["k"], 9), (2, "y\nONE long line ", 8, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id int, __keys array<string>, __n_lines int")
+    out = dedup_lines(docs)
+    assert out.columns == ["doc_id", "text", "__id", "__keys", "__n_lines", "__n_dropped"]
+    assert sorted(map(tuple, out.collect())) == [(1, "one long line\nx", 7, ["k"], 2, 0), (2, "y", 8, None, 2, 1)]
