@@ -235,6 +235,9 @@ def ttl_generations(df: DataFrame, key: str, seconds: Column, ttl: int = 600) ->
     return df.select(key).distinct().withColumnRenamed(key, "__k").join(made, F.col("__k").eqNullSafe(F.col(key)), "left").select(F.col("__k").alias(key), F.coalesce("generations", F.array().cast("array<bigint>")).alias("generations"))
 
 
+SHIFT = 1 << 33  # seconds that event times are put off, as a stream's first watermark is 1970 and would drop what is before it
+
+
 class Generations(StatefulProcessor):
     """Keeps when a key's result was made, until it is ``ttl`` seconds old.
 
@@ -261,8 +264,8 @@ class Generations(StatefulProcessor):
             self.last.update((int(made[-1]),))
             if not self.live:
                 if last is not None:
-                    self.handle.deleteTimer((last + self.ttl) * 1000)
-                self.handle.registerTimer((int(made[-1]) + self.ttl) * 1000)
+                    self.handle.deleteTimer((last + self.ttl + SHIFT) * 1000)
+                self.handle.registerTimer((int(made[-1]) + self.ttl + SHIFT) * 1000)
         yield pd.DataFrame({self.key: [key[0]] * len(made), "made": made})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -279,7 +282,8 @@ def ttl_stream(stream: DataFrame, key: str, ts: str, ttl: int = 600, delay: str
     Events more than ``delay`` behind the newest of earlier micro-batches are dropped. With ``live`` a result's age is that of the
     clock on the wall, as a cache's in front of users, and each micro-batch is one request at most.
     """
-    own = stream.select(key, F.col(ts).cast("timestamp").alias("seen_at"), F.unix_timestamp(F.col(ts).cast("timestamp")).alias("seen_s"))
+    seconds = F.unix_timestamp(F.col(ts).cast("timestamp"))
+    own = stream.select(key, F.timestamp_seconds(seconds + SHIFT).alias("seen_at"), seconds.alias("seen_s"))
     own = own if live else own.withWatermark("seen_at", delay)
     return own.groupBy(key).transformWithStateInPandas(Generations(key, "seen_s", ttl, live), f"{_fields(own, key)}, made long", "Append", "ProcessingTime" if live else "EventTime")
 
