@@ -235,7 +235,7 @@ def ttl_generations(df: DataFrame, key: str, seconds: Column, ttl: int = 600) ->
     return df.select(key).distinct().withColumnRenamed(key, "__k").join(made, F.col("__k").eqNullSafe(F.col(key)), "left").select(F.col("__k").alias(key), F.coalesce("generations", F.array().cast("array<bigint>")).alias("generations"))
 
 
-SHIFT = 1 << 33  # seconds that event times are put off, as a stream's first watermark is 1970 and would drop what is before it
+SHIFT = 1 << 32  # seconds (136 years) that event times are put off, as the first watermark of a stream is 1970 and would drop what is before it; pandas ends in 2262
 
 
 class Generations(StatefulProcessor):
