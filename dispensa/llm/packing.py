@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import pickle
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import chunks, text_bytes, tidy
+from .pretokens import Vocabulary
 from .state import materialise
 from .token_counts import Library, is_byte_level, json_vocabulary
 
@@ -49,19 +53,32 @@ def best_fit(lengths: np.ndarray, capacity: int, max_docs: int, max_cost: float,
     return out
 
 
+def first_tier(spark: SparkSession, file: Broadcast) -> Vocabulary | None:
+    """The first tier of a .json tokenizer, None where that is not byte-level.
+
+    A task parses the file, so that the driver holds only the tables made from it: a few MB, as a tokenizer is of fixed size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [json_vocabulary(file.value) if is_byte_level(json.loads(file.value)) else None for _ in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(x) for x in made], pa.binary())], ["made"])
+
+    return pickle.loads(spark.range(0, 1, 1, 1).mapInArrow(run, "made binary").collect()[0]["made"])
+
+
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each row's ids and ``end_id``, cut from its end into pieces of ``capacity``."""
     with open(path) as f:
-        raw = f.read()
-    import json
-
-    if not is_byte_level(json.loads(raw)):
+        file = docs.sparkSession.sparkContext.broadcast(f.read())  # a tokenizer file: of fixed size
+    made = first_tier(docs.sparkSession, file)
+    if made is None:
         raise ValueError("packing takes byte-level .json tokenizers")
-    shared = docs.sparkSession.sparkContext.broadcast((raw, json_vocabulary(raw)))  # a tokenizer file: of fixed size
+    vocabulary = docs.sparkSession.sparkContext.broadcast(made)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = Library(*shared.value, False)
+        library = Library(file.value, vocabulary.value, False)
         for batch in batches:
             own = batch.column(0).to_pylist()
             buf, offsets = text_bytes(batch.column(1))
