@@ -177,18 +177,21 @@ def may_link(a: bytes, n: int, b: bytes, m: int, percent: int) -> bool:
 
 
 _FOUND = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
-MEMBER, PAIR, LACKING, HELD, LEAD = range(5)
+MEMBER, PAIR, LACKING, HELD, LEAD, TOLD = range(6)
 
 
 def candidates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame:
-    """(kind, x, y, n, sketch). MEMBER: row of document x has n shingles and the set of document y. PAIR: x and y share a subset
-    that one of them or a third asks with, x being the least such; n is 1 if y asks. LACKING: document x could not ask enough.
-    HELD: subsets that many sets of batch x share, in a blob. LEAD: y is the least document that holds subset n of batch x's."""
+    """(kind, x, y, n, sketch). MEMBER: row of document x has n shingles and the set of document y. LACKING: document x could not ask enough.
+    HELD: y subsets that many sets of batch x share, in a blob. TOLD: what a bucket tells batch x, in a blob: the least documents that hold
+    y of the subsets the batch kept, and n pairs of its documents with the least one that shares a subset that one of them or a third asks with.
+
+    Sets that are much alike share subsets in most buckets. So buckets answer batches, where all that a document shares comes together
+    and makes one row for each pair, however many buckets found it."""
     n, heavy = parts(docs), HEAVY
 
     @tidy
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.list_(pa.binary()))])
+        schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("tag", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.list_(pa.binary()))])
         for batch in (part for whole in batches for part in _slices(whole)):
             ids = batch.column(0).to_numpy()
             buf, offsets = text_bytes(batch.column(1))
@@ -209,7 +212,8 @@ def candidates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame
             lead = np.flatnonzero((keeper == np.arange(len(ids))) & (size > 0))
             v = values[expand(before[lead], size[lead])]
             sig, doc, asks, short = signatures(v, np.concatenate([[0], np.cumsum(size[lead])]), small)
-            rows = [(int(ids[0]) % n if len(ids) else 0, MEMBER, squeeze(pack(ids.astype(U), 8) + pack(ids[keeper].astype(U), 8) + pack(size.astype(U), 4)), squeeze(pack(ids[lead[short]].astype(U), 8)), [sketch(values[before[k] : before[k + 1]]) if keeper[k] == k and size[k] else None for k in range(len(ids))])]
+            tag = int(mix(np.array([ids.astype(U).sum() + U(len(ids))], U))[0] >> U(1))
+            rows = [(int(ids[0]) % n if len(ids) else 0, MEMBER, tag, squeeze(pack(ids.astype(U), 8) + pack(ids[keeper].astype(U), 8) + pack(size.astype(U), 4)), squeeze(pack(ids[lead[short]].astype(U), 8)), [sketch(values[before[k] : before[k + 1]]) if keeper[k] == k and size[k] else None for k in range(len(ids))])]
             bucket = bucket_of(sig, n)
             # A subset that many sets here share is one entry, of the least of them; the batch keeps the others until it is told the lead.
             _, back, count = np.unique(sig, return_inverse=True, return_counts=True)
@@ -220,13 +224,12 @@ def candidates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame
                 size_of = np.diff(np.append(first, len(many)))
                 least, ask = ids[lead[doc[many[first]]]], np.logical_or.reduceat(asks[many], first)
                 key = (bucket[many[first]].astype(U) << U(8 * SHORT)) | (sig[many[first]] & U((1 << 8 * SHORT) - 1))
-                tag = int(mix(np.array([ids.astype(U).sum() + U(len(ids))], U))[0] >> U(1))
-                rows.append((tag % n, HELD, squeeze(pack(key, 8) + pack(size_of.astype(U), 4) + pack(ids[lead[doc[many]]].astype(U), 8) + asks[many].tobytes()), pack(np.array([tag, len(key)], U), 8), None))
+                rows.append((tag % n, HELD, tag, squeeze(pack(key, 8) + pack(size_of.astype(U), 4) + pack(ids[lead[doc[many]]].astype(U), 8) + asks[many].tobytes()), pack(np.array([len(key)], U), 8), None))
                 hot = bucket[many[first]]
                 order = np.argsort(hot, kind="stable")
                 cut = runs(hot[order])
                 for at in np.split(order, cut[1:]):
-                    rows.append((int(hot[at[0]]), LEAD, squeeze(pack(key[at], 8) + pack(least[at].astype(U), 8) + ask[at].tobytes()), pack(np.array([tag, len(at)], U), 8), None))
+                    rows.append((int(hot[at[0]]), LEAD, tag, squeeze(pack(key[at], 8) + pack(least[at].astype(U), 8) + ask[at].tobytes()), pack(np.array([len(at)], U), 8), None))
                 rest = np.ones(len(sig), bool)
                 rest[many] = False
                 sig, doc, asks, bucket = sig[rest], doc[rest], asks[rest], bucket[rest]
@@ -237,28 +240,28 @@ def candidates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame
                 if len(at):
                     at = at[np.argsort(doc[at], kind="stable")]
                     own, count = np.unique(doc[at], return_counts=True)
-                    rows.append((k, PAIR, pack(sig[at], SHORT), squeeze(np.packbits(asks[at]).tobytes().ljust(-(-len(at) // 8)) + pack(ids[lead[own]].astype(U), 8) + pack(count.astype(U), 4)), None))
+                    rows.append((k, PAIR, tag, pack(sig[at], SHORT), squeeze(np.packbits(asks[at]).tobytes().ljust(-(-len(at) // 8)) + pack(ids[lead[own]].astype(U), 8) + pack(count.astype(U), 4)), None))
             yield from _rows(schema, rows).to_batches()
 
     @tidy
     def meet(table: pa.Table) -> pa.Table:
-        out, sigs, owners, asking, tags, keys = [], [], [], [], [], []
+        out, sigs, owners, asking, tags, kept, keys = [], [], [], [], [], [], []
         sketches: list = []
-        for kind, a, b, c in zip(*(table[c].to_pylist() for c in "kind a b c".split()), strict=True):
+        for kind, tag, a, b, c in zip(*(table[c].to_pylist() for c in "kind tag a b c".split()), strict=True):
             if kind == HELD:
-                tag, k = unpack(b, 8).tolist()
-                out.append((np.full(1, HELD), np.array([tag]), np.array([k]), np.zeros(1, np.int64)))
+                out.append((np.full(1, HELD), np.array([tag]), unpack(b, 8), np.zeros(1, np.int64)))
                 sketches.append(a)
                 continue
             if kind == LEAD:
-                tag, k = unpack(b, 8).tolist()
+                k = int(unpack(b, 8)[0])
                 a = unsqueeze(a)
                 key = unpack(a[: 8 * k], 8)
                 sigs.append(key & U((1 << 8 * SHORT) - 1))
                 owners.append(unpack(a[8 * k : 16 * k], 8).astype(np.int64))
                 asking.append(np.frombuffer(a[16 * k :], bool))
                 tags.append(np.full(k, tag, np.int64))
-                keys.append(key.astype(np.int64))
+                kept.append(np.ones(k, bool))
+                keys.append(key)
                 continue
             b = unsqueeze(b)
             if kind == MEMBER:
@@ -275,42 +278,52 @@ def candidates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame
             sigs.append(sig)
             owners.append(np.repeat(unpack(b[head : head + 8 * k], 8).astype(np.int64), unpack(b[head + 8 * k :], 4).astype(np.int64)))
             asking.append(np.unpackbits(np.frombuffer(b[:head], np.uint8), count=len(sig)).astype(bool))
-            tags.append(np.full(len(sig), -1, np.int64))
-            keys.append(np.zeros(len(sig), np.int64))
+            tags.append(np.full(len(sig), tag, np.int64))
+            kept.append(np.zeros(len(sig), bool))
+            keys.append(np.zeros(len(sig), U))
         if sigs:
-            sig, doc, asks, tag, key = (np.concatenate(x) for x in (sigs, owners, asking, tags, keys))
+            sig, doc, asks, tag, heavy, key = (np.concatenate(x) for x in (sigs, owners, asking, tags, kept, keys))
             order = np.lexsort((doc, sig))
-            sig, doc, asks, tag, key = sig[order], doc[order], asks[order], tag[order], key[order]
+            sig, doc, asks, tag, heavy, key = sig[order], doc[order], asks[order], tag[order], heavy[order], key[order]
             first = runs(sig)
             size = np.diff(np.append(first, len(sig)))
-            wanted = np.logical_or.reduceat(asks, first) & ((size > 1) | np.logical_or.reduceat(tag >= 0, first))
+            wanted = np.logical_or.reduceat(asks, first) & ((size > 1) | np.logical_or.reduceat(heavy, first))
             lead = np.repeat(doc[first], size)
-            told = np.flatnonzero(np.repeat(wanted, size) & (tag >= 0))
-            out.append((np.full(len(told), LEAD), tag[told], lead[told], key[told]))
-            sketches += [None] * len(told)
-            at = np.flatnonzero(np.repeat(wanted, size) & (lead != doc))
-            x, y, a = lead[at], doc[at], asks[at]
-            order = np.lexsort((y, x))
-            x, y, a = x[order], y[order], a[order]
-            new = np.union1d(runs(x), runs(y))
-            x, y, a = x[new], y[new], np.logical_or.reduceat(a, new) if len(new) else a
-            out.append((np.full(len(x), PAIR), x, y, a))
-            sketches += [None] * len(x)
+            at = np.flatnonzero(np.repeat(wanted, size) & (heavy | (lead != doc)))
+            at = at[np.lexsort((doc[at], lead[at], tag[at]))]
+            for own in np.split(at, runs(tag[at])[1:]) if len(at) else ():
+                held, own = own[heavy[own]], own[~heavy[own]]
+                x, y, a = _once(lead[own], doc[own], asks[own])
+                out.append((np.full(1, TOLD), tag[np.append(held, own)[:1]], np.array([len(held)]), np.array([len(x)])))
+                sketches.append(squeeze(pack(key[held], 8) + pack(lead[held].astype(U), 8) + pack(x.astype(U), 8) + pack(y.astype(U), 8) + a.tobytes()))
         columns = [pa.array(np.concatenate([np.asarray(r[c]).astype(np.int64) for r in out]), _FOUND.field(c).type) for c in range(4)]
         return pa.table([*columns, pa.array(sketches, pa.binary())], schema=_FOUND)
 
-    own = docs.select("doc_id", "text").mapInArrow(spread, "bucket int, kind int, a binary, b binary, c array<binary>")
+    own = docs.select("doc_id", "text").mapInArrow(spread, "bucket int, kind int, tag long, a binary, b binary, c array<binary>")
     return own.groupBy("bucket").applyInArrow(meet, "kind int, x long, y long, n long, sketch binary")
 
 
+def _once(x: np.ndarray, y: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of pairs in order, and whether any asks."""
+    new = np.union1d(runs(x), runs(y))
+    return x[new], y[new], np.logical_or.reduceat(asks, new) if len(new) else asks
+
+
 def _met(found: DataFrame) -> DataFrame:
     """(x, y, asks): the pairs of ``candidates``, those of subsets that batches kept to themselves included, and whether y asks with what they share."""
 
     @tidy
     def told(held: pa.Table, leads: pa.Table) -> pa.Table:
-        key, lead = leads["n"].to_numpy(), leads["y"].to_numpy()
+        keys, firsts, pairs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 3), np.int64)]
+        for k, m, blob in zip(*(leads[c].to_pylist() for c in "y n sketch".split()), strict=True):
+            blob = unsqueeze(blob)
+            key, lead, x, y = np.split(unpack(blob[: 16 * (k + m)], 8).astype(np.int64), [k, 2 * k, 2 * k + m])
+            keys.append(key)
+            firsts.append(lead)
+            pairs.append(np.stack([x, y, np.frombuffer(blob[16 * (k + m) :], bool)], 1))
+        key, lead = np.concatenate(keys), np.concatenate(firsts)
         order = np.argsort(key, kind="stable")
-        key, lead, pairs = key[order], lead[order], [np.zeros((0, 3), np.int64)]
+        key, lead = key[order], lead[order]
         for k, blob in zip(held["y"].to_pylist(), held["sketch"].to_pylist(), strict=True):
             blob = unsqueeze(blob)
             own, size = unpack(blob[: 8 * k], 8).astype(np.int64), unpack(blob[8 * k : 12 * k], 4).astype(np.int64)
@@ -322,11 +335,14 @@ def _met(found: DataFrame) -> DataFrame:
             x = np.repeat(lead[at] if len(key) else own, size)[some]
             pairs.append(np.unique(np.stack([x, docs[some], asks[some].astype(np.int64)], 1), axis=0))
         x, y, asks = np.concatenate(pairs).T
-        return pa.table({"x": pa.array(x[x != y], pa.int64()), "y": pa.array(y[x != y], pa.int64()), "asks": pa.array(asks[x != y], pa.int64())})
+        order = np.lexsort((y, x))
+        order = order[x[order] != y[order]]
+        x, y, asks = _once(x[order], y[order], asks[order] > 0)
+        return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64()), "asks": pa.array(asks, pa.bool_())})
 
     kind = lambda k: found.where(F.col("kind") == k).groupBy("x")
-    kept = kind(HELD).cogroup(kind(LEAD)).applyInArrow(told, "x long, y long, asks long")
-    return found.where(F.col("kind") == PAIR).select("x", "y", F.col("n").alias("asks")).union(kept).groupBy("x", "y").agg((F.max("asks") > 0).alias("asks"))
+    own = kind(HELD).cogroup(kind(TOLD)).applyInArrow(told, "x long, y long, asks boolean")
+    return own.groupBy("x", "y").agg(F.bool_or("asks").alias("asks"))  # rows that share a doc_id can lie in several batches
 
 
 def _alone(docs: DataFrame, lacking: DataFrame, width: int) -> DataFrame:

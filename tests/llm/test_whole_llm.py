@@ -9,7 +9,7 @@ import numpy as np
 sys.path.insert(0, os.path.dirname(__file__))
 
 import brute
-from dispensa.llm import batches, jaccard, packing, quality
+from dispensa.llm import batches, jaccard, packing, quality, state
 from dispensa.llm.entry import _path
 
 
@@ -35,6 +35,19 @@ def test_jaccard_buckets_grow_with_the_corpus_and_heavy_subsets_stay_in_batches(
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.op10(rows)
 
 
+def test_jaccard_makes_a_pair_once_however_many_buckets_find_it(spark, monkeypatch):
+    """Near copies share subsets in every bucket; rows made follow the documents, batches and buckets, not what pairs share."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([*words, *rng.choices(words, k=3)]), "en", "s", 1) for i in range(40)]
+    docs = frame(spark, rows).select("doc_id", "text")
+    monkeypatch.setattr(batches, "PART_BYTES", 2048)
+    n = batches.parts(docs)
+    found = state.materialise(jaccard.candidates(docs))
+    assert n > 10 and found.count() <= len(rows) + 3 * (n + 1)  # three batches
+    assert {(r.x, r.y) for r in jaccard._met(found).collect()} >= {(0, k) for k in range(1, 40)}
+
+
 def test_jaccard_compares_groups_in_blocks(spark, monkeypatch):
     """Groups of passages that are shared without similarity, in blocks of two sets."""
     rng = random.Random(3)
