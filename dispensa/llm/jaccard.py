@@ -245,7 +245,7 @@ def candidates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame
 
     @tidy
     def meet(table: pa.Table) -> pa.Table:
-        out, sigs, owners, asking, tags, kept, keys = [], [], [], [], [], [], []
+        out, sigs, owners, asking, tags, kept, keys = [(np.zeros(0, np.int64),) * 4], [], [], [], [], [], []
         sketches: list = []
         for kind, tag, a, b, c in zip(*(table[c].to_pylist() for c in "kind tag a b c".split()), strict=True):
             if kind == HELD:

@@ -48,6 +48,12 @@ def test_jaccard_makes_a_pair_once_however_many_buckets_find_it(spark, monkeypat
     assert {(r.x, r.y) for r in jaccard._met(found).collect()} >= {(0, k) for k in range(1, 40)}
 
 
+def test_jaccard_buckets_may_have_nothing_to_tell(spark):
+    rows = [(1, " ".join(f"a{i}" for i in range(60)), "en", "s", 1), (2, "b c d", "en", "s", 1)]
+    got = jaccard.near_duplicates(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.op10(rows)
+
+
 def test_jaccard_compares_groups_in_blocks(spark, monkeypatch):
     """Groups of passages that are shared without similarity, in blocks of two sets."""
     rng = random.Random(3)
