@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .batches import LAST, bucket_of, parts, runs, squeeze, unsqueeze
 from .components import components
-from .kernels import BASE, LOWER, U, chunks, expand, mix, pack, rolling, span_hashes, text_bytes, tidy, unpack, word_spans
+from .kernels import BASE, LOWER, U, chunks, expand, mix, pack, release, rolling, span_hashes, text_bytes, tidy, unpack, word_spans
 from .state import materialise
 
 SHORT = 5  # bytes of a subset's hash besides its bucket
@@ -148,10 +148,11 @@ def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of about LOCAL bytes of text, so that a task's arrays stay small."""
-    _, offsets = text_bytes(batch.column(1))
+    """Parts of about LOCAL bytes of text, so that a task's arrays stay small; what one leaves is given back before the next."""
+    offsets = text_bytes(batch.column(1))[1]
     for i, j in chunks(offsets, LOCAL):
         yield batch.slice(i, j - i)
+        release()
 
 
 def sketch(values: np.ndarray) -> bytes:
@@ -189,65 +190,69 @@ def candidates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame
     and makes one row for each pair, however many buckets found it."""
     n, heavy = parts(docs), HEAVY
 
+    def blobs(batch: pa.RecordBatch) -> list[tuple]:
+        ids = batch.column(0).to_numpy()
+        buf, offsets = text_bytes(batch.column(1))
+        order = np.argsort(ids, kind="stable")
+        values, before = shingle_sets(buf, offsets, width)
+        size = np.diff(before)
+        total = np.zeros((2, len(ids)), U)
+        some = np.flatnonzero(size > 0)
+        if len(some):
+            total[0, some] = mix(np.add.reduceat(mix(values), before[some]) + size[some].astype(U))
+            total[1, some] = np.add.reduceat(mix(values ^ BASE), before[some])
+        # Equal sets of a batch (by 128 bits) are one, the smallest document's.
+        same = order[np.lexsort((total[1, order], total[0, order]))]
+        first = np.union1d(runs(total[0, same]), runs(total[1, same]))
+        keeper = np.empty(len(ids), np.int64)
+        keeper[same] = np.repeat(same[first], np.diff(np.append(first, len(same))))
+        keeper[size == 0] = np.flatnonzero(size == 0)
+        lead = np.flatnonzero((keeper == np.arange(len(ids))) & (size > 0))
+        sig, doc, asks, short = signatures(values[expand(before[lead], size[lead])], np.concatenate([[0], np.cumsum(size[lead])]), small)
+        tag = int(mix(np.array([ids.astype(U).sum() + U(len(ids))], U))[0] >> U(1))
+        rows = [(int(ids[0]) % n if len(ids) else 0, MEMBER, tag, squeeze(pack(ids.astype(U), 8) + pack(ids[keeper].astype(U), 8) + pack(size.astype(U), 4)), squeeze(pack(ids[lead[short]].astype(U), 8)), [sketch(values[before[k] : before[k + 1]]) if keeper[k] == k and size[k] else None for k in range(len(ids))])]
+        del values
+        bucket = bucket_of(sig, n)
+        # A subset that many sets here share is one entry, of the least of them; the batch keeps the others until it is told the lead.
+        _, back, count = np.unique(sig, return_inverse=True, return_counts=True)
+        many = np.flatnonzero(count[back] >= heavy)
+        if len(many):
+            many = many[np.lexsort((ids[lead[doc[many]]], sig[many]))]
+            first = runs(sig[many])
+            size_of = np.diff(np.append(first, len(many)))
+            least, ask = ids[lead[doc[many[first]]]], np.logical_or.reduceat(asks[many], first)
+            key = (bucket[many[first]].astype(U) << U(8 * SHORT)) | (sig[many[first]] & U((1 << 8 * SHORT) - 1))
+            rows.append((tag % n, HELD, tag, squeeze(pack(key, 8) + pack(size_of.astype(U), 4) + pack(ids[lead[doc[many]]].astype(U), 8) + asks[many].tobytes()), pack(np.array([len(key)], U), 8), None))
+            hot = bucket[many[first]]
+            order = np.argsort(hot, kind="stable")
+            cut = runs(hot[order])
+            for at in np.split(order, cut[1:]):
+                rows.append((int(hot[at[0]]), LEAD, tag, squeeze(pack(key[at], 8) + pack(least[at].astype(U), 8) + ask[at].tobytes()), pack(np.array([len(at)], U), 8), None))
+            rest = np.ones(len(sig), bool)
+            rest[many] = False
+            sig, doc, asks, bucket = sig[rest], doc[rest], asks[rest], bucket[rest]
+        order = np.argsort(bucket, kind="stable")
+        cut = np.searchsorted(bucket[order], np.arange(n + 1))
+        for k in range(n):
+            at = order[cut[k] : cut[k + 1]]
+            if len(at):
+                at = at[np.argsort(doc[at], kind="stable")]
+                own, count = np.unique(doc[at], return_counts=True)
+                rows.append((k, PAIR, tag, pack(sig[at], SHORT), squeeze(np.packbits(asks[at]).tobytes().ljust(-(-len(at) // 8)) + pack(ids[lead[own]].astype(U), 8) + pack(count.astype(U), 4)), None))
+        return rows
+
     @tidy
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("tag", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.list_(pa.binary()))])
         for batch in (part for whole in batches for part in _slices(whole)):
-            ids = batch.column(0).to_numpy()
-            buf, offsets = text_bytes(batch.column(1))
-            order = np.argsort(ids, kind="stable")
-            values, before = shingle_sets(buf, offsets, width)
-            size = np.diff(before)
-            total = np.zeros((2, len(ids)), U)
-            some = np.flatnonzero(size > 0)
-            if len(some):
-                total[0, some] = mix(np.add.reduceat(mix(values), before[some]) + size[some].astype(U))
-                total[1, some] = np.add.reduceat(mix(values ^ BASE), before[some])
-            # Equal sets of a batch (by 128 bits) are one, the smallest document's.
-            same = order[np.lexsort((total[1, order], total[0, order]))]
-            first = np.union1d(runs(total[0, same]), runs(total[1, same]))
-            keeper = np.empty(len(ids), np.int64)
-            keeper[same] = np.repeat(same[first], np.diff(np.append(first, len(same))))
-            keeper[size == 0] = np.flatnonzero(size == 0)
-            lead = np.flatnonzero((keeper == np.arange(len(ids))) & (size > 0))
-            v = values[expand(before[lead], size[lead])]
-            sig, doc, asks, short = signatures(v, np.concatenate([[0], np.cumsum(size[lead])]), small)
-            tag = int(mix(np.array([ids.astype(U).sum() + U(len(ids))], U))[0] >> U(1))
-            rows = [(int(ids[0]) % n if len(ids) else 0, MEMBER, tag, squeeze(pack(ids.astype(U), 8) + pack(ids[keeper].astype(U), 8) + pack(size.astype(U), 4)), squeeze(pack(ids[lead[short]].astype(U), 8)), [sketch(values[before[k] : before[k + 1]]) if keeper[k] == k and size[k] else None for k in range(len(ids))])]
-            bucket = bucket_of(sig, n)
-            # A subset that many sets here share is one entry, of the least of them; the batch keeps the others until it is told the lead.
-            _, back, count = np.unique(sig, return_inverse=True, return_counts=True)
-            many = np.flatnonzero(count[back] >= heavy)
-            if len(many):
-                many = many[np.lexsort((ids[lead[doc[many]]], sig[many]))]
-                first = runs(sig[many])
-                size_of = np.diff(np.append(first, len(many)))
-                least, ask = ids[lead[doc[many[first]]]], np.logical_or.reduceat(asks[many], first)
-                key = (bucket[many[first]].astype(U) << U(8 * SHORT)) | (sig[many[first]] & U((1 << 8 * SHORT) - 1))
-                rows.append((tag % n, HELD, tag, squeeze(pack(key, 8) + pack(size_of.astype(U), 4) + pack(ids[lead[doc[many]]].astype(U), 8) + asks[many].tobytes()), pack(np.array([len(key)], U), 8), None))
-                hot = bucket[many[first]]
-                order = np.argsort(hot, kind="stable")
-                cut = runs(hot[order])
-                for at in np.split(order, cut[1:]):
-                    rows.append((int(hot[at[0]]), LEAD, tag, squeeze(pack(key[at], 8) + pack(least[at].astype(U), 8) + ask[at].tobytes()), pack(np.array([len(at)], U), 8), None))
-                rest = np.ones(len(sig), bool)
-                rest[many] = False
-                sig, doc, asks, bucket = sig[rest], doc[rest], asks[rest], bucket[rest]
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(n + 1))
-            for k in range(n):
-                at = order[cut[k] : cut[k + 1]]
-                if len(at):
-                    at = at[np.argsort(doc[at], kind="stable")]
-                    own, count = np.unique(doc[at], return_counts=True)
-                    rows.append((k, PAIR, tag, pack(sig[at], SHORT), squeeze(np.packbits(asks[at]).tobytes().ljust(-(-len(at) // 8)) + pack(ids[lead[own]].astype(U), 8) + pack(count.astype(U), 4)), None))
-            yield from _rows(schema, rows).to_batches()
+            yield from _rows(schema, blobs(batch)).to_batches()  # a slice's arrays are gone before the next slice's are made
 
     @tidy
     def meet(table: pa.Table) -> pa.Table:
-        out, sigs, owners, asking, tags, kept, keys = [(np.zeros(0, np.int64),) * 4], [], [], [], [], [], []
+        out, sigs, owners, asking, tags, kept = [(np.zeros(0, np.int64),) * 4], [], [], [], [], []
         sketches: list = []
-        for kind, tag, a, b, c in zip(*(table[c].to_pylist() for c in "kind tag a b c".split()), strict=True):
+        for row in range(table.num_rows):
+            kind, tag, a, b, c = (table[c][row].as_py() for c in "kind tag a b c".split())
             if kind == HELD:
                 out.append((np.full(1, HELD), np.array([tag]), unpack(b, 8), np.zeros(1, np.int64)))
                 sketches.append(a)
@@ -261,7 +266,6 @@ def candidates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame
                 asking.append(np.frombuffer(a[16 * k :], bool))
                 tags.append(np.full(k, tag, np.int64))
                 kept.append(np.ones(k, bool))
-                keys.append(key)
                 continue
             b = unsqueeze(b)
             if kind == MEMBER:
@@ -280,11 +284,12 @@ def candidates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame
             asking.append(np.unpackbits(np.frombuffer(b[:head], np.uint8), count=len(sig)).astype(bool))
             tags.append(np.full(len(sig), tag, np.int64))
             kept.append(np.zeros(len(sig), bool))
-            keys.append(np.zeros(len(sig), U))
         if sigs:
-            sig, doc, asks, tag, heavy, key = (np.concatenate(x) for x in (sigs, owners, asking, tags, kept, keys))
+            sig, doc = _joined(sigs), _joined(owners)
             order = np.lexsort((doc, sig))
-            sig, doc, asks, tag, heavy, key = sig[order], doc[order], asks[order], tag[order], heavy[order], key[order]
+            sig, doc, asks, tag, heavy = sig[order], doc[order], _joined(asking)[order], _joined(tags)[order], _joined(kept)[order]
+            del order
+            bucket = U(table["bucket"][0].as_py()) << U(8 * SHORT)
             first = runs(sig)
             size = np.diff(np.append(first, len(sig)))
             wanted = np.logical_or.reduceat(asks, first) & ((size > 1) | np.logical_or.reduceat(heavy, first))
@@ -295,7 +300,7 @@ def candidates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame
                 held, own = own[heavy[own]], own[~heavy[own]]
                 x, y, a = _once(lead[own], doc[own], asks[own])
                 out.append((np.full(1, TOLD), tag[np.append(held, own)[:1]], np.array([len(held)]), np.array([len(x)])))
-                sketches.append(squeeze(pack(key[held], 8) + pack(lead[held].astype(U), 8) + pack(x.astype(U), 8) + pack(y.astype(U), 8) + a.tobytes()))
+                sketches.append(squeeze(pack(bucket | sig[held], 8) + pack(lead[held].astype(U), 8) + pack(x.astype(U), 8) + pack(y.astype(U), 8) + a.tobytes()))
         columns = [pa.array(np.concatenate([np.asarray(r[c]).astype(np.int64) for r in out]), _FOUND.field(c).type) for c in range(4)]
         return pa.table([*columns, pa.array(sketches, pa.binary())], schema=_FOUND)
 
@@ -303,6 +308,13 @@ def candidates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame
     return own.groupBy("bucket").applyInArrow(meet, "kind int, x long, y long, n long, sketch binary")
 
 
+def _joined(arrays: list[np.ndarray]) -> np.ndarray:
+    """The arrays end to end; the list is emptied, so that they are not held twice."""
+    out = np.concatenate(arrays)
+    arrays.clear()
+    return out
+
+
 def _once(x: np.ndarray, y: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct pairs of pairs in order, and whether any asks."""
     new = np.union1d(runs(x), runs(y))
@@ -354,7 +366,7 @@ def _alone(docs: DataFrame, lacking: DataFrame, width: int) -> DataFrame:
     def shingles(docs: DataFrame, only: str, name: str) -> DataFrame:
         @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in _slices(whole)):
                 values, before = shingle_sets(*text_bytes(batch.column(1)), width)
                 size = np.diff(before)
                 count = np.where(size > 0, size // 3 + 1, 0) if only == "first" else size
@@ -373,7 +385,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             values, before = shingle_sets(*text_bytes(batch.column(1)), width)
             o = before.tolist()
             sets = [pack(np.sort(values[a:b] & U((1 << 8 * VALUE) - 1)), VALUE) for a, b in zip(o, o[1:], strict=False)]
@@ -422,7 +434,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):  # a pair's sets at a time
+                a, b = a.as_py(), b.as_py()
                 n = (len(a) + len(b)) // VALUE
                 united = len(np.unique(np.concatenate([unpack(a, VALUE), unpack(b, VALUE)])))
                 ok.append(100 * (n - united) >= percent * united)

@@ -59,6 +59,7 @@ def first_tier(spark: SparkSession, file: Broadcast) -> Vocabulary | None:
     A task parses the file, so that the driver holds only the tables made from it: a few MB, as a tokenizer is of fixed size.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [json_vocabulary(file.value) if is_byte_level(json.loads(file.value)) else None for _ in range(batch.num_rows)]
