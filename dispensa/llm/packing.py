@@ -13,9 +13,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import chunks, text_bytes, tidy
+from .kernels import CHUNK, chunks, release, text_bytes, tidy
 from .pretokens import Vocabulary
-from .state import materialise
+from .state import arrow_batches, materialise
 from .token_counts import Library, is_byte_level, json_vocabulary
 
 WEIGHTS = 1.0, 0.25, 0.25  # of the free tokens, documents and attention cost, in the registered queries
@@ -80,6 +80,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str =
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = Library(file.value, vocabulary.value, False)
+        release()  # what reading the file took
         for batch in batches:
             own = batch.column(0).to_pylist()
             buf, offsets = text_bytes(batch.column(1))
@@ -92,6 +93,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str =
                     cuts = [0, *range(len(whole) % capacity or min(capacity, len(whole)), len(whole) + 1, capacity)]
                     rows += [(own[i + k], p, a, b - a, zlib.crc32(whole[a:b].tobytes())) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
+            del batch, own, buf, rows  # the next batch comes before these names are given away
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -107,7 +109,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, max_
     must. Repeated rows are packed each for itself; ties go by doc_id and piece. Rows of a full
     sequence's length take one each. Empty tables give none.
     """
-    cut = materialise(pieces(docs, path, capacity, end_id, doc_id, text))
+    with arrow_batches(docs.sparkSession, 4 * CHUNK):
+        cut = materialise(pieces(docs, path, capacity, end_id, doc_id, text))
     # Full pieces have groups of their own, so that however many there are, no group is larger and the others are packed as without them.
     count = cut.agg(F.count_if(F.col("length") < capacity).alias("short"), F.count_if(F.col("length") >= capacity).alias("full")).first()
     groups, full_groups = (max(1, -(-n // GROUP)) for n in count)

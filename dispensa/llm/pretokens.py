@@ -167,11 +167,12 @@ def resolve(buf: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary, second
     Returns (ids, index of the miss, what ``second`` returned, pieces before each text).
     """
     s, e = pieces(buf, offsets, special)
-    length = e - s
+    length, before = e - s, np.searchsorted(s, offsets)
     words = key_words(buf, s, length)
     h = key_hash(words, length)
     ids = vocabulary.find(words, length, h)
     ids[length > LONGEST] = -1
+    del words
     which = np.zeros(len(ids), np.int64)
     miss = np.flatnonzero((ids < 0) & (length <= LONGEST))
     _, at, back = np.unique(h[miss], return_index=True, return_inverse=True)
@@ -181,7 +182,8 @@ def resolve(buf: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary, second
     for k in np.flatnonzero(length > LONGEST).tolist():
         text = buf[s[k] : e[k]].tobytes()
         which[k] = known.setdefault(text, len(todo) + len(known))
-    return ids, which, second([*todo, *known]), np.searchsorted(s, offsets)
+    del s, e, length, h, miss, at, back  # ``second`` needs room of its own
+    return ids, which, second([*todo, *known]), before
 
 
 def flat_ids(ids: np.ndarray, which: np.ndarray, missed: list[bytes], before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

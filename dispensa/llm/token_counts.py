@@ -21,7 +21,7 @@ from .kernels import chunks, text_bytes, tidy
 from .pretokens import Vocabulary, flat_ids, resolve
 
 REMEMBERED = 1_000_000  # pieces that a worker keeps; beyond it the memory is emptied and filled anew
-BATCH = 1 << 18  # bytes given to the library at once
+BATCH = 1 << 16  # bytes given to the library at once
 
 
 def is_byte_level(spec: dict) -> bool:
