@@ -33,3 +33,7 @@ NUMBERED = documents("a\n28.68.191.238 Den sch\n4.1. TITLE\nb\n|c\n\n7. x\n\n|",
 
 def test_doc01_lines_that_begin_with_a_number_stay(spark, tmp_path):
     assert len(agree(spark, tmp_path, "doc01_split_numbered", documents=NUMBERED)) == 7
+
+
+def test_doc13_lines_that_begin_with_a_number_stay(spark, tmp_path):
+    assert agree(spark, tmp_path, "doc13_document_record_text", documents=NUMBERED)[1]["sections"] == "4.1:16"
