@@ -113,15 +113,16 @@ def gram_pairs(parts: DataFrame, names: DataFrame) -> DataFrame:
     """(value, name, id): each of parts(value) with the names(name, id) that contain it, for values of GRAM characters or more.
 
     An equi-join: a value meets the names that hold the one of its grams that fewest names hold, then the rest is compared. Names
-    are dealt to SALTS parts, so that a gram that many of them hold is not one task's.
+    are dealt to SALTS parts, so that a gram that many of them hold is not one task's. Rows of grams are many times their names, which
+    Spark's estimate leaves out, so it is told not to broadcast them.
     """
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (GRAM - 1)), lambda k: F.substring(c, k, F.lit(GRAM))))
     held = names.where(F.length("name") >= GRAM).select("name", "id", F.pmod(F.xxhash64("name", "id"), F.lit(SALTS)).cast("int").alias("__s"), F.explode(grams(F.col("name"))).alias("__g"))
     asked = parts.where(F.length("value") >= GRAM).select("value").distinct().select("value", F.explode(grams(F.col("value"))).alias("__g"))
     counts = held.groupBy("__g").agg(F.count("*").alias("__n"))
-    rarest = asked.join(counts, "__g", "left").groupBy("value").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__g")).alias("__r"))
+    rarest = asked.hint("merge").join(counts, "__g", "left").groupBy("value").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__g")).alias("__r"))
     copies = rarest.where("__r.n > 0").select("value", F.col("__r.__g").alias("__g"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__s"))
-    return copies.join(held, ["__g", "__s"]).where(F.contains("name", F.col("value"))).select("value", "name", "id")
+    return copies.hint("merge").join(held, ["__g", "__s"]).where(F.contains("name", F.col("value"))).select("value", "name", "id")
 
 
 def contained(parts: DataFrame, names: DataFrame) -> DataFrame:
@@ -188,12 +189,18 @@ def resolve_pgx(items: DataFrame, kb: DataFrame, relations: DataFrame) -> DataFr
 
 
 def inside_match(left: DataFrame, key: str, value: str, dim: DataFrame) -> DataFrame:
-    """(key, match): exact name, else the smallest id among dim(name, id) whose name is inside the value; names of GRAM characters or more."""
-    exact = ranked_match(left, key, [(F.col(value), dim.select(F.col("name").alias("value"), "id"), False)])
-    rest = left.join(exact.where("match is not null").select(key), key, "left_anti").select(F.col(value).alias("name"), F.col(key).alias("id"))
-    least = dim.groupBy("name").agg(F.min("id").alias("__id")).withColumnRenamed("name", "value")
-    hits = gram_pairs(least.select("value"), rest).join(least, "value").groupBy("id").agg(F.min("__id").alias("__id")).withColumnRenamed("id", key)
-    return exact.join(hits, key, "left").select(key, F.coalesce("match", "__id").alias("match"))
+    """(key, match): exact name, else the smallest id among dim(name, id) whose name is inside the value; an empty name is inside none.
+
+    Each value and each name is matched once, however many rows have it. Names shorter than GRAM meet the values' substrings of their length.
+    """
+    whole = dim.where("id is not null").groupBy(F.col("name").alias("value")).agg(F.min("id").alias("id"))
+    texts = left.select(F.col(value).alias("name")).where("name is not null").distinct()
+    rest = texts.join(whole.select(F.col("value").alias("name")), "name", "left_anti")
+    long = gram_pairs(whole.select("value"), rest.select("name", F.col("name").alias("id"))).select("name", "value")
+    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.length("name") - (n - 1)), lambda k: F.substring(F.col("name"), k, F.lit(n)))
+    short = [rest.where(F.length("name") >= n).select("name", F.explode(F.array_distinct(pieces(n))).alias("value")) for n in range(1, GRAM)]
+    hits = reduce(DataFrame.union, [long, *short]).hint("merge").join(whole, "value").groupBy(F.col("name").alias("value")).agg(F.min("id").alias("id"))
+    return ranked_match(left, key, [(F.col(value), whole, False), (F.col(value), hits, False)]).select(key, "match")
 
 
 def prefix_match(left: DataFrame, key: str, value: str, dim: DataFrame, least: int = 3) -> DataFrame:

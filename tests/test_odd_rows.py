@@ -3,6 +3,7 @@
 import duckdb
 import pandas as pd
 
+from dispensa.operators import links
 from dispensa.plans import registry
 
 
@@ -28,6 +29,10 @@ def pages(*htmls):
     return pd.DataFrame({"page_id": range(len(htmls)), "url": [f"http://a.example/en/{k}?a=1&copy=2" for k in range(len(htmls))], "html": htmls})
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 NUMBERED = documents("a\n28.68.191.238 Den sch\n4.1. TITLE\nb\n|c\n\n7. x\n\n|", "a\n4.2 x", "a\n||\n\r|b", "a", None, "")
 
 
@@ -53,3 +58,13 @@ def test_doc07_entities_that_are_cut_are_text(spark, tmp_path):
     page = "<nav><ul><li><a href='/a'>a&lt;b &copy;</a></li></ul></nav><article><h1>the&amp;&amp</h1><p>x &#39;&nbsp;y&quot; &eacute &amp;lt; & z</p></article>"
     got = agree(spark, tmp_path, "doc07_contraindications", pages=pages(page))
     assert got[0]["level"] == "the&&amp x ' y\" &eacute &lt; & z" and got[0]["heading"].endswith("&copy=2")
+
+
+def test_jn12_grams_are_not_broadcast_and_short_names_are_found(spark):
+    items = [(0, "abc"), (1, "xabcx"), (2, "xab"), (3, "xéy"), (4, None), (5, ""), (6, "zz"), (7, "xabcx"), (8, "b")]
+    dim = [("abc", 9), ("abc", 7), ("ab", 8), ("é", 3), ("", 1), (None, 2), ("zzz", 0), ("xé", None), ("b", 6)]
+    left, names = spark.createDataFrame(items, "item long, value string"), spark.createDataFrame(dim, "name string, id long")
+    want = {(0, 7), (1, 6), (2, 6), (3, 3), (4, None), (5, 1), (6, None), (7, 6), (8, 6)}
+    assert {tuple(r) for r in links.inside_match(left, "item", "value", names).collect()} == want
+    grams = links.gram_pairs(left.select("value"), names.where("name <> ''").groupBy("name").agg({"id": "min"}).toDF("name", "id"))
+    assert "Broadcast" not in plan(grams)
