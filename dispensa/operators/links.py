@@ -204,15 +204,16 @@ def inside_match(left: DataFrame, key: str, value: str, dim: DataFrame) -> DataF
 
 
 def prefix_match(left: DataFrame, key: str, value: str, dim: DataFrame, least: int = 3) -> DataFrame:
-    """(key, match): exact name, else the smallest id among names that the value is a prefix of.
+    """(key, match): exact name, else the smallest id among names that the value is a prefix of; values of ``least`` characters or more.
 
-    Prefixes are an equi-join too: values of each length meet names cut to ``least`` characters, then the rest is compared.
+    Prefixes are an equi-join too: names are cut to the lengths that values have, and a cut keeps the smallest id of its names. So
+    a value meets one cut, however many names begin with it.
     """
-    exact = ranked_match(left, key, [(F.col(value), dim.select(F.col("name").alias("value"), "id"), False)])
-    rest = left.join(exact.where("match is not null").select(key), key, "left_anti").where(F.length(value) >= least)
-    names = dim.select(F.substring("name", 1, least).alias("__p"), "name", "id")
-    hits = rest.withColumn("__p", F.substring(value, 1, least)).join(names, "__p").where(F.startswith("name", F.col(value))).groupBy(key).agg(F.min("id").alias("__id"))
-    return exact.join(hits, key, "left").select(key, F.coalesce("match", "__id").alias("match"))
+    whole = dim.where("id is not null").groupBy(F.col("name").alias("value")).agg(F.min("id").alias("id"))
+    lengths = left.where(F.length(value) >= least).agg(F.collect_set(F.length(value)).alias("__n"))
+    cuts = whole.crossJoin(lengths).select(F.explode(F.transform(F.filter("__n", lambda n: n <= F.length("value")), lambda n: F.substring(F.col("value"), F.lit(1), n))).alias("value"), "id")
+    first = cuts.groupBy("value").agg(F.min("id").alias("id"))
+    return ranked_match(left, key, [(F.col(value), whole, False), (F.col(value), first, False)]).select(key, "match")
 
 
 def pair_interactions(baskets: DataFrame, edges: DataFrame) -> DataFrame:

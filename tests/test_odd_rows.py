@@ -68,3 +68,12 @@ def test_jn12_grams_are_not_broadcast_and_short_names_are_found(spark):
     assert {tuple(r) for r in links.inside_match(left, "item", "value", names).collect()} == want
     grams = links.gram_pairs(left.select("value"), names.where("name <> ''").groupBy("name").agg({"id": "min"}).toDF("name", "id"))
     assert "Broadcast" not in plan(grams)
+
+
+def test_jn13_a_prefix_is_looked_up_by_equality(spark):
+    items = [(0, "abcd"), (1, "abc"), (2, "abce"), (3, "ab"), (4, None), (5, "éàü"), (6, "abcdef"), (7, "abc"), (8, "")]
+    dim = [("abcde", 5), ("abcd", 6), ("abcef", 4), ("ab", 8), ("éàüx", 3), (None, 2), ("abcefg", None), ("abcdef", 9)]
+    left, names = spark.createDataFrame(items, "item long, value string"), spark.createDataFrame(dim, "name string, id long")
+    found = links.prefix_match(left, "item", "value", names)
+    assert {tuple(r) for r in found.collect()} == {(0, 6), (1, 4), (2, 4), (3, 8), (4, None), (5, 3), (6, 9), (7, 4), (8, None)}
+    assert "StartsWith" not in plan(found)
