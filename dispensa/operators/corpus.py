@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
+from html import unescape
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,69 +131,151 @@ def html_sections(pages: DataFrame, key: str, html: str) -> DataFrame:
 STARTS, ENDS, DATED = "RcpDenomination", "RcpInstPrepRadioph", "DateNotif"
 HOLDER, FORM = "RcpTitulaireAmm", "RcpFormePharm"
 HEADING, BOLD, NAMED, BULLETS = "AmmAnnexeTitre", "AmmCorpsTexteGras", "AmmDenomination", "AmmListePuces"
-LEVELS = 10
 ROW = pa.struct([("kind", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("bold", pa.bool_()), ("italic", pa.bool_()), ("underline", pa.bool_()), ("list_type", pa.string()), ("alignment", pa.string()), ("headers", pa.list_(pa.string())), ("cells", pa.list_(pa.list_(pa.string()))), ("caption", pa.string())])
 
 
-class _Regulatory(HTMLParser):
-    """Headings, texts and tables between a page's start and end anchors, in order; each text once, with its innermost block."""
+# Elements whose content is no markup; tags, what is left of which is plain if it is attributes only.
+RAW = ("script", "style", "title", "textarea", "iframe", "noembed", "noframes", "noscript", "xmp", "plaintext")
+_NAME, _SPACE = r"[a-zA-Z][a-zA-Z0-9_:.-]*", r"[ \t\n\r\f]"
+_VALUE = rf"""(?:"[^"]*"|'[^']*'|[^ \t\n\r\f"'=`/&]+(?={_SPACE}|$))"""
+TAG = re.compile(rf"<(/?{_NAME})([^<>]*)>")
+ATTRIBUTE = re.compile(rf"({_NAME})(?:=({_VALUE}))?")
+ATTRIBUTES = re.compile(rf"(?:{_SPACE}+{_NAME}(?:={_VALUE})?)*{_SPACE}*/?")
 
-    def __init__(self):
+
+class _Marks(NamedTuple):
+    """What counts of a tag's attributes."""
+
+    name: str
+    dated: bool
+    level: int | None
+    bold: bool
+    italic: bool
+    underline: bool
+    bullets: bool
+    alignment: str
+
+
+@lru_cache(1 << 12)
+def _marks(name: str, marks: str, style: str) -> _Marks:
+    level, style = marks.partition(HEADING)[2][:1], style.lower().replace(" ", "")
+    return _Marks(name, DATED in marks.split(), int(level) if level.isdigit() else None, "gras" in marks or BOLD in marks, "italique" in marks, "souligne" in marks, BULLETS in marks, "center" if "center" in marks or "text-align:center" in style else "left")
+
+
+@lru_cache(1 << 12)
+def _marks_in(tag: str) -> _Marks | None:
+    """The marks of what follows a tag's name; None if that is not plain."""
+    if not ATTRIBUTES.fullmatch(tag):
+        return None
+    a = {k.lower(): unescape(v[1:-1] if v[:1] in ("'", '"') else v) for k, v in ATTRIBUTE.findall(tag)}
+    return _marks(a.get("name", ""), a.get("class", ""), a.get("style", ""))
+
+
+@lru_cache(1 << 12)
+def _plain_name(tag: str) -> str | None:
+    """A tag's name in lower case; None for one whose content is no markup."""
+    return None if tag.lower() in RAW else tag.lower()
+
+
+class _Parser(HTMLParser):
+    """Tells a reader the tags and texts of markup that is not plain."""
+
+    def __init__(self, to: _Regulatory):
         super().__init__(convert_charrefs=True)
-        self.rows, self.block, self.table, self.lists = [], None, None, []
-        self.on, self.last, self.depth, self.cell = False, False, 0, None
+        self.to = to
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
-        if tag == "a" and a.get("name") == STARTS or tag == "p" and DATED in a.get("class", "").split() and not self.on:
+        self.to.start(tag, _marks(a.get("name", ""), a.get("class", ""), a.get("style", "")))
+
+    def handle_endtag(self, tag):
+        self.to.stop(tag)
+
+    def handle_data(self, data):
+        self.to.say(data)
+
+
+class _Regulatory:
+    """Headings, texts and tables between a page's start and end anchors, in order; each text once, with its innermost block. Each has the heading it belongs to."""
+
+    def __init__(self):
+        self.rows, self.table, self.lists, self.heads = [], None, [], []
+        self.on, self.last, self.depth, self.cell = False, False, 0, None
+        self.block = None  # its marks; said, bold, italic, listed and anchor are the open block's too
+
+    def read(self, text: str) -> list[tuple]:
+        """Rows as tuples of ROW's fields. Plain markup, which is most, is split into its tags at once; the rest is parsed, which takes several times as long."""
+        parts = TAG.split(text)
+        if "<" in "".join(parts[::3]):
+            return self.parse(text)
+        for said, tag, rest in zip(parts[::3], parts[1::3], parts[2::3], strict=False):
+            if said and (self.cell or self.block):
+                self.say(unescape(said) if "&" in said else said)
+            tag, marks = _plain_name(tag), _marks_in(rest)
+            if tag is None or marks is None or tag[0] == "/" and rest and not rest.isspace():
+                return type(self)().parse(text)
+            if tag[0] == "/":
+                self.stop(tag[1:])
+            else:
+                self.start(tag, marks)
+                if rest[-1:] == "/":
+                    self.stop(tag)
+        self.say(unescape(parts[-1]))
+        return self.end()
+
+    def parse(self, text: str) -> list[tuple]:
+        parser = _Parser(self)
+        parser.feed(text)
+        parser.close()
+        return self.end()
+
+    def end(self) -> list[tuple]:
+        if self.table is not None:
+            self.close_table()
+        self.close_block()
+        return self.rows
+
+    def start(self, tag: str, marks: _Marks) -> None:
+        if tag == "a" and marks.name == STARTS or tag == "p" and marks.dated and not self.on:
             self.close_block(keep=False)
             self.on = True
-        elif tag == "a" and a.get("name") == ENDS and self.on:
+        elif tag == "a" and marks.name == ENDS and self.on:
             self.last = True  # the block that holds the end is the last
             if not self.block:
                 self.on = False
         elif self.on and not self.last:
-            self._inside(tag, a)
+            self._inside(tag, marks)
 
-    def _inside(self, tag, a):
+    def _inside(self, tag: str, marks: _Marks) -> None:
         if tag == "table":
             self.depth += 1
             if self.depth == 1:
                 self.close_block()
-                self.table = {"kind": "table", "headers": [], "cells": [], "caption": None}
+                self.table = {"headers": [], "cells": [], "caption": None, "head": False}
         elif self.table is not None:
-            if self.depth == 1 and tag == "tr":
-                self.table["cells"].append([])
-            elif self.depth == 1 and tag in ("td", "th", "caption"):
-                self.close_cell()
-                self.cell = (tag, [])
-            elif self.depth == 1 and tag == "thead":
-                self.table["head"] = True
+            if self.depth == 1:
+                if tag == "tr":
+                    self.table["cells"].append([])
+                elif tag in ("td", "th", "caption"):
+                    self.close_cell()
+                    self.cell = (tag, [])
+                elif tag == "thead":
+                    self.table["head"] = True
+        elif tag in ("p", "div", "li"):
+            self.close_block()
+            self.block, self.said, self.anchor = marks, [], None
+            self.bold, self.italic = marks.bold, marks.italic
+            self.listed = "bullet" if marks.bullets else self.lists[-1] if self.lists else None
         elif tag in ("ul", "ol"):
             self.close_block()
             self.lists.append("bullet" if tag == "ul" else "numbered")
-        elif tag in ("p", "div", "li"):
-            self.close_block()
-            marks, style = a.get("class", ""), a.get("style", "").lower().replace(" ", "")
-            level = marks.partition(HEADING)[2][:1]
-            self.block = {
-                "kind": "heading" if level.isdigit() else "text",
-                "level": int(level) if level.isdigit() else None,
-                "bold": "gras" in marks or BOLD in marks,
-                "italic": "italique" in marks,
-                "underline": "souligne" in marks,
-                "list_type": "bullet" if BULLETS in marks else self.lists[-1] if self.lists else None,
-                "alignment": "center" if "center" in marks or "text-align:center" in style else "left",
-                "said": [],
-                "anchor": None,
-            }
         elif self.block:
-            self.block["bold"] |= tag in ("b", "strong")
-            self.block["italic"] |= tag in ("i", "em")
-            if tag == "a" and self.block["anchor"] is None:
-                self.block["anchor"] = [len(self.block["said"]), None]
+            self.bold |= tag in ("b", "strong")
+            self.italic |= tag in ("i", "em")
+            if tag == "a" and self.anchor is None:
+                self.anchor = [len(self.said), None]
 
-    def handle_endtag(self, tag):
+    def stop(self, tag: str) -> None:
         if self.table is not None:
             if tag == "table":
                 self.depth -= 1
@@ -204,16 +291,16 @@ class _Regulatory(HTMLParser):
         elif tag in ("ul", "ol") and self.lists:
             self.close_block()
             self.lists.pop()
-        elif tag == "a" and self.block and self.block["anchor"] and self.block["anchor"][1] is None:
-            self.block["anchor"][1] = len(self.block["said"])
+        elif tag == "a" and self.block and self.anchor and self.anchor[1] is None:
+            self.anchor[1] = len(self.said)
 
-    def handle_data(self, data):
+    def say(self, data: str) -> None:
         if self.cell:
             self.cell[1].append(data)
         elif self.block:
-            self.block["said"].append(data)
+            self.said.append(data)
 
-    def close_cell(self):
+    def close_cell(self) -> None:
         if self.cell:
             tag, text = self.cell[0], " ".join("".join(self.cell[1]).split())
             if tag == "caption":
@@ -221,74 +308,77 @@ class _Regulatory(HTMLParser):
             else:
                 self.table["cells"] = self.table["cells"] or [[]]
                 self.table["cells"][-1].append(text)
-                if tag == "th" and self.table.get("head"):
+                if tag == "th" and self.table["head"]:
                     self.table["headers"].append(text)
         self.cell = None
 
-    def close_table(self):
+    def close_table(self) -> None:
         self.close_cell()
-        self.table["cells"] = [r for r in self.table["cells"] if any(r)]
-        self.rows.append({k: v for k, v in self.table.items() if k != "head"})
+        t = self.table
+        self.rows.append(("table", None, None, None, None, None, None, None, t["headers"], [r for r in t["cells"] if any(r)], t["caption"], *self._above()))
         self.table, self.depth = None, 0
 
-    def close_block(self, keep=True):
+    def _above(self) -> tuple[int | None, str]:
+        """The place and text of the heading that content stands under."""
+        return self.heads[-1][1:] if self.heads else (None, "unsectioned")
+
+    def close_block(self, keep: bool = True) -> None:
         if self.block and keep:
-            said, anchor = self.block.pop("said"), self.block.pop("anchor")
-            text = " ".join("".join(said).split())
-            if anchor and self.block["kind"] == "heading":
-                text = " ".join("".join(said[anchor[0] : anchor[1]]).split()) or text
+            text = " ".join("".join(self.said).split())
+            level = self.block.level
+            if level is not None and self.anchor:
+                text = " ".join("".join(self.said[self.anchor[0] : self.anchor[1]]).split()) or text
             if text:
-                self.rows.append({**self.block, "text": text})
+                own = (text, self.bold, self.italic, self.block.underline, self.listed, self.block.alignment, None, None, None)
+                if level is None:
+                    self.rows.append(("text", None, *own, *self._above()))
+                else:
+                    while self.heads and self.heads[-1][0] >= level:
+                        self.heads.pop()
+                    self.rows.append(("heading", level, *own, *(self._above() if self.heads else (None, None))))
+                    self.heads.append((level, len(self.rows) - 1, text))
         self.block = None
         if self.last:
             self.on = False
 
-    def end(self):
-        self.close()
-        if self.table is not None:
-            self.close_table()
-        self.close_block()
-        return self.rows
 
+PAGES = 256  # pages whose rows a task holds at once
 
-def regulatory_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, pos, kind, level, text, bold, italic, underline, list_type, alignment, headers, cells, caption) of each page from its start anchor to its end anchor.
 
-    A page without a start gives none; blank texts give none; a block that is open at the start, as the heading
-    that holds the start anchor, gives none.
+def regulatory_sections(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """regulatory_rows with ``section``, the (pos, text) that a row belongs to: for content the heading before it, for a heading the nearest one before it of a lower level.
+
+    Content before all headings is in a section 'unsectioned' without a place; a heading without a parent has none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, pos, rows = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                parser = _Regulatory()
-                parser.feed(text or "")
-                found = parser.end()
-                at += [i] * len(found)
-                pos += range(len(found))
-                rows += found
-            said = pa.array(rows, ROW)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), *said.flatten()], names=[key, "pos", *[f.name for f in ROW]])
+            for first in range(0, batch.num_rows, PAGES):
+                some = batch.slice(first, PAGES)
+                at, pos, rows = [], [], []
+                for i, text in enumerate(some.column(1).to_pylist()):
+                    found = _Regulatory().read(text or "")
+                    at += [i] * len(found)
+                    pos += range(len(found))
+                    rows += found
+                said = [pa.array(values, kind) for values, kind in zip(zip(*rows, strict=True), [*[f.type for f in ROW], pa.int32(), pa.string()], strict=True)] if rows else []
+                if said:
+                    place, head = said[-2:]
+                    section = pa.StructArray.from_arrays([place, head], ["pos", "text"], mask=pc.is_null(head))
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), *said[:-2], section], names=[key, "pos", *[f.name for f in ROW], "section"])
 
     kind = pages.schema[key].dataType.simpleString()
     flags = "kind string, level int, text string, bold boolean, italic boolean, underline boolean, list_type string, alignment string, headers array<string>, cells array<array<string>>, caption string"
-    return pages.select(key, html).mapInArrow(run, f"{key} {kind}, pos int, {flags}")
+    return pages.select(key, html).mapInArrow(run, f"{key} {kind}, pos int, {flags}, section struct<pos:int,text:string>")
 
 
-def regulatory_sections(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """regulatory_rows with ``section``, the (pos, text) that a row belongs to: for content the heading before it, for a heading the nearest one before it of a lower level.
+def regulatory_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, pos, kind, level, text, bold, italic, underline, list_type, alignment, headers, cells, caption) of each page from its start anchor to its end anchor.
 
-    Content before all headings is in a section 'unsectioned' without a place; a heading without a parent has none.
+    A page without a start gives none; blank texts give none; a block that is open at the start, as the heading
+    that holds the start anchor, gives none.
     """
-    rows = regulatory_rows(pages, key, html)
-    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    heads = [F.max(F.when((F.col("kind") == "heading") & (F.col("level") == k), F.struct("pos", "text"))).over(before) for k in range(LEVELS)]
-    above = rows.withColumn("__heads", F.array(*heads))
-    is_head = F.col("kind") == "heading"
-    mine = F.array_max(F.filter("__heads", lambda h, k: h.isNotNull() & (~is_head | (k < F.col("level")))))
-    lone = F.struct(F.lit(None).cast("int").alias("pos"), F.lit("unsectioned").alias("text"))
-    return above.withColumn("section", F.coalesce(mine, F.when(~is_head, lone))).drop("__heads")
+    return regulatory_sections(pages, key, html).drop("section")
 
 
 def html_metadata(pages: DataFrame, key: str, html: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """Queries against their SQL on small tables of odd rows."""
 
+import random
+
 import duckdb
 import pandas as pd
 
-from dispensa.operators import links
+from dispensa.operators import corpus, links
 from dispensa.plans import registry
 
 
@@ -82,3 +84,30 @@ def test_jn13_a_prefix_is_looked_up_by_equality(spark):
     found = links.prefix_match(left, "item", "value", names)
     assert {tuple(r) for r in found.collect()} == {(0, 6), (1, 4), (2, 4), (3, 8), (4, None), (5, 3), (6, 9), (7, 4), (8, None)}
     assert "StartsWith" not in plan(found)
+
+
+MARKUP = """<a name="RcpDenomination">|<p class="DateNotif x">|<a name="RcpInstPrepRadioph"/>|<P class='AmmAnnexeTitre1 gras'>|<p class="AmmAnnexeTitre2">|<p class="AmmAnnexeTitre0"><a>|</p>|</P >|<div style="Text-Align : center">|</div>
+<li class=AmmListePuces>|<li>|</li>|<ul>|</ul>|<ol>|</ol>|<table>|</table>|<tr>|</tr>|<td>|</td>|<th>|</th>|<thead>|</thead>|<caption>|</caption>|<b>|</b>|<em>|<strong >|<a href="x?a=1&copy=2" name=t>|</a>|<br/>|<p/>|<td colspan=2 />|<p CLASS="souligne" data-x>|x|y z|&amp;|&eacute|& b|1 > 2|\u00a0""".replace("\n", "|").split("|")
+ODD = ["<", "<!-- c <p> -->", "<script>a<b</script>", '<p class="a>b">', '<p class="a"id=x>', "<Title>t<p></title>", "</", "<1", "<p", "</p x>", "<p class=a/>", '<p class = "gras">', "<style>p<b</style>"]
+
+
+def test_doc04_plain_markup_is_read_as_the_parser_reads_it():
+    rng, plain = random.Random(4), 0
+    for _ in range(3000):
+        tags = [rng.choice(MARKUP) for _ in range(rng.randint(0, 40))] + rng.choices(ODD, k=rng.random() < 0.3)
+        rng.shuffle(tags)
+        page = rng.choice(["", '<a name="RcpDenomination">']) + "".join(tags)
+        parsed = corpus._Regulatory().parse(page)
+        assert corpus._Regulatory().read(page) == parsed
+        plain += bool(parsed)
+    assert plain > 1000
+
+
+def test_doc04_sections_need_no_shuffle(spark):
+    html = '<p class="DateNotif">d</p><p>a</p><p class="AmmAnnexeTitre2">B</p><p>c</p><p class="AmmAnnexeTitre1">D</p><p class="AmmAnnexeTitre3">E</p><p class="AmmAnnexeTitre2">F</p><table><tr><td>g</table><p class="AmmAnnexeTitre1">H</p>'
+    rows = corpus.regulatory_sections(spark.createDataFrame([(1, html), (1, html), (2, None), (3, "")], "k long, html string"), "k", "html")
+    assert "Exchange" not in plan(rows)
+    want = [("a", None, "unsectioned"), ("B", None, None), ("c", 1, "B"), ("D", None, None), ("E", 3, "D"), ("F", 3, "D"), (None, 5, "F"), ("H", None, None)]
+    got = [(r.k, r.text, *(r.section or (None, None))) for r in rows.orderBy("k", "pos").collect()]
+    assert got == [(1, *w) for w in want for _ in range(2)]
+    assert rows.where("kind = 'heading' and level = 1").where("section is not null").count() == 0
