@@ -89,9 +89,9 @@ def src07_import_json_array(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT s_suppkey::VARCHAR AS document, sha256(s_name || chr(10)) AS sha256, length(s_name) + 1 AS length FROM supplier")
 def src09_scan_binary_corpus(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers are landed as files with the ending .pdf, each in a numbered folder, then scanned."""
-    path = work_dir(spark)
-    t(spark, d, "supplier").select("s_suppkey", "s_name").repartition("s_suppkey").write.partitionBy("s_suppkey").option("extension", "pdf").csv(path)
-    return tables.scan_binary_corpus(spark, path).select("document", "sha256", "length")
+    path, tasks = work_dir(spark), 4 * spark.sparkContext.defaultParallelism
+    writers.land_files(t(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey", "s_name", path, "pdf", tasks)
+    return tables.scan_binary_corpus(spark, path, tasks).select("document", "sha256", "length")
 
 
 @query("SELECT conv_id || '/' || turn AS url, CASE WHEN turn % 2 = 0 THEN 3 ELSE 2 END AS schema_version, text AS body FROM conversations WHERE role = 'user' AND text IS NOT NULL")

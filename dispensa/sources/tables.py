@@ -107,9 +107,20 @@ def import_json_array(spark: SparkSession, path: str, schema: str | None = None)
     return df.drop("_id") if exported else df
 
 
-def scan_binary_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """PDF files below numeric folders (or ``name=number`` ones): the folder is the document's number; SHA-256 of each file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(root)
+def scan_binary_corpus(spark: SparkSession, root: str, tasks: int | None = None) -> DataFrame:
+    """PDF files below numeric folders (or ``name=number`` ones): the folder is the document's number; SHA-256 of each file.
+
+    Spark lists up to 10,000 folders in a task for each, and reckons 4 MB for opening a file and so gives a task a few files; for many
+    small ones ``tasks`` says how many tasks share them all.
+    """
+    listing = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(listing)
+    spark.conf.set(listing, str(tasks or before))
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(root)
+    finally:
+        spark.conf.set(listing, before)
+    files = files.coalesce(tasks) if tasks else files
     number = F.regexp_extract("path", r"/(?:[^/=]+=)?([0-9]+)/[^/]+$", 1)
     return files.select(number.alias("document"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.sha2("content", 256).alias("sha256"), "length").where("document <> ''")
 

@@ -7,6 +7,7 @@ import pandas as pd
 
 from dispensa.operators import corpus, links
 from dispensa.plans import registry
+from dispensa.sources import tables, writers
 
 
 def agree(spark, folder, name, **tables):
@@ -111,3 +112,14 @@ def test_doc04_sections_need_no_shuffle(spark):
     got = [(r.k, r.text, *(r.section or (None, None))) for r in rows.orderBy("k", "pos").collect()]
     assert got == [(1, *w) for w in want for _ in range(2)]
     assert rows.where("kind = 'heading' and level = 1").where("section is not null").count() == 0
+
+
+def test_src09_many_small_files_take_few_tasks(spark, tmp_path):
+    names = ["a", 'a "b", c', "a,b", "", " x ", "\\"] + [f"Supplier#{k:09d}" for k in range(300)]
+    (tmp_path / "in").mkdir()
+    agree(spark, tmp_path / "in", "src09_scan_binary_corpus", supplier=pd.DataFrame({"s_suppkey": range(306), "s_name": names}))
+    df = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k long, name string")
+    writers.land_files(df, "k", "name", str(tmp_path / "a b%"), "pdf", 8)
+    assert sorted(p.name for p in (tmp_path / "a b%").iterdir())[:2] == ["k=0", "k=1"]
+    found = tables.scan_binary_corpus(spark, str(tmp_path / "a b%"), 8)
+    assert found.rdd.getNumPartitions() <= 8 and found.count() == 306
