@@ -268,6 +268,7 @@ def graph_nodes(frames: list[DataFrame]) -> DataFrame:
 
 
 def graph_edges(kind: str, rows: DataFrame, src: str, dst: str, src_nodes: DataFrame, dst_nodes: DataFrame) -> DataFrame:
-    """Distinct edges whose ends are both nodes."""
+    """Distinct edges whose ends are both nodes. Nodes grow with the data, so none are broadcast, small as Spark may estimate their keys."""
     e = rows.select(F.lit(kind).alias("kind"), F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct()
-    return e.join(src_nodes.select(F.col("key").alias("src")), "src", "left_semi").join(dst_nodes.select(F.col("key").alias("dst")), "dst", "left_semi").select("kind", "src", "dst")
+    sources, targets = (df.select(F.col("key").alias(c)).hint("merge") for df, c in ((src_nodes, "src"), (dst_nodes, "dst")))
+    return e.join(sources, "src", "left_semi").join(targets, "dst", "left_semi").select("kind", "src", "dst")

@@ -266,9 +266,9 @@ def jn23_topk_with_label(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {MEDICINES}, m AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_partkey AS ref FROM lineitem)
 SELECT 'REFERS_TO' AS kind, id AS src, 'medicine:' || ref AS dst FROM m WHERE ref % 7 <> 0 UNION SELECT 'HAS_SUBSTANCE', medicine_key, 'substance:' || s FROM (SELECT medicine_id, medicine_key, unnest(refs) AS s FROM medicines) WHERE medicine_id % 7 <> 0 AND s % 5 <> 0""")
 def jn24_build_graph(spark: SparkSession, d: str) -> DataFrame:
-    m, med, sub = market(spark, d, "market_id", "medicine_ref", "brand_title"), medicines(spark, d).where("medicine_id % 7 <> 0"), substances(spark, d).where("substance_id % 5 <> 0")
+    m, med, sub = market(spark, d, "market_id", "medicine_ref"), medicines(spark, d).where("medicine_id % 7 <> 0"), substances(spark, d).where("substance_id % 5 <> 0")
     nodes = lambda df, label, key, name: k.graph_nodes([df.select(F.lit(label).alias("label"), key.alias("key"), F.col(name).alias("name"))])
-    products = nodes(m, "MarketProduct", F.col("market_id"), "brand_title")
+    products = nodes(m, "MarketProduct", F.col("market_id"), "market_id")  # edges need no titles, which would join all lines with their parts
     meds = nodes(med, "Medicine", F.col("medicine_key"), "p_name")
     subs = nodes(sub, "Substance", F.concat(F.lit("substance:"), "substance_id"), "label")
     one = k.graph_edges("REFERS_TO", m.withColumn("to", F.concat(F.lit("medicine:"), "medicine_ref")), "market_id", "to", products, meds)

@@ -123,3 +123,7 @@ def test_src09_many_small_files_take_few_tasks(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "a b%").iterdir())[:2] == ["k=0", "k=1"]
     found = tables.scan_binary_corpus(spark, str(tmp_path / "a b%"), 8)
     assert found.rdd.getNumPartitions() <= 8 and found.count() == 306
+
+
+def test_jn24_broadcasts_no_nodes(spark):
+    assert "Broadcast" not in plan(registry.queries()["jn24_build_graph"](spark, "/root/testdata/sf0.001"))
